@@ -1,2 +1,239 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Scores of documents by masked pseudo-likelihood.
+
+A network sees the two words on either side of a position, but not the word there, and predicts it:
+the words' vectors (a table per side and distance) are summed and squashed; a softmax over CLASSES
+and one over the PER_CLASS words of the true class give the conditional probability. A document's
+score is the sum of the conditional log-probabilities of all its words.
+
+Words are hashed to CLASSES * PER_CLASS ids. The network is trained in numpy on every document, data
+parallel: in each round every task starts from the same parameters, trains on its share of the
+documents, and sends its parameters back; they are averaged, weighted by words, in Spark (at most
+FAN of them in a group, level by level). A round takes the documents that a hash of the text deals to
+it, so each is trained on once. What is gathered grows with the number of tasks, hence with the input;
+the model itself has a fixed size.
+
+Defined cases: null or empty texts and texts without words have no words, the score 0 and no mean;
+an empty table trains nothing (the first parameters stay); repeated rows are trained on and scored
+each; very long texts are processed in batches of positions; existing columns named as the results
+are replaced."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import add_text_columns, sub_batches
+
+CLASSES, PER_CLASS = 32, 32
+VOCAB = CLASSES * PER_CLASS
+PAD = VOCAB
+DIM = 16
+SIDES = (-2, -1, 1, 2)
+BATCH = 1 << 14
+RATE = 0.1
+#: Parts of 16 of the documents, round by round.
+ROUNDS = (1, 3, 12)
+FAN = 256
+SEED = 7
+BLOCK_FLOATS = 8192
+
+SHAPES = {"e": (len(SIDES), VOCAB + 1, DIM), "b": (DIM,), "c": (DIM, CLASSES), "cb": (CLASSES,), "w": (CLASSES, DIM, PER_CLASS), "wb": (CLASSES, PER_CLASS)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
+Params = dict[str, np.ndarray]
+
+
+def unflat(x: np.ndarray) -> Params:
+    out, at = {}, 0
+    for k, s in SHAPES.items():
+        n = int(np.prod(s))
+        out[k], at = x[at : at + n].reshape(s), at + n
+    return out
+
+
+def start() -> np.ndarray:
+    rng = np.random.default_rng(SEED)
+    x = np.zeros(SIZE, np.float32)
+    p = unflat(x)
+    for k in ("e", "c", "w"):
+        p[k][:] = rng.normal(0, 0.1, SHAPES[k])
+    return x
+
+
+class Ids(dict):
+    """Ids of words, remembered up to a bound."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = i = xxhash.xxh64_intdigest(w) % VOCAB
+        return i
+
+
+def token_ids(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, with PAD twice around each text; the positions of words; each position's text."""
+    words = [t.lower().encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    out = np.full(int(n.sum()) + 2 * len(texts) + 2, PAD, np.int64)
+    doc = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(doc)) + 2 * doc + 2
+    out[at] = np.fromiter((ids[w] for own in words for w in own), np.int64, len(doc))
+    return out, at, doc
+
+
+def hidden(p: Params, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = np.broadcast_to(p["b"], (len(at), DIM)).copy()
+    for s, off in enumerate(SIDES):
+        h += p["e"][s][ids[at + off]]
+    return np.tanh(h, out=h)
+
+
+def softmax_at(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (in place of z) and the log-probability of y."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(y)), y]
+    np.exp(z, out=z)
+    total = z.sum(1, keepdims=True)
+    z /= total
+    return z, own - np.log(total[:, 0])
+
+
+def by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort((y // PER_CLASS).astype(np.int8), kind="stable")
+    return order, np.searchsorted(y[order] // PER_CLASS, np.arange(CLASSES + 1))
+
+
+def log_probs(p: Params, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The conditional log-probability of the word at each position."""
+    y, h = ids[at], hidden(p, ids, at)
+    out = softmax_at(h @ p["c"] + p["cb"], y // PER_CLASS)[1]
+    order, bound = by_class(y)
+    hs, ys, more = h[order], y[order] % PER_CLASS, np.empty(len(y), np.float32)
+    for c in range(CLASSES):
+        a, b = bound[c], bound[c + 1]
+        if b > a:
+            more[a:b] = softmax_at(hs[a:b] @ p["w"][c] + p["wb"][c], ys[a:b])[1]
+    out[order] += more
+    return out
+
+
+def gradients(p: Params, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the mean negative log-probability, flat."""
+    flat = np.zeros(SIZE, np.float32)
+    g = unflat(flat)
+    y, h = ids[at], hidden(p, ids, at)
+    n = np.arange(len(y))
+    d = softmax_at(h @ p["c"] + p["cb"], y // PER_CLASS)[0]
+    d[n, y // PER_CLASS] -= 1
+    g["c"][:], g["cb"][:] = h.T @ d, d.sum(0)
+    dh = d @ p["c"].T
+    order, bound = by_class(y)
+    hs, ys, more = h[order], y[order] % PER_CLASS, np.empty_like(h)
+    for c in range(CLASSES):
+        a, b = bound[c], bound[c + 1]
+        if b > a:
+            d = softmax_at(hs[a:b] @ p["w"][c] + p["wb"][c], ys[a:b])[0]
+            d[n[: b - a], ys[a:b]] -= 1
+            g["w"][c], g["wb"][c] = hs[a:b].T @ d, d.sum(0)
+            more[a:b] = d @ p["w"][c].T
+    dh[order] += more
+    dh *= 1 - h * h
+    g["b"][:] = dh.sum(0)
+    for s, off in enumerate(SIDES):
+        context = ids[at + off]
+        for k in range(DIM):
+            g["e"][s][:, k] = np.bincount(context, dh[:, k], VOCAB + 1)
+    flat /= len(y)
+    return flat
+
+
+class Trainer:
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.squares, self.words, self.ids = flat.copy(), np.full(SIZE, 1e-8, np.float32), 0, Ids()
+
+    def see(self, texts: list[str | None]) -> None:
+        ids, at, _ = token_ids(texts, self.ids)
+        for a in range(0, len(at), BATCH):
+            g = gradients(unflat(self.flat), ids, at[a : a + BATCH])
+            self.squares += g * g
+            self.flat -= RATE * g / np.sqrt(self.squares)
+        self.words += len(at)
+
+
+PARTS = "task long, block int, words double, part binary"
+
+
+def mean_of(table: pa.Table) -> pa.Table:
+    """The mean of some tasks' parts of one block, weighted by words."""
+    table = table.sort_by("task")
+    words = table.column("words").to_numpy()
+    parts = np.stack([np.frombuffer(x, np.float32) for x in table.column("part").to_pylist()])
+    mean = (words @ parts / words.sum()).astype(np.float32)
+    return pa.table({"task": pa.array([table.column("task")[0].as_py() // FAN], pa.int64()), "block": table.column("block")[:1].cast(pa.int32()), "words": pa.array([words.sum()], pa.float64()), "part": pa.array([mean.tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: tuple[int, ...] = ROUNDS) -> np.ndarray:
+    """The parameters after all rounds."""
+    flat, low = start(), 0
+    texts = docs.select(F.col(text_col).alias("t"))
+    deal = F.pmod(F.xxhash64(F.coalesce("t", F.lit(""))), F.lit(sum(rounds)))
+    for share in rounds:
+        mine = texts.filter((deal >= low) & (deal < low + share))
+        low += share
+        shared = docs.sparkSession.sparkContext.broadcast(flat)
+
+        def fit(batches, shared=shared):
+            from pyspark import TaskContext
+
+            trainer = Trainer(shared.value)
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                for a, b in sub_batches(own):
+                    trainer.see(own[a:b])
+            if trainer.words:
+                parts = [trainer.flat[i : i + BLOCK_FLOATS].tobytes() for i in range(0, SIZE, BLOCK_FLOATS)]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([float(trainer.words)] * n), pa.array(parts, pa.binary())], names=["task", "block", "words", "part"])
+
+        parts, left = mine.mapInArrow(fit, PARTS), mine.rdd.getNumPartitions()
+        while left > 1:
+            parts = parts.groupBy("block", (F.col("task") / FAN).cast("long").alias("of")).applyInArrow(mean_of, PARTS)
+            left = -(-left // FAN)
+        rows = parts.select("block", "part").collect()  # one row per block of the model
+        if rows:
+            flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in sorted(rows, key=lambda r: r.block)])
+    return flat
+
+
+def score(docs: DataFrame, flat: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with n_words, log_prob (the sum) and mean_log_prob."""
+    shared = docs.sparkSession.sparkContext.broadcast(flat)
+
+    def make():
+        p, ids = unflat(shared.value), Ids()
+
+        def f(texts: list) -> list:
+            tokens, at, doc = token_ids(texts, ids)
+            total = np.zeros(len(texts))
+            for a in range(0, len(at), BATCH):
+                total += np.bincount(doc[a : a + BATCH], log_probs(p, tokens, at[a : a + BATCH]), len(texts))
+            n = np.bincount(doc, minlength=len(texts))
+            return [n, total, [t / m if m else None for t, m in zip(total.tolist(), n.tolist(), strict=True)]]
+
+        return f
+
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())]
+    return add_text_columns(docs, text_col, fields, make, keep)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return score(docs, train(docs), keep=["doc_id"])
+
+
+QUERIES = {"op7_lm_scoring": op7_lm_scoring}
+ORACLE_SQL: dict[str, str] = {}
