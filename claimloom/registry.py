@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import claims_v2, models, texts
+from .plans import claims_v2, evidence, models, records, texts
 
-MODULES = (claims_v2, texts, models)
+MODULES = (claims_v2, texts, models, evidence, records)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

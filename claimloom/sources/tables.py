@@ -72,9 +72,9 @@ def read_legacy_history(spark: SparkSession, path: str) -> DataFrame:
 
 def export_reports(docs: DataFrame, claims: DataFrame) -> DataFrame:
     """One nested report per document as JSON text; write it with .write.text or keep the struct."""
-    own = claims.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("claim_id", "claim_risk", "risk_level"))).alias("claims"))
+    own = claims.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("claim_id", "claim_risk", "risk_level"))).alias("own"))
     rows = docs.join(own, "doc_id", "left")
-    return rows.select("doc_id", F.to_json(F.struct("doc_id", "gri", F.col("risk_level").alias("level"), F.coalesce("claims", F.expr("array()").cast("array<struct<claim_id: string, claim_risk: double, risk_level: string>>")).alias("claims"))).alias("report"))
+    return rows.select("doc_id", F.to_json(F.struct("doc_id", "gri", F.col("risk_level").alias("level"), F.coalesce("own", F.expr("array()").cast("array<struct<claim_id: string, claim_risk: double, risk_level: string>>")).alias("claims"))).alias("report"))
 
 
 def filename_metadata(paths: DataFrame) -> DataFrame:
