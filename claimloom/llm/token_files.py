@@ -21,6 +21,7 @@ most; existing columns don't matter."""
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -38,7 +39,7 @@ FILE_IDS = 1 << 21
 END_ID = 2
 MAGIC = b"CLBP"
 HEADER = struct.Struct("<4sHHIQQI")
-CACHE = 700_000
+CACHE = 1_000_000
 PART_BYTES = 32 << 20
 
 
@@ -97,11 +98,13 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np
 
 
 class Encoder:
-    """Byte-level BPE by the tokenizers library, with remembered pieces.
+    """Byte-level BPE by the tokenizers library, with remembered words.
 
-    The vocabulary's pattern always ends a piece before a single blank that stands between two other
-    characters, so texts are cut there, unknown pieces are encoded by the library together, and known
-    ones are looked up. Texts in which white space meets white space are cut only where it doesn't."""
+    The vocabulary's pattern always ends a piece before a single blank or line end that stands between
+    two other characters, so texts are cut there. Unknown words are encoded by the library, many in
+    one string with line ends between (a line end before a word is one id of its own, by which the ids
+    are cut again), and known ones are looked up. Texts in which white space meets white space are cut
+    only where it doesn't."""
 
     def __init__(self, path: str):
         import os
@@ -113,25 +116,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.runs, self.cut = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)")
-
-    def pieces(self, text: str) -> list[str]:
-        """Cut before blanks; every piece but the first has lost its leading blank."""
-        return self.cut.split(text) if self.runs.search(text) else text.split(" ")
+        self.runs, self.cut, self.blank = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)"), re.compile(r"\s")
+        self.newline = self.ids(["\n"])[0]
+        self.line_end = int.from_bytes(self.newline, "little")
+        self.marks = dict(zip(".,;:!?", self.ids(list(".,;:!?")), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, text: str | None) -> list[str]:
+        """Keys of a text: a word stands for a blank and itself, `\\n` and a word for what starts a line.
+        The text's own start is the first line's."""
+        text = text or ""
+        if self.runs.search(text):
+            head, *rest = self.cut.split(text)
+            return ["\n" + head, *rest]
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+    def together(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of lead and word, for words without white space: a line end between two is one id."""
+        out = []
+        for i in range(0, len(words), 1000):
+            own = self.ids([lead + f"\n{lead}".join(words[i : i + 1000])])[0]
+            codes = np.frombuffer(own, "<u4")
+            ends = np.flatnonzero(codes == self.line_end).tolist()
+            out += [own[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(codes)], strict=True)]
+        return out
+
+    def learn(self, missing: set[str]) -> None:
+        known = self.known
+        # a mark after letters is a piece of its own, so such words follow from the word without it
+        marked = [w for w in missing if w[-1:] in self.marks and w[:-1].removeprefix("\n").isalpha()]
+        todo = missing.difference(marked).union({w[:-1] for w in marked}.difference(known))
+        inside, starts, odd = [], [], []
+        for w in todo:
+            bare = w.removeprefix("\n")
+            (odd if not bare or self.blank.search(bare) else inside if bare is w else starts).append(w)
+        known.update(zip(inside, self.together(inside, " "), strict=True))
+        known.update(zip(starts, [self.newline + x for x in self.together([w[1:] for w in starts], "")], strict=True))
+        known.update(zip(odd, [self.newline + x if w[:1] == "\n" else x for w, x in zip(odd, self.ids([w[1:] if w[:1] == "\n" else " " + w for w in odd]), strict=True)], strict=True))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        parts = [self.pieces(t) if t else [""] for t in texts]
-        heads = [c.ids for c in self.tokenizer.encode_batch_fast([p[0] for p in parts], add_special_tokens=False)]
-        missing = list({w for p in parts for w in p[1:] if w not in known})
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for w, c in zip(some, self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(c.ids, "<u4").tobytes()
-        return [np.array(h, "<u4").tobytes() + b"".join([known[w] for w in p[1:]]) for h, p in zip(heads, parts, strict=True)]
+        split = [self.words(t) for t in texts]
+        words = set(itertools.chain.from_iterable(split))
+        missing = words.difference(self.known)
+        if len(self.known) + 2 * len(missing) > CACHE:  # the words that came first are the frequent ones
+            self.known = dict(itertools.islice(self.known.items(), CACHE // 2))
+            missing = words.difference(self.known)
+        self.learn(missing)
+        at, skip = self.known.__getitem__, len(self.newline)
+        return [b"".join(map(at, x))[skip:] for x in split]
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text_col: str = "text", end_id: int = END_ID, bits: int = PLANE_BITS, file_ids: int = FILE_IDS) -> DataFrame:
