@@ -26,13 +26,14 @@ def _pages(spark, sf):
     return B.split_pages(raw_pages(spark, sf))
 
 
-def _lines(spark, sf):
+def _lines(spark, sf, repair=False):
     pages = _pages(spark, sf)
-    return B.tag_table_rows(B.split_lines(pages.withColumn("text", B.repair_letter_spacing(F.col("text")))))
+    pages = pages.withColumn("text", B.repair_letter_spacing(F.col("text"))) if repair else pages
+    return B.tag_table_rows(B.split_lines(pages))
 
 
-def _blocks(spark, sf):
-    return B.flag_reference_index(B.build_blocks(_lines(spark, sf)))
+def _blocks(spark, sf, repair=False):
+    return B.flag_reference_index(B.build_blocks(_lines(spark, sf, repair)))
 
 
 def b1(spark, sf):
@@ -64,7 +65,7 @@ def b6(spark, sf):
 
 
 def b7(spark, sf):
-    return B.build_blocks(_lines(spark, sf)).filter("type = 'paragraph'").select("doc_id", "page", "block", "text")
+    return B.build_blocks(_lines(spark, sf, True)).filter("type = 'paragraph'").select("doc_id", "page", "block", "text")
 
 
 def b8(spark, sf):
@@ -72,7 +73,7 @@ def b8(spark, sf):
 
 
 def b9(spark, sf):
-    return B.assemble_documents(_blocks(spark, sf))
+    return B.assemble_documents(_blocks(spark, sf, True))
 
 
 def b10(spark, sf):
@@ -81,7 +82,7 @@ def b10(spark, sf):
 
 
 def b11(spark, sf):
-    return B.segment_blocks(_blocks(spark, sf))
+    return B.segment_blocks(_blocks(spark, sf, True))
 
 
 def b12(spark, sf):
