@@ -35,7 +35,7 @@ def extract_claims(docs: DataFrame) -> DataFrame:
 
 def claim_language(text: Column) -> Column:
     han, latin = F.regexp_count(text, F.lit(CJK)), F.regexp_count(text, F.lit("[a-zA-Z]"))
-    share = han / (han + latin)
+    share = F.try_divide(han, han + latin)
     return F.when((han == 0) & (latin == 0), "unknown").when(share > 0.7, "zh").when(share < 0.3, "en").otherwise("mixed")
 
 

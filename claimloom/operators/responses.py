@@ -67,7 +67,8 @@ def reuse_responses(requests: DataFrame, responses: DataFrame, ttl: int = 300) -
 def merge_split_responses(halves: DataFrame) -> DataFrame:
     """halves: doc_id, part, n (characters), adjusted_risk, emotion_score, emotion_level, summary, annotations.
     Means weighted by length of what is there, the highest level, concatenated lists, first texts."""
-    w = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col(c) * F.col("n"))) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
+    # an answer to an empty half alone counts as it is
+    w = lambda c: F.coalesce(F.try_divide(F.sum(F.when(F.col(c).isNotNull(), F.col(c) * F.col("n"))), F.sum(F.when(F.col(c).isNotNull(), F.col("n")))), F.max(c))
     rank = F.array_position(F.array(*map(F.lit, EMOTION_LEVELS)), F.coalesce("emotion_level", F.lit("none")))
     parts = F.sort_array(F.collect_list(F.struct("part", "summary", "annotations")))
     out = halves.groupBy("doc_id").agg(round_up(w("adjusted_risk")).alias("adjusted_risk"), round_up(w("emotion_score")).alias("emotion_score"), F.max(rank).alias("__l"), parts.alias("__p"))

@@ -18,7 +18,7 @@ def language_confidence(docs: DataFrame) -> DataFrame:
     han, latin = F.regexp_count("text", F.lit("[\\u4e00-\\u9fff]")), F.regexp_count("text", F.lit("[a-zA-Z]"))
     rows = docs.withColumns({"__h": han, "__l": latin})
     both = F.col("__h") + F.col("__l")
-    minor, major = F.least("__h", "__l") / both, F.greatest("__h", "__l") / both
+    minor, major = F.try_divide(F.least("__h", "__l"), both), F.try_divide(F.greatest("__h", "__l"), both)
     value = F.when(both == 0, "unknown").when(minor > 0.12, "mixed").when(F.col("__h") >= F.col("__l"), "zh").otherwise("en")
     sure = F.when(both == 0, F.lit(0.0)).when(minor > 0.12, round_up(minor + F.lit(0.64).cast("double"), 2)).otherwise(round_up(major, 2))
     return rows.withColumns({"language": value, "language_confidence": sure}).drop("__h", "__l")

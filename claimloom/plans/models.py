@@ -15,7 +15,7 @@ from ..operators import text_index as M
 from ..operators.features import lexicon_counts
 from ..sources import corpus as C
 from .claims_v2 import STRUCTURE_SQL, _m, analyzed
-from .texts import V1_SQL
+from .texts import V1_SQL, midpoint_sql
 
 # Model answers are made from the claims and documents themselves, by expressions that both engines read.
 LABELS = "CASE CAST(ord % 4 AS INT) WHEN 0 THEN 'Opportunity' WHEN 1 THEN 'risk' WHEN 2 THEN 'Neutral' END AS sentiment_label, CASE CAST(ord % 5 AS INT) WHEN 0 THEN 'yes' WHEN 1 THEN 'no commitment' WHEN 2 THEN 'Commitment' WHEN 3 THEN 'commitment detected' END AS commitment_label, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'spec' WHEN 1 THEN 'unspec' WHEN 2 THEN 'non-specific' WHEN 3 THEN 'specific' END AS specificity_label, CAST((doc_id % 10) / 10.0 AS DOUBLE) AS specificity_raw"
@@ -276,3 +276,8 @@ SELECT doc_id, fused_score, floor(greatest(0.0::DOUBLE, 1 - x / 2500) * 100 + 0.
     "N4_tag_overlap_check": f"WITH {CHECKS_SQL} SELECT * FROM tag_checks",
     "N5_overall_status": f"WITH {CHECKS_SQL} SELECT doc_id, CASE max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS overall, count(*) AS checks FROM all_checks GROUP BY doc_id",
 }
+
+ORACLE_SQL["W4_merge_split_responses"] = f"""WITH {C.DOCUMENTS_SQL}, {midpoint_sql("docs")}, parts AS (SELECT doc_id, unnest([1, 2]) AS part, unnest([length(first_half), length(second_half)]) AS n FROM halved),
+told AS (SELECT doc_id, part, n, {HALVES.replace("array(concat", "list_value(concat")} FROM parts)
+SELECT doc_id, floor(coalesce(sum(adjusted_risk * n) / nullif(sum(n) FILTER (adjusted_risk IS NOT NULL), 0), max(adjusted_risk)) + 0.5::DOUBLE) AS adjusted_risk, floor(coalesce(sum(emotion_score * n) / nullif(sum(n) FILTER (emotion_score IS NOT NULL), 0), max(emotion_score)) + 0.5::DOUBLE) AS emotion_score,
+  {sql_list(W.EMOTION_LEVELS)}[max(list_position({sql_list(W.EMOTION_LEVELS)}, coalesce(emotion_level, 'none')))] AS emotion_level, coalesce(string_agg(summary, chr(10) || chr(10) ORDER BY part) FILTER (summary <> ''), '') AS summary, string_agg(array_to_string(annotations, '|'), '|' ORDER BY part) AS annotations FROM told GROUP BY doc_id"""

@@ -16,7 +16,7 @@ from ..operators.scoring_v1 import score_documents
 from ..sources import corpus as C
 from ..sources import tables as A
 from ..streaming import jobs
-from .claims_v2 import STRUCTURE_SQL, analyzed, scored
+from .claims_v2 import FEATURES_SQL, MENTIONS_SQL, REGISTRY_SQL, STRUCTURE_SQL, analyzed, scored
 from .models import REQUESTS
 
 # Rows are made from the given tables by expressions that both engines read.
@@ -324,3 +324,6 @@ UNION ALL SELECT 'session', min(ts), max(ts) + INTERVAL 30 MINUTES, count(*), ma
     "R3_company_history_conflicts": f"WITH {STRUCTURE_SQL}, {C.COMPANIES_SQL}, told AS (SELECT company, 'unnamed_metric' || coalesce('_scope' || array_to_string(ghg_scope, ''), '') AS metric_key, year, min(target_year) AS target_year FROM structured JOIN companies USING (doc_id) WHERE target_year IS NOT NULL GROUP BY ALL) SELECT a.company, a.metric_key, a.year AS year_a, b.year AS year_b, a.target_year AS target_a, b.target_year AS target_b FROM told a JOIN told b ON a.company = b.company AND a.metric_key = b.metric_key AND a.year < b.year AND a.target_year <> b.target_year",
     "R5_annotator_kappa": "WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n)::DOUBLE AS t, sum(n) FILTER (a = b)::DOUBLE AS s FROM c), x AS (SELECT sum(na * nb)::DOUBLE AS c FROM (SELECT a AS v, sum(n) AS na FROM c GROUP BY a) JOIN (SELECT b AS v, sum(n) AS nb FROM c GROUP BY b) USING (v)) SELECT t::BIGINT AS n, round(s / t, 6) AS agreement, round((s / t - c / (t * t)) / (1 - c / (t * t)), 6) AS kappa FROM t, x",
 }
+
+ORACLE_SQL["A5_read_lexicon"] = f"WITH {FEATURES_SQL} SELECT {', '.join(f'count(*) FILTER (n_{c} > 0) AS {c}' for c in A.LEXICON)} FROM features"
+ORACLE_SQL["A6_read_cert_registry"] = f"WITH {MENTIONS_SQL},\n{REGISTRY_SQL} SELECT id, type, region, len(domain)::INT AS domains, coalesce(n, 0) AS claims FROM registry LEFT JOIN (SELECT cert_id, count(*) AS n FROM mentions GROUP BY cert_id) ON id = cert_id"

@@ -306,3 +306,14 @@ SELECT doc_id, chunk, chunk * 412 AS first_token, len(w[chunk * 412 + 1:chunk *
     "F11_v1_signals": _v1("array_to_string(CASE WHEN ok THEN list_concat(list_concat(list_transform(m_green, lambda t: 'green: ' || t), list_transform(m_vague, lambda t: 'vague: ' || t)), list_concat(list_transform(m_absolute, lambda t: 'absolute: ' || t), list_transform(m_future[1:3], lambda t: 'future: ' || t)))[1:7] ELSE m_green[1:4] END, '|') AS signals"),
     "F12_score_documents": _v1("CASE WHEN ok THEN 'green-claim-risk' ELSE 'non-green-claim-baseline' END AS mode, risk, vagueness, evidence, overclaim, promise, emotional, round(confidence, 9) AS confidence, context, sector"),
 }
+
+
+def midpoint_sql(table: str) -> str:
+    """first_half and second_half of the texts of a table."""
+    return rf"""sizes AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS mid FROM {table}),
+marks AS (SELECT *, strpos(substr(text, mid + 1), chr(10) || chr(10)) AS para, length(regexp_extract(substr(text, mid + 1, 300), '^[^。.！!？?]*[。.！!？?]')) AS mark, strpos(substr(text, mid + 1), ' ') AS blank FROM sizes),
+cuts AS (SELECT *, CASE WHEN n < 200 THEN n WHEN para > 0 AND mid + para - 1 < 0.8::DOUBLE * n THEN mid + para - 1 WHEN mark > 0 THEN mid + mark WHEN blank > 0 THEN mid + blank - 1 ELSE mid END AS cut_at FROM marks),
+halved AS (SELECT doc_id, {TRIM.format("substr(text, 1, cut_at)")} AS first_half, {TRIM.format("substr(text, cut_at + 1)")} AS second_half FROM cuts)"""
+
+
+ORACLE_SQL["C11_split_midpoint"] = f'WITH source_texts AS (SELECT doc_id, "text" AS text FROM documents WHERE "text" IS NOT NULL), {midpoint_sql("source_texts")} SELECT * FROM halved'
