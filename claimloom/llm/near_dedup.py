@@ -147,7 +147,7 @@ def links_of_block(table: pa.Table) -> pa.Table:
     place, of = often[place[use]], of[use]
     order = np.argsort(place, kind="stable")
     place, of = place[order], of[order]
-    left, right = np.flatnonzero(sides < 2), np.flatnonzero(sides != 1)  # side 2: in both
+    left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)  # side 2: in both
     both = np.zeros((len(left), len(right)), np.float32)
     for start in range(0, int(often[-1]) + 1 if len(often) else 0, 4096):
         a, b = np.searchsorted(place, [start, start + 4096])
