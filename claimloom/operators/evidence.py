@@ -52,7 +52,8 @@ def retrieve_lexical(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataF
 
 def retrieve_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
     """The k nearest vectors by cosine of each query (query_id, embedding), not counting itself. Queries go in
-    blocks of bounded size, broadcast one after another; each task keeps k per query, then Spark ranks."""
+    blocks of bounded size, broadcast one after another; each task keeps k per query, then Spark ranks. Scores
+    count to six decimals, and the smaller id wins a tie."""
     spark, out = vectors.sparkSession, None
 
     def blocks() -> Iterator[list]:
@@ -75,21 +76,23 @@ def retrieve_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, block:
             unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
             ids = np.array([i for i, _ in shared.value])
             q = unit(np.array([v for _, v in shared.value], np.float64))
+            best, best_ids = np.full((len(q), 0), -2.0), np.zeros((len(q), 0), np.int64)
             for f in frames:
-                if not len(f):
-                    continue
-                own = f["vec_id"].to_numpy()
-                score = q @ unit(np.stack(f["embedding"].to_numpy()).astype(np.float64)).T
-                score[ids[:, None] == own[None, :]] = -2
-                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-                best = np.take_along_axis(score, top, axis=1)
-                yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "vec_id": own[top].ravel(), "score": best.ravel()})
+                for start in range(0, len(f), 1024):  # a slice of scores at a time
+                    own = f["vec_id"].to_numpy()[start : start + 1024]
+                    score = np.round(q @ unit(np.stack(f["embedding"].to_numpy()[start : start + 1024]).astype(np.float64)).T, 6)
+                    score[ids[:, None] == own[None, :]] = -2
+                    best, best_ids = np.hstack([best, score]), np.hstack([best_ids, np.broadcast_to(own, score.shape)])
+                    top = np.lexsort((best_ids, -best))[:, :k]
+                    best, best_ids = np.take_along_axis(best, top, 1), np.take_along_axis(best_ids, top, 1)
+            if best.size:
+                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": best_ids.ravel(), "score": best.ravel()})
 
         part = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double").filter("score >= -1.5")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -144,7 +144,7 @@ each AS (SELECT doc_id, claim_id, generate_subscripts(f, 1) AS i, unnest(f) AS q
 SELECT doc_id, claim_id, 'Q' || lpad(i::VARCHAR, 3, '0') AS query_id, q.p AS purpose, q.q AS query_text FROM each""",
     "O2_retrieve_lexical": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, query_id, rank, chunk, floor(score)::BIGINT AS score FROM ranked WHERE rank <= 5",
     "O3_retrieve_vectors": f"""WITH v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 5""",
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(round(score, 6), 4) AS score FROM r WHERE rank <= 5""",
     "O4_merge_query_results": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, count(*) AS chunks, count(DISTINCT query_id) AS queries FROM both_queries GROUP BY doc_id, claim_id",
     "O5_dedupe_chunks": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, place, query_id, chunk, page FROM deduped",
     "O6_evidence_context": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, count(*)::INT AS chunks, md5(string_agg('[' || page || '] ' || text, chr(10) || chr(10) ORDER BY place)) AS context_md5 FROM deduped WHERE place <= 4 GROUP BY doc_id, claim_id",
