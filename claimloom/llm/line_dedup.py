@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, new_path, without, written
+from .common import new_path, without, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -36,7 +36,7 @@ def lines(text_col: str = "text") -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+\\z", ""), UPPER, LOWER)
+    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), UPPER, LOWER)
 
 
 def line_hash(line: Column) -> Column:
