@@ -2,15 +2,22 @@
 
 A network sees the two words on either side of a position, but not the word there, and predicts it:
 the words' vectors (a table per side and distance) are summed and squashed; a softmax over CLASSES
-and one over the PER_CLASS words of the true class give the conditional probability. A document's
-score is the sum of the conditional log-probabilities of all its words.
-
-Words are hashed to CLASSES * PER_CLASS ids. The network is trained in numpy on every document, data
+and one over the PER_CLASS ids of the true class give the conditional probability of the word's id.
+Ids are hashes of words, CLASSES * PER_CLASS of them; the words of an id are told apart by their
+counts in all documents: the probability of a word is that of its id in its context, times the word's
+share of the id's occurrences. These sum to 1 over all words of the corpus. A document's score is the
+sum of the log-probabilities of all its words.
+
+The table of words and counts is made by Spark, has every distinct word and grows with the input.
+Words of at least one in HEAD occurrences (at most HEAD words) go to all tasks; a document's other words
+meet their counts in a join on the word. Only the context is seen through hashed ids: words of one id
+have the same vectors.
+
+The network is trained in numpy on every document, data
 parallel: in each round every task starts from the same parameters, trains on its share of the
 documents, and sends its parameters back; they are averaged, weighted by words, in Spark (at most
 FAN of them in a group, level by level). A round takes the documents that a hash of the text deals to
-it, so each is trained on once. What is gathered grows with the number of tasks, hence with the input;
-the model itself has a fixed size.
+it, so each is trained on once. The network has a fixed size; the table of words has not.
 
 Defined cases: null or empty texts and texts without words have no words, the score 0 and no mean;
 an empty table trains nothing (the first parameters stay); repeated rows are trained on and scored
@@ -19,6 +26,8 @@ are replaced."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_text_columns, sub_batches
+from .common import add_text_columns, sub_batches, written
 
 CLASSES, PER_CLASS = 32, 32
 VOCAB = CLASSES * PER_CLASS
@@ -40,6 +49,8 @@ ROUNDS = (1, 3, 12)
 FAN = 256
 SEED = 7
 BLOCK_FLOATS = 8192
+#: Words of at least one in HEAD of all occurrences are broadcast; the counting of a task holds so many words.
+HEAD, HELD = 1 << 16, 500_000
 
 SHAPES = {"e": (len(SIDES), VOCAB + 1, DIM), "b": (DIM,), "c": (DIM, CLASSES), "cb": (CLASSES,), "w": (CLASSES, DIM, PER_CLASS), "wb": (CLASSES, PER_CLASS)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -74,12 +85,19 @@ class Ids(dict):
         return i
 
 
+def words_of(texts: list[str | None]) -> list[list[bytes]]:
+    return [t.lower().encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+
+
 def token_ids(texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids, with PAD twice around each text; the positions of words; each position's text."""
-    words = [t.lower().encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+    return placed(words_of(texts), ids)
+
+
+def placed(words: list[list[bytes]], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.array([len(w) for w in words], np.int64)
-    out = np.full(int(n.sum()) + 2 * len(texts) + 2, PAD, np.int64)
-    doc = np.repeat(np.arange(len(texts)), n)
+    out = np.full(int(n.sum()) + 2 * len(words) + 2, PAD, np.int64)
+    doc = np.repeat(np.arange(len(words)), n)
     at = np.arange(len(doc)) + 2 * doc + 2
     out[at] = np.fromiter((ids[w] for own in words for w in own), np.int64, len(doc))
     return out, at, doc
@@ -209,30 +227,91 @@ def train(docs: DataFrame, text_col: str = "text", rounds: tuple[int, ...] = ROU
     return flat
 
 
-def score(docs: DataFrame, flat: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, log_prob (the sum) and mean_log_prob."""
-    shared = docs.sparkSession.sparkContext.broadcast(flat)
+def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, id, n and log_share (of the id's occurrences) of every distinct word, written."""
+
+    def count(batches):
+        def flush():
+            words = list(held)
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([ids[w] for w in words], pa.int32()), pa.array(held.values(), pa.int64())], names=["word", "id", "n"])
+            held.clear()
+            return out
+
+        held, ids = Counter(), Ids()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in sub_batches(texts):
+                for own in words_of(texts[a:b]):
+                    held.update(own)
+                if len(held) > HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    counts = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "word binary, id int, n long").groupBy("word").agg(F.first("id").alias("id"), F.sum("n").alias("n"))
+    counts = written(counts, "words")
+    of_id = counts.groupBy("id").agg(F.sum("n").alias("of"))  # at most VOCAB rows
+    return written(counts.join(F.broadcast(of_id), "id").select("word", "id", "n", F.log(F.col("n") / F.col("of")).alias("log_share")), "shares")
+
+
+def network(docs: DataFrame, flat: np.ndarray, text_col: str, keep: list[str] | None, head: dict[bytes, float] | None = None) -> DataFrame:
+    """docs with n_words and log_prob (of the ids). With head, log_prob has the shares of head's words, too;
+    row tells rows apart and rest lists the other words."""
+    shared = docs.sparkSession.sparkContext.broadcast((flat, head))
 
     def make():
-        p, ids = unflat(shared.value), Ids()
+        from pyspark import TaskContext
+
+        (flat, head), ids = shared.value, Ids()
+        p, row = unflat(flat), TaskContext.get().partitionId() << 40
 
         def f(texts: list) -> list:
-            tokens, at, doc = token_ids(texts, ids)
+            nonlocal row
+            words = words_of(texts)
+            tokens, at, doc = placed(words, ids)
             total = np.zeros(len(texts))
             for a in range(0, len(at), BATCH):
                 total += np.bincount(doc[a : a + BATCH], log_probs(p, tokens, at[a : a + BATCH]), len(texts))
             n = np.bincount(doc, minlength=len(texts))
-            return [n, total, [t / m if m else None for t, m in zip(total.tolist(), n.tolist(), strict=True)]]
+            if head is None:
+                return [n, total]
+            shares = np.fromiter((head.get(w, 0.0) for own in words for w in own), float, len(doc))
+            total += np.bincount(doc, shares, len(texts))
+            row += len(texts)
+            return [n, total, np.arange(row - len(texts), row), [[w for w in own if w not in head] for own in words]]
 
         return f
 
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())]
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())]
+    if head is not None:
+        fields += [T.StructField("__row", T.LongType()), T.StructField("__rest", T.ArrayType(T.BinaryType(), False))]
     return add_text_columns(docs, text_col, fields, make, keep)
 
 
+def with_mean(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+
+
+def score(docs: DataFrame, flat: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with n_words, log_prob (the sum) and mean_log_prob of the words' ids."""
+    return with_mean(network(docs, flat, text_col, keep))
+
+
+def score_words(docs: DataFrame, flat: np.ndarray, text_col: str = "text", keep: list[str] | None = None, limit: int = HEAD) -> DataFrame:
+    """docs with n_words, log_prob (the sum) and mean_log_prob of the words themselves, counted over all of docs."""
+    words = word_table(docs, text_col)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    head = {bytes(r.word): r.log_share for r in words.filter(F.col("n") * limit >= total).select("word", "log_share").collect()}  # at most limit words
+    rows = written(network(docs, flat, text_col, keep, head), "scored")
+    rest = rows.select("__row", F.explode("__rest").alias("word")).join(words.select("word", "log_share"), "word")
+    rest = rest.groupBy("__row").agg(F.sum("log_share").alias("__more"))
+    out = rows.drop("__rest").join(rest, "__row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("__more", F.lit(0.0)))
+    return with_mean(out.drop("__row", "__more"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, train(docs), keep=["doc_id"])
+    return score_words(docs, train(docs), keep=["doc_id"])
 
 
 QUERIES = {"op7_lm_scoring": op7_lm_scoring}
