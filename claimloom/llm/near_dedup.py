@@ -15,8 +15,8 @@ shared folder; nothing of the corpus goes to the driver but counts.
 
 Defined cases: null or empty texts, or texts without words, have an empty set, are linked with
 nothing and are their own component; with fewer than five words the whole sequence is the one
-shingle; rows with equal doc_id go by their own texts (classes with the same smallest id count as
-linked); a null doc_id is
+shingle; rows with equal doc_id go by their own texts (labels of components are hashes of the sets,
+the smallest doc_id is only reported); a null doc_id is
 linked like others, its component is the smallest id reachable, null if none, and it is not kept; no rows give no rows;
 existing columns named as the results are replaced."""
 
@@ -43,7 +43,7 @@ PERCENT = 85
 STAR_ROUNDS = 2
 #: Buckets of more classes are compared block by block; a block has about so many classes and shingles at most.
 CROWD, BLOCK, BLOCK_SHINGLES = 32, 256, 400_000
-#: Labels from here on stand for classes without any id.
+#: Stands for null ids in joins.
 NO_ID = 1 << 62
 SEED = 20240229
 
@@ -182,8 +182,7 @@ class Graph:
         self.percent = percent
         # a class is told by one of its rows: smallest id, then text hash
         classes = sig.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "th")).alias("r"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-        label = F.coalesce("r.k", F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID)))
-        self.classes = written(classes.select("digest", "n", "bands", "r.k", "r.th", label.alias("root")), "classes")
+        self.classes = written(classes.select("digest", "n", "bands", "r.k", "r.th", F.xxhash64("digest").alias("root")), "classes")
         buckets = self.classes.select("digest", "n", F.explode("bands").alias("bucket"))
         sizes = buckets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
         self.buckets = written(buckets.join(sizes, "bucket"), "buckets")
@@ -225,6 +224,12 @@ class Graph:
         centre = at.groupBy("bucket").agg(F.min_by(F.struct("digest", "n", "root"), order).alias("centre"))
         self.confirm(at.join(centre, "bucket").select("digest", "n", "root", F.col("centre.digest").alias("other"), F.col("centre.n").alias("m"), F.col("centre.root").alias("oroot")))
 
+    def reported(self) -> DataFrame:
+        """Of each class its root, and the row that tells its component: smallest id (null last), then text hash."""
+        own = self.labels.join(self.classes.select("digest", "k", "th"), "digest")
+        first = own.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "th")).alias("r"))
+        return self.labels.join(first.select("root", F.col("r.k").alias("rk"), F.col("r.th").alias("rth")), "root")
+
     def mixed(self) -> DataFrame:
         """Buckets that hold classes not connected yet."""
         return self.members().groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
@@ -254,8 +259,9 @@ class Graph:
         self.connect(written(links, "crowd_links"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns keep) with n_shingles, component_id and kept (the document with that id)."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", percent: int = PERCENT, keep: list[str] | None = None, one_each: bool = False) -> DataFrame:
+    """docs (or its columns keep) with n_shingles, component_id and kept (the document with that id).
+    one_each: only one row of each component, also of one whose ids are null or repeated."""
     docs = without(docs, ["n_shingles", "component_id", "kept"])
     rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("t"))
     sig = written(signatures(rows, "t", ["k", "th"]), "signatures")
@@ -264,17 +270,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
         graph.to_centres(r)
     graph.small_buckets()
     graph.crowds()
-    root = F.when(F.col("root") < NO_ID, F.col("root"))
-    found = sig.join(graph.labels, "digest", "left").select("k", "th", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(root).alias("component_id"))
+    found = sig.join(graph.reported(), "digest", "left").select("k", "th", "n_shingles", "root", F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.col("rk")).alias("component_id"), (F.col("k").eqNullSafe(F.col("rk")) & (F.col("th") == F.col("rth"))).alias("tells"))
     found = found.withColumn("kept", F.coalesce(F.col("k") == F.col("component_id"), F.lit(False)))
-    if keep == [key]:
+    if keep == [key] and not one_each:
         return found.select(F.col("k").alias(key), "n_shingles", "component_id", "kept")
     # rows of equal id and text have equal results, and one of each is enough to join
     found = found.withColumn("k", F.coalesce("k", F.lit(-NO_ID))).dropDuplicates(["k", "th"])
-    found = found.select(F.col("k").alias("__k"), F.col("th").alias("__th"), "n_shingles", "component_id", "kept")
+    found = found.select(F.col("k").alias("__k"), F.col("th").alias("__th"), F.col("root").alias("__root"), F.col("tells").alias("__tells"), "n_shingles", "component_id", "kept")
     names = keep or docs.columns
     docs = docs.withColumns({"__k": F.coalesce(F.col(key).cast("long"), F.lit(-NO_ID)), "__th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return docs.join(found, ["__k", "__th"], "left").select(*names, "n_shingles", "component_id", "kept")
+    out = docs.join(found, ["__k", "__th"], "left")
+    if one_each:  # rows without words are components of their own
+        lone = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
+        out = out.filter("__tells OR n_shingles = 0").select(*names, "n_shingles", "component_id", "kept", "__root", lone.alias("__lone")).dropDuplicates(["__root", "__lone"])
+    return out.select(*names, "n_shingles", "component_id", "kept")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 1. quality: documents that the rules reject go.
 2. near_duplicates: one document of each group of near copies (Jaccard similarity of five-word
-   shingles of 0.8 or more, directly or by a chain) stays: the one with the smallest doc_id.
+   shingles of 0.8 or more, directly or by a chain) stays: the one with the smallest doc_id,
+   or any of them where all ids are null. Different texts of one doc_id are documents of their own.
 3. decontamination: documents with a benchmark window go.
 4. mixing: small sources are repeated, up to twice, so that no document is left out; a document that
    is taken for two passes is in the result twice.
@@ -30,8 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = near_dedup.near_duplicates(docs, percent=80)
-    return judged.filter("kept").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return near_dedup.near_duplicates(docs, percent=80, one_each=True).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from claimloom.llm import lm_scoring
+import corpus_pipeline
+from claimloom.llm import lm_scoring, near_dedup
 
 
 def test_lm_scoring_tells_words_of_one_id_apart(spark):
@@ -34,3 +35,15 @@ def test_lm_scoring_tells_words_of_one_id_apart(spark):
         assert by[f"the {a} of"] > by[f"the {b} of"] + 1 and abs(net[f"the {a} of"] - net[f"the {b} of"]) < 1e-4
     none = docs.filter("false")
     assert lm_scoring.score_words(none, flat).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_each_group_whatever_its_ids(spark):
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = text[1].replace("b39", "z")
+    rows = [(None, text[0], 1), (None, text[1], 2), (None, text[1], 3), (None, near, 4), (5, text[2], 5), (5, text[3], 6), (7, text[4], 7), (6, text[4], 8), (6, text[4], 9), (None, text[4], 10), (None, "", 11), (None, "", 12), (5, text[5], 13), (4, text[5], 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = sorted((r.n, r.doc_id) for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect())
+    assert len(got) == 8 and [n for n, _ in got if n in (1, 5, 6, 11, 12, 14)] == [1, 5, 6, 11, 12, 14]
+    assert sum(n in (2, 3, 4) for n, _ in got) == 1 and sum(n in (8, 9) for n, _ in got) == 1
+    of = {r.n: r.component_id for r in near_dedup.near_duplicates(docs, percent=80).collect()}
+    assert of[1] is None and of[4] is None and of[5] == of[6] == 5 and of[7] == of[10] == 6 and of[13] == 4
