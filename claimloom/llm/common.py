@@ -51,17 +51,21 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
-def sub_batches(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of at most limit characters (a longer text is alone) and 50,000 rows."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and (size + n > limit or i - start >= 50_000):
+def sized(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of sizes that sum to at most limit (a larger one is alone) and of 50,000 at most."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > limit or i - start >= 50_000):
             yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def sub_batches(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most limit characters."""
+    return sized([len(t) if t else 0 for t in texts], limit)
 
 
 def add_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,12 +232,26 @@ def test_token_files(spark, odd, none, bits):
 
 
 def test_encoder_equals_the_library():
-    e = token_files.Encoder(TOKENIZER)
+    from tokenizers import Tokenizer
+
+    e, library = token_files.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
     r = random.Random(1)
-    letters = [*"ab'st 1\n\n\t  é中!<|\r\0.,", "'s", "<|endoftext|>", "  ", " a", "a.", "b,\n"]
-    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(3000)]
-    want = [c.ids for c in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    letters = [*"ab'st 1\n\n\t  é中ß!<|\r\0.,", "'s", "<|endoftext|>", "  ", " a", "a.", "b,\n", "\xa0", "word"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(3000)] + [None, "", "\n", " ", "<|endoftext|>", "a <|endoftext|> b"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for step in (7, len(texts)):
+        got = [x.tolist() for i in range(0, len(texts), step) for x in e.encode(pa.array(texts[i : i + step], pa.string()))]
+        assert got == want
+    assert want[-2:] == [[50256], [64, 220, 50256, 275]]
+
+
+def test_encoder_leaves_other_vocabularies_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello there, World", None, "a  b\nc", "1 <|endoftext|>"]
+    e, library = token_files.Encoder(path), Tokenizer.from_file(path)
+    assert not e.plain and [x.tolist() for x in e.encode(pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_pipeline_stages_take_odd_rows(spark, odd, none, tmp_path):
