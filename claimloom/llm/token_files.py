@@ -128,14 +128,16 @@ class Encoder:
         self.added = [x["content"] for x in told["added_tokens"]]
         if not self.plain:
             return
-        self.pieces = Tokenizer.from_file(path)
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.pieces = Tokenizer(self.tokenizer.model)
         self.known: dict[str, bytes] = {}
         self.runs, self.cut, self.blank = re.compile(r"\s\s"), re.compile(r"(?<!\s) (?!\s)"), re.compile(r"\s")
         self.rare = "[" + "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n") + "]"
         # letters up to here are the same in every version of Unicode that libraries use
         latin = "".join(c for c in map(chr, range(LATIN_END)) if c.isalpha())
         self.latin = re.compile(rf"(\n?[{latin}]+)([.,;:!?]?)")
+        self.spelt = {ord(c): spell(c)[0][0] for c in latin + " "}
+        self.spelt_end = spell("\n")[0][0]
         self.newline = self.ids(["\n"])[0]
         self.line_end = int.from_bytes(self.newline, "little")
         self.marks = dict(zip(".,;:!?", self.ids(list(".,;:!?")), strict=True))
@@ -165,11 +167,13 @@ class Encoder:
         return out
 
     def letters(self, words: list[str], lead: str) -> list[bytes]:
-        """The same for words of Latin letters alone: each is one piece of the pattern."""
+        """The same for words of Latin letters alone. Each is one piece of the pattern, so the model gets
+        it at once, its bytes written as the vocabulary writes them."""
         out = []
         for i in range(0, len(words), 1000):
-            parts = ["\n"] * (2 * len(words[i : i + 1000]) - 1)
-            parts[::2] = [lead + w for w in words[i : i + 1000]]
+            own = (lead + f"\n{lead}".join(words[i : i + 1000])).translate(self.spelt).split("\n")
+            parts = [self.spelt_end] * (2 * len(own) - 1)
+            parts[::2] = own
             out += self.between(self.pieces.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids)
         return out
 
