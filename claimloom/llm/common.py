@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,33 @@ def sub_batches(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[t
     return sized([len(t) if t else 0 for t in texts], limit)
 
 
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """texts with every byte replaced by its entry of table, which changes ASCII alone; null becomes empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = bytes(memoryview(data)[ends[0] : ends[-1]]).translate(table) if data else b""
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(data))
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words between blanks of texts, the number among them of each word, and the bounds of
+    each text's words."""
+    lists = pc.split_pattern(texts, " ")
+    bounds = lists.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    coded = lists.flatten().dictionary_encode()
+    words, index = coded.dictionary, coded.indices.to_numpy()
+    empty = pc.index(words, "").as_py()  # blanks beside blanks, or at an end
+    if empty >= 0:
+        full = index != empty
+        bounds = np.concatenate([[0], np.cumsum(full)])[bounds]
+        index = index[full]
+        index = index - (index > empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
+    return words, index, bounds
+
+
 def add_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """df with columns computed from text_col by the function that make() returns on each executor.
 

@@ -169,10 +169,15 @@ def test_suffix_dedup(spark, odd, none):
 
 
 def test_lm_scoring(spark, odd, none):
-    flat = lm_scoring.train(odd)
-    got = lm_scoring.score(odd, flat).collect()
+    vocabulary, shares = lm_scoring.vocabulary_of(lm_scoring.count_words(odd))
+    flat = lm_scoring.train(odd, vocabulary)
+    got = lm_scoring.score(odd, vocabulary, shares, flat).collect()
     assert len(got) == 11 and all((r["log_prob"] == 0) == (r["n_words"] == 0) and (r["mean_log_prob"] is None) == (r["n_words"] == 0) for r in got)
-    assert (lm_scoring.train(none) == lm_scoring.start()).all() and lm_scoring.score(none, flat).count() == 0
+    assert [r["n_words"] for r in got if r["text"] == LONG] == [60_000]
+    assert lm_scoring.score(none, vocabulary, shares, flat).count() == 0
+    vocabulary, shares = lm_scoring.vocabulary_of(lm_scoring.count_words(none))
+    assert (lm_scoring.train(none, vocabulary) == vocabulary.start()).all() and shares.count() == 0
+    assert lm_scoring.score(odd, vocabulary, shares, vocabulary.start()).count() == 11
 
 
 def test_line_dedup(spark, odd, none):

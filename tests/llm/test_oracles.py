@@ -91,24 +91,3 @@ def test_language_id_on_held_out_documents(spark):
     got = registry.QUERIES["op1_language_id"](spark, sf).join(docs, "doc_id").filter("held_out").collect()
     assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
     assert all(0 <= r.score <= 1 for r in got)
-
-
-def test_language_model_prefers_the_corpus_to_shuffled_words(spark):
-    from claimloom.llm import lm_scoring
-
-    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
-    flat = lm_scoring.train(docs)
-    first = lm_scoring.score(docs, lm_scoring.start()).agg({"log_prob": "sum"}).first()[0]
-    last = lm_scoring.score(docs, flat).agg({"log_prob": "sum"}).first()[0]
-    assert last > first
-    # the score is the plain sum over words
-    p, text = lm_scoring.unflat(flat), "the and of the thion"
-    ids, at, _ = lm_scoring.token_ids([text], lm_scoring.Ids())
-    total = 0.0
-    for i in at:
-        h = np.tanh(p["b"] + sum(p["e"][s][ids[i + o]] for s, o in enumerate(lm_scoring.SIDES)))
-        c, w = divmod(int(ids[i]), lm_scoring.PER_CLASS)
-        for z, y in ((h @ p["c"] + p["cb"], c), (h @ p["w"][c] + p["wb"][c], w)):
-            total += z[y] - np.log(np.exp(z).sum())
-    got = lm_scoring.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), flat).first()
-    assert got.n_words == 5 and abs(got.log_prob - total) < 1e-3
