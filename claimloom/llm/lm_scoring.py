@@ -51,6 +51,7 @@ KNOWN = 1 << 21
 #: Positions of a step, and of a piece of documents that is turned into positions at once.
 BATCH, HOLD = 1 << 12, 1 << 17
 RATE = 0.1
+TOP = 64
 #: In training, one of so many words of a document is masked and predicted; all are context. Scores predict all.
 MASKED = 2
 SHARD_WORDS, PER_PARAMETER = 1 << 22, 4
@@ -174,16 +175,23 @@ def by_length(v: Vocabulary, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_probs(v: Vocabulary, p: Params, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The conditional log-probability of the id at each position."""
+    """The conditional log-probability of the id at each position.
+
+    Most choices are at the TOP heaviest nodes (the last ones), whose logits come from one product."""
     order, active = by_length(v, ids[at])
     at = at[order]
-    first, (h, _) = v.bounds[ids[at]], hidden(p, ids, at)
-    total = np.zeros(len(at), h.dtype)
-    for level, m in enumerate(active):
-        path = first[:m] + level
+    ends, (h, _) = v.bounds[ids[at] + 1], hidden(p, ids, at)
+    base = max(0, len(p["wb"]) - TOP)
+    top = h @ p["w"][base:].T + p["wb"][base:]
+    total, row = np.zeros(len(at), h.dtype), np.arange(len(at)) * top.shape[1]
+    for level, m in enumerate(active):  # from the root down
+        path = ends[:m] - 1 - level
         nodes = v.nodes[path]
-        z = np.einsum("ij,ij->i", h[:m], p["w"][nodes])
-        z += p["wb"][nodes]
+        z = top.ravel()[row[:m] + np.maximum(nodes - base, 0)]
+        low = np.flatnonzero(nodes < base)
+        if len(low):
+            own = nodes[low]
+            z[low] = np.einsum("ij,ij->i", h[low], p["w"][own]) + p["wb"][own]
         z *= -v.signs[path]
         total[:m] -= np.log1p(np.exp(np.minimum(z, 60, out=z), out=z), out=z)
     out = np.empty_like(total)
