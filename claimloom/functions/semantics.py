@@ -21,9 +21,10 @@ def matches(text: Column, p: str, ignore_case: bool = True) -> Column:
 
 
 def found(text: Column, terms: list[str]) -> Column:
-    """The terms that text contains, in declared order, without regard to case. No join, no shuffle."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
+    """The terms that text contains, in declared order, without regard to case. No join, no shuffle.
+    The text is lower-cased once, as the one element of an array: inside the lambda over the terms it
+    would be lower-cased for each term."""
+    return F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t)))[0]
 
 
 def clamp(x: Column, low: float = 0, high: float = 100) -> Column:

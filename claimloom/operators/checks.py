@@ -18,36 +18,66 @@ def _long(rows: DataFrame, checks: list[tuple[Column | str, Column]]) -> DataFra
     return rows.select("doc_id", F.explode(F.filter(each, lambda c: c["status"].isNotNull())).alias("c")).select("doc_id", "c.check", "c.status")
 
 
-def classification_checks(rows: DataFrame) -> DataFrame:
-    """rows: <kind>_source, <kind>_confidence for context and sector."""
-    out = []
+Check = tuple[Column | str, Column]
+
+
+def of_classification() -> list[Check]:
+    out: list[Check] = []
     for kind in ("context", "sector"):
         manual, low = F.col(f"{kind}_source") == "manual", F.col(f"{kind}_confidence") < 0.55
         name = F.when(manual, f"{kind}_manual_override").when(low, f"{kind}_low_confidence").otherwise(f"{kind}_confidence")
         out.append((name, F.when(manual, "pass").when(low, "warn").otherwise("pass")))
-    return _long(rows, out)
+    return out
 
 
-def rule_and_schema_checks(rows: DataFrame) -> DataFrame:
-    """rows: confidence, model_enabled, evidence_status, model_error."""
+def of_rules_and_schema() -> list[Check]:
     on = F.coalesce("model_enabled", F.lit(False))
     low = F.col("confidence") < 55
-    return _long(rows, [
+    return [
         (F.when(low, "rule_confidence_low").otherwise("rule_confidence_ok"), F.when(low, "warn").otherwise("pass")),
         (F.when(on, "llm_enabled").otherwise("llm_disabled"), F.when(on, "pass").otherwise("warn")),
         ("llm_schema", F.when(on, F.when(F.coalesce(F.col("evidence_status").isin(EVIDENCE_STATUSES), F.lit(False)), "pass").otherwise("fail"))),
         ("llm_error", F.when(F.col("model_error").isNotNull(), "warn")),
-    ])
+    ]
 
 
-def risk_gap_check(rows: DataFrame) -> DataFrame:
-    """rows: risk, adjusted_risk, model_enabled."""
+def of_risk_gap() -> list[Check]:
     gap = F.abs(F.col("adjusted_risk") - F.col("risk"))
     name = F.when(F.col("adjusted_risk").isNull(), "llm_risk_missing").otherwise("llm_risk_gap")
-    return _long(rows.filter("model_enabled"), [(name, F.when(gap.isNull() | (gap > 25), "warn").otherwise("pass"))])
+    return [(name, F.when(F.col("model_enabled"), F.when(gap.isNull() | (gap > 25), "warn").otherwise("pass")))]
+
+
+def of_tags() -> list[Check]:
+    shared = F.array_intersect(local_tags(), model_tags(F.col("model_text")))
+    return [("llm_tag_overlap", F.when(F.col("model_enabled"), F.when(F.size(shared) > 0, "pass").otherwise("warn")))]
+
+
+def classification_checks(rows: DataFrame) -> DataFrame:
+    """rows: <kind>_source, <kind>_confidence for context and sector."""
+    return _long(rows, of_classification())
+
+
+def rule_and_schema_checks(rows: DataFrame) -> DataFrame:
+    """rows: confidence, model_enabled, evidence_status, model_error."""
+    return _long(rows, of_rules_and_schema())
+
+
+def risk_gap_check(rows: DataFrame) -> DataFrame:
+    """rows: risk, adjusted_risk, model_enabled."""
+    return _long(rows, of_risk_gap())
+
+
+def tag_overlap_check(rows: DataFrame) -> DataFrame:
+    """rows: the columns of local_tags, model_enabled, model_text."""
+    return _long(rows, of_tags())
+
+
+def all_checks(rows: DataFrame) -> DataFrame:
+    """Every check, in one pass over rows, which have the columns of all of them."""
+    return _long(rows, [*of_classification(), *of_rules_and_schema(), *of_risk_gap(), *of_tags()])
 
 
-def local_tags(rows: DataFrame) -> Column:
+def local_tags() -> Column:
     c = F.col
     tests = {"quantified": ~c("quantified"), "evidence": c("n_proof") == 0, "scope": c("n_scope") == 0, "promise": c("promise") > 0, "absolute": c("overclaim") > 0, "action": c("n_action") == 0}
     return F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))
@@ -57,12 +87,6 @@ def model_tags(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.size(found(text, terms)) > 0, tag) for tag, terms in TAG_KEYWORDS.items()]))
 
 
-def tag_overlap_check(rows: DataFrame) -> DataFrame:
-    """rows: the columns of local_tags, model_enabled, model_text."""
-    rows = rows.filter("model_enabled").withColumn("shared", F.array_intersect(local_tags(rows), model_tags(F.col("model_text"))))
-    return _long(rows, [("llm_tag_overlap", F.when(F.size("shared") > 0, "pass").otherwise("warn"))])
-
-
 def overall_status(checks: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("status")]
     worst = checks.groupBy("doc_id").agg(F.max(rank).alias("r"), F.count("*").alias("checks"))

@@ -6,12 +6,14 @@ document meets in one task only as far as its claims share a key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CFC_FREE, NET_ZERO, SINS
 from ..functions.semantics import matches
 
+#: Values that are closer than this part of the larger one don't contradict each other.
+TOLERANCE = 0.05
 EDGE = ["doc_id", "type", "severity", "a_ord", "b_ord", "claim_a", "claim_b"]
 
 
@@ -28,13 +30,21 @@ def _sides(claims: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]
     return a, b
 
 
-def numeric_contradictions(claims: DataFrame, tolerance: float = 0.05) -> DataFrame:
+def value_gap(a: Column, b: Column) -> Column:
+    return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
+
+
+def gap_severity(gap: Column) -> Column:
+    return F.when(gap > 0.25, "high").otherwise("medium")
+
+
+def numeric_contradictions(claims: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     keyed = metric_key(claims.filter("metric_value IS NOT NULL"))
     a, b = _sides(keyed, ["ord", "claim_id", "metric_value", "metric_unit"])
     same_unit = F.col("a_metric_unit").isNull() | F.col("b_metric_unit").isNull() | (F.col("a_metric_unit") == F.col("b_metric_unit"))
-    gap = F.abs(F.col("a_metric_value") - F.col("b_metric_value")) / F.greatest(F.abs("a_metric_value"), F.abs("b_metric_value"), F.lit(1.0))
+    gap = value_gap(F.col("a_metric_value"), F.col("b_metric_value"))
     pairs = a.join(b, ["doc_id", "metric_key"]).filter((F.col("a_ord") < F.col("b_ord")) & same_unit).withColumn("gap", gap).filter(F.col("gap") > tolerance)
-    return pairs.select("doc_id", F.lit("numeric_metric_mismatch").alias("type"), F.when(F.col("gap") > 0.25, "high").otherwise("medium").alias("severity"), "a_ord", "b_ord", F.col("a_claim_id").alias("claim_a"), F.col("b_claim_id").alias("claim_b"))
+    return pairs.select("doc_id", F.lit("numeric_metric_mismatch").alias("type"), gap_severity(F.col("gap")).alias("severity"), "a_ord", "b_ord", F.col("a_claim_id").alias("claim_a"), F.col("b_claim_id").alias("claim_b"))
 
 
 def target_year_contradictions(claims: DataFrame) -> DataFrame:

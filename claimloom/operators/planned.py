@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .consistency import metric_key
+from .consistency import TOLERANCE, gap_severity, metric_key, value_gap
 
 SHARES = [0.1, 0.25, 0.5, 0.75, 0.9]
 
@@ -30,13 +30,25 @@ def baseline_position(metrics: DataFrame, baselines: DataFrame, keys: list[str])
 
 
 def company_history_conflicts(claims: DataFrame, meta: DataFrame) -> DataFrame:
-    """Different target years of a company for the same metric in different report years. Years are told
-    once per company, metric and report year, so a busy company isn't squared."""
-    rows = metric_key(claims.filter("target_year IS NOT NULL")).join(meta.select("doc_id", "company", "year"), "doc_id")
-    told = rows.groupBy("company", "metric_key", "year").agg(F.min("target_year").alias("target_year"))
-    a, b = told.alias("a"), told.alias("b")
-    on = (F.col("a.company") == F.col("b.company")) & (F.col("a.metric_key") == F.col("b.metric_key")) & (F.col("a.year") < F.col("b.year")) & (F.col("a.target_year") != F.col("b.target_year"))
-    return a.join(b, on).select("a.company", "a.metric_key", F.col("a.year").alias("year_a"), F.col("b.year").alias("year_b"), F.col("a.target_year").alias("target_a"), F.col("b.target_year").alias("target_b"))
+    """Contradictions between what a company told in two report years about one metric: every pair of
+    different target years, and of measured values the pair that is furthest apart, if that is over the
+    tolerance of contradictions inside a document.
+
+    A company, metric and report year meets others as its distinct target years, which a calendar
+    bounds, and as its least and greatest value (of values from zero up, the furthest pair has one of
+    each), so a busy company isn't squared."""
+    rows = metric_key(claims.filter("target_year IS NOT NULL OR metric_value IS NOT NULL")).join(meta.select("doc_id", "company", "year"), "doc_id")
+    key, pair = ["company", "metric_key"], lambda t: (t.alias("a"), t.alias("b"))
+    same = (F.col("a.company") == F.col("b.company")) & (F.col("a.metric_key") == F.col("b.metric_key")) & (F.col("a.year") < F.col("b.year"))
+    names = [*[F.col(f"a.{k}").alias(k) for k in key], F.col("a.year").alias("year_a"), F.col("b.year").alias("year_b")]
+    a, b = pair(rows.filter("target_year IS NOT NULL").select(*key, "year", F.col("target_year").cast("double").alias("v")).distinct())
+    targets = a.join(b, same & (F.col("a.v") != F.col("b.v"))).select(*names, F.lit("target_year_mismatch").alias("type"), F.lit("medium").alias("severity"), F.col("a.v").alias("value_a"), F.col("b.v").alias("value_b"))
+    a, b = pair(rows.filter("metric_value IS NOT NULL").groupBy(*key, "metric_unit", "year").agg(F.min("metric_value").alias("lo"), F.max("metric_value").alias("hi")))
+    unit = F.col("a.metric_unit").isNull() | F.col("b.metric_unit").isNull() | (F.col("a.metric_unit") == F.col("b.metric_unit"))
+    fall, rise = (F.struct(value_gap(F.col(x), F.col(y)).alias("gap"), F.abs(F.col(x) - F.col(y)).alias("far"), F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("a.hi", "b.lo"), ("a.lo", "b.hi")))
+    values = a.join(b, same & unit).select(*names, F.greatest(fall, rise).alias("w")).filter(F.col("w.gap") > TOLERANCE)
+    values = values.select("company", "metric_key", "year_a", "year_b", F.lit("numeric_metric_mismatch").alias("type"), gap_severity(F.col("w.gap")).alias("severity"), F.col("w.x").alias("value_a"), F.col("w.y").alias("value_b"))
+    return targets.unionByName(values)
 
 
 def review_queue(docs: DataFrame, n: int = 100) -> DataFrame:

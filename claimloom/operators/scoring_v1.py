@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CONTEXTS, HIGH_IMPACT, LEVELS, SECTORS
-from ..functions.semantics import clamp, found, round_up
+from ..functions.semantics import clamp, round_up
 from .features import flags_v1, lexicon_counts, text_metrics
 
 #: The claim gate.
@@ -27,7 +27,9 @@ def language_confidence(docs: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, kind: str, signals: dict[str, list[str]], fallback: str) -> DataFrame:
     """<kind>, <kind>_confidence and <kind>_matches (six at most): the label with the most terms, the first
     declared of equal ones. Labels are columns of one projection."""
-    scored = F.array(*[F.struct((-F.size(found(F.col("text"), t))).alias("minus"), F.lit(i).alias("ord"), F.lit(v).alias("value"), found(F.col("text"), t).alias("m")) for i, (v, t) in enumerate(signals.items())])
+    lists = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias("value"), F.array(*map(F.lit, t)).alias("terms")) for i, (v, t) in enumerate(signals.items())])
+    own = lambda low: F.transform(lists, lambda x: F.struct(x["ord"].alias("ord"), x["value"].alias("value"), F.filter(x["terms"], lambda t: F.contains(low, t)).alias("m")))
+    scored = F.transform(F.transform(F.array(F.lower("text")), own)[0], lambda x: F.struct((-F.size(x["m"])).alias("minus"), x["ord"].alias("ord"), x["value"].alias("value"), x["m"].alias("m")))
     rows = docs.withColumn("__b", F.array_min(scored))
     n = -F.col("__b.minus")
     sure = F.least(F.lit(0.92).cast("double"), F.lit(0.52).cast("double") + n * F.lit(0.12).cast("double"))

@@ -13,6 +13,7 @@ from ..operators import features as D
 from ..operators import risk as J
 from ..operators import structure as G
 from ..sources import corpus as C
+from ..sources.shared import written
 
 LISTS = [f"m_{c}" for c in X.LEXICON]
 COUNTS = [f"n_{c}" for c in X.LEXICON]
@@ -55,6 +56,12 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
     return analyzed(C.claims(spark, sf))
 
 
+def wide_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a table in the shared folder, for queries in which several branches read it: the
+    matching of terms and patterns, which is what costs, is done once."""
+    return written(_wide(spark, sf), "claims")
+
+
 def _joined(c: str, sep: str = "|"):
     return F.array_join(F.col(c), sep).alias(c)
 
@@ -165,7 +172,7 @@ def i1(spark, sf):
 
 
 def _edges(f):
-    return lambda spark, sf: f(_wide(spark, sf)).select("doc_id", "type", "severity", "claim_a", "claim_b")
+    return lambda spark, sf: f(wide_table(spark, sf)).select("doc_id", "type", "severity", "claim_a", "claim_b")
 
 
 def _sin(name):
@@ -181,7 +188,7 @@ def i12(spark, sf):
 
 
 def i13(spark, sf):
-    wide = _wide(spark, sf)
+    wide = wide_table(spark, sf)
     return I.consistency_summary(wide, I.contradictions(wide), I.sin_hits(wide))
 
 
@@ -198,21 +205,21 @@ def j3(spark, sf):
 
 
 def j4(spark, sf):
-    wide = _wide(spark, sf)
+    wide = wide_table(spark, sf)
     return J.consistency_risk(wide, I.contradictions(wide)).select("doc_id", "claim_id", "consistency_risk")
 
 
 def j5(spark, sf):
-    return scored(_wide(spark, sf)).select("doc_id", "claim_id", "claim_risk", "risk_level")
+    return scored(wide_table(spark, sf)).select("doc_id", "claim_id", "claim_risk", "risk_level")
 
 
 def j6(spark, sf):
-    wide = _wide(spark, sf)
+    wide = wide_table(spark, sf)
     return J.claim_sins(wide, I.sin_hits(wide)).select("doc_id", "claim_id", _joined("sins", ","))
 
 
 def j7(spark, sf):
-    return J.document_risk(scored(_wide(spark, sf)))
+    return J.document_risk(scored(wide_table(spark, sf)))
 
 
 def j8(spark, sf):

@@ -11,7 +11,7 @@ from ..sources import corpus as C
 from .claims_v2 import WIDE_SQL, analyzed
 from .models import TOTAL_SQL, text_index
 
-#: Documents are chunked small, so that there is a choice; every tenth sentence of a document is a claim on it.
+#: Documents are chunked small, so that there is a choice.
 SIZE, OVERLAP = 60, 10
 #: Model verdicts, made from ids. Read by both engines.
 VERDICT = """CASE CAST((doc_id + ord) % 5 AS INT) WHEN 0 THEN concat('{"verdict": "supported", "confidence": 0.9, "evidence_risk_score": ', CAST((doc_id + 3 * ord) % 50 AS STRING), '}')
@@ -24,10 +24,9 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claims_on(spark: SparkSession, sf: str) -> DataFrame:
-    """Claims on documents: the words 3-12 of every fifth chunk."""
-    rows = chunks(spark, sf).filter("chunk % 5 = 0")
-    words = F.slice(F.split("text", " "), 3, 10)
-    return rows.select("doc_id", F.format_string("C%03d", F.col("chunk")).alias("claim_id"), F.lit("Q001").alias("query_id"), F.array_join(words, " ").alias("query_text"))
+    """The queries of the searches: every whole chunk of the documents whose id is divisible by 20."""
+    rows = chunks(spark, sf).filter("doc_id % 20 = 0")
+    return rows.select("doc_id", F.format_string("C%03d", F.col("chunk")).alias("claim_id"), F.lit("Q001").alias("query_id"), F.col("text").alias("query_text"))
 
 
 def retrieved(spark, sf) -> DataFrame:
@@ -86,7 +85,7 @@ def o9(spark, sf):
 
 
 def _scored(spark, sf):
-    return O.attach_text_risk(verdicts(spark, sf), text_index(spark, sf).filter("doc_id % 3 <> 0"))
+    return O.attach_text_risk(verdicts(spark, sf), text_index(spark, sf))
 
 
 def o10(spark, sf):
@@ -118,7 +117,7 @@ QUERIES = {
 CHUNKS_SQL = rf"""toks AS (SELECT doc_id, regexp_extract_all("text", '\S+') AS w FROM documents WHERE "text" IS NOT NULL),
 numbered AS (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - {OVERLAP + 1}) // {SIZE - OVERLAP} + 1))::INT AS chunk FROM toks WHERE len(w) > 0),
 chunks AS (SELECT doc_id, chunk, w[chunk * {SIZE - OVERLAP} + 1:chunk * {SIZE - OVERLAP} + {SIZE}] AS ws, array_to_string(ws, ' ') AS text, chunk % 3 + 1 AS page FROM numbered),
-claims_on AS (SELECT doc_id, 'C' || lpad(chunk::VARCHAR, greatest(3, length(chunk::VARCHAR))::INT, '0') AS claim_id, 'Q001' AS query_id, array_to_string(ws[3:12], ' ') AS query_text FROM chunks WHERE chunk % 5 = 0),
+claims_on AS (SELECT doc_id, 'C' || lpad(chunk::VARCHAR, greatest(3, length(chunk::VARCHAR))::INT, '0') AS claim_id, 'Q001' AS query_id, text AS query_text FROM chunks WHERE doc_id % 20 = 0),
 tf AS (SELECT doc_id, chunk, token, count(*) AS tf FROM (SELECT doc_id, chunk, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS token FROM chunks) GROUP BY ALL),
 idf AS (SELECT token, ln(1 + (SELECT count(*) FROM chunks) / count(*)) AS idf FROM tf GROUP BY token),
 qt AS (SELECT DISTINCT doc_id, claim_id, query_id, unnest(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}]+')) AS token FROM claims_on),
@@ -133,7 +132,7 @@ verdicts AS (SELECT doc_id, ord, claim_id, text, CASE (doc_id + ord) % 5 WHEN 0
   CASE (doc_id + ord) % 5 WHEN 0 THEN (doc_id + 3 * ord) % 50 WHEN 1 THEN (doc_id + 3 * ord) % 100 WHEN 4 THEN 60 ELSE 50 END::DOUBLE AS evidence_risk_score, (doc_id + ord) % 5 <> 4 AS parsed FROM claims),
 distribution AS (SELECT doc_id, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'partially_supported') AS partially_supported, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'insufficient_evidence') AS insufficient_evidence FROM verdicts GROUP BY doc_id)"""
 SCORED_SQL = TOTAL_SQL + ",\n" + VERDICTS_SQL.split(C.CLAIMS_SQL + ",\n", 1)[1] + """,
-scored AS (SELECT v.*, coalesce(tgri, 0) AS text_risk_score, CASE WHEN tgri IS NULL THEN 'unknown' WHEN tgri <= 25 THEN '低风险' WHEN tgri <= 50 THEN '中低风险' WHEN tgri <= 75 THEN '中高风险' ELSE '高风险' END AS text_risk_level FROM verdicts v LEFT JOIN (SELECT * FROM totals WHERE doc_id % 3 <> 0) t USING (doc_id))"""
+scored AS (SELECT v.*, coalesce(tgri, 0) AS text_risk_score, CASE WHEN tgri IS NULL THEN 'unknown' WHEN tgri <= 25 THEN '低风险' WHEN tgri <= 50 THEN '中低风险' WHEN tgri <= 75 THEN '中高风险' ELSE '高风险' END AS text_risk_level FROM verdicts v LEFT JOIN totals t USING (doc_id))"""
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 ORACLE_SQL = {
     "O1_expand_queries": f"""WITH {WIDE_SQL}, fit AS (SELECT doc_id, claim_id, text, list_filter([CASE WHEN metric_value IS NOT NULL THEN {{'p': 'value', 'q': 'data behind the reported value in ' || metric_unit}} END, CASE WHEN baseline_year IS NOT NULL THEN {{'p': 'baseline', 'q': 'reference year ' || baseline_year}} END,

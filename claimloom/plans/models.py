@@ -198,9 +198,7 @@ def n4(spark, sf):
 
 
 def n5(spark, sf):
-    rows = _checked(spark, sf)
-    checks = N.classification_checks(rows).unionByName(N.rule_and_schema_checks(rows)).unionByName(N.risk_gap_check(rows)).unionByName(N.tag_overlap_check(rows))
-    return N.overall_status(checks)
+    return N.overall_status(N.all_checks(_checked(spark, sf)))
 
 
 QUERIES = {

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +12,11 @@ from ..operators.risk import document_risk
 from ..operators.scoring_v1 import score_documents
 from ..sources import corpus as C
 from ..sources import tables as A
+from ..sources.shared import new_path
 from ..streaming import jobs
-from .claims_v2 import FEATURES_SQL, MENTIONS_SQL, REGISTRY_SQL, STRUCTURE_SQL, analyzed, scored
+from .claims_v2 import FEATURES_SQL, MENTIONS_SQL, REGISTRY_SQL, RISK_SQL, STRUCTURE_SQL, scored, wide_table
 from .models import REQUESTS
+from .texts import V1_SQL
 
 # Rows are made from the given tables by expressions that both engines read.
 INTAKE = """doc_id, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE "text" END AS text, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'report' WHEN 1 THEN 'auto' WHEN 2 THEN '' WHEN 3 THEN 'poem' END AS context_type, CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'energy' WHEN 1 THEN 'magic' END AS sector"""
@@ -94,11 +93,11 @@ def a9(spark, sf):
 
 
 def a10(spark, sf):
-    return Q.export_feedback(history(spark, sf), 500).select("id", "created_at", "feedback_json")
+    return Q.export_feedback(history(spark, sf)).select("id", "created_at", "feedback_json")
 
 
 def a11(spark, sf):
-    claims = scored(analyzed(C.claims(spark, sf)))
+    claims = scored(wide_table(spark, sf))
     return A.export_reports(document_risk(claims), claims)
 
 
@@ -112,7 +111,7 @@ def a12(spark, sf):
 
 def a13(spark, sf):
     own = A.filename_metadata(_names(spark, sf))
-    model = _sql(_names(spark, sf), MODEL_META).filter("doc_id % 5 <> 0").drop("path")
+    model = _sql(_names(spark, sf), MODEL_META).drop("path")
     return A.metadata_merge(own, model, "doc_id")
 
 
@@ -148,6 +147,10 @@ def q6(spark, sf):
     return Q.history_summary(history(spark, sf)).select("sector", "context_type", "n", F.round("mean_risk", 6).alias("mean_risk"), "first_risk", "last_risk")
 
 
+def q6f(spark, sf):
+    return Q.common_factors(history(spark, sf))
+
+
 def q7(spark, sf):
     return Q.risk_trend(history(spark, sf)).select("id", "sector", "risk", "sma")
 
@@ -195,8 +198,7 @@ def _stream(spark: SparkSession, sf: str, name: str, options: dict | None = None
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimloom-")
-    return f"{base.rstrip('/')}/claimloom/stream-{uuid.uuid4().hex}"
+    return new_path(spark, "stream")
 
 
 def _ran(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
@@ -240,16 +242,19 @@ def q15s(spark, sf):
 
 def _metrics(spark, sf):
     rows = G.parsed(C.claims(spark, sf)).filter("metric_value IS NOT NULL").select("doc_id", "claim_id", "metric_unit", F.col("metric_value").alias("value"))
-    return rows.join(C.companies(spark, sf).select("doc_id", "sector", "nation"), "doc_id")
+    return rows.join(C.companies(spark, sf).select("doc_id", "year", "sector", "nation"), "doc_id")
+
+
+BASELINE = ["sector", "nation", "year", "metric_unit"]
 
 
 def r1(spark, sf):
-    return R.sector_baselines(_metrics(spark, sf), ["sector", "metric_unit"])
+    return R.sector_baselines(_metrics(spark, sf), BASELINE)
 
 
 def r2(spark, sf):
     m = _metrics(spark, sf)
-    return R.baseline_position(m, R.sector_baselines(m, ["sector", "metric_unit"]), ["sector", "metric_unit"]).select("doc_id", "claim_id", "value", "band")
+    return R.baseline_position(m, R.sector_baselines(m, BASELINE), BASELINE).select("doc_id", "claim_id", "value", "band")
 
 
 def r3(spark, sf):
@@ -259,7 +264,7 @@ def r3(spark, sf):
 def r4(spark, sf):
     from .texts import _scored
 
-    gri = document_risk(scored(analyzed(C.claims(spark, sf)))).select("doc_id", "gri")
+    gri = document_risk(scored(wide_table(spark, sf))).select("doc_id", "gri")
     rows = _scored(spark, sf).select("doc_id", F.round("confidence", 6).alias("confidence")).join(gri, "doc_id")
     return R.review_queue(rows).select("doc_id", "confidence", "gri")
 
@@ -271,7 +276,7 @@ def r5(spark, sf):
 
 QUERIES = {
     "A1_read_documents": a1, "A2_reject_documents": a2, "A3_inventory_pdfs": a3, "A4_read_page_text": a4, "A5_read_lexicon": a5, "A6_read_cert_registry": a6, "A9_upsert_history": a9, "A10_export_feedback": a10, "A11_export_reports": a11, "A12_filename_metadata": a12, "A13_metadata_merge": a13,
-    "Q1_recent_history": q1, "Q2_apply_retention": q2, "Q3_delete_history": q3, "Q4_attach_feedback": q4, "Q5_compact_history": q5, "Q6_history_summary": q6, "Q7_risk_trend": q7, "Q8_feedback_metrics": q8, "Q9_stream_scores": q9, "Q10_job_status": q10, "Q10_job_status_stream": q10s, "Q11_stalled_jobs": q11, "Q11_stalled_jobs_stream": q11s, "Q12_stream_dedupe": q12, "Q13_verify_progress": q13, "Q14_newest_jobs": q14, "Q15_windowed_risk": q15, "Q15_windowed_risk_stream": q15s,
+    "Q1_recent_history": q1, "Q2_apply_retention": q2, "Q3_delete_history": q3, "Q4_attach_feedback": q4, "Q5_compact_history": q5, "Q6_history_summary": q6, "Q6_common_factors": q6f, "Q7_risk_trend": q7, "Q8_feedback_metrics": q8, "Q9_stream_scores": q9, "Q10_job_status": q10, "Q10_job_status_stream": q10s, "Q11_stalled_jobs": q11, "Q11_stalled_jobs_stream": q11s, "Q12_stream_dedupe": q12, "Q13_verify_progress": q13, "Q14_newest_jobs": q14, "Q15_windowed_risk": q15, "Q15_windowed_risk_stream": q15s,
     "R1_sector_baselines": r1, "R2_baseline_position": r2, "R3_company_history_conflicts": r3, "R4_review_queue": r4, "R5_annotator_kappa": r5,
 }
 
@@ -279,8 +284,8 @@ HISTORY_SQL = f"history AS (SELECT {HISTORY} FROM events), risks AS (SELECT *, (
 JOBS_SQL = f"jobs AS (SELECT {JOBS} FROM events)"
 INTAKE_SQL = f"""intake AS (SELECT {INTAKE} FROM documents), judged AS (SELECT *, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN length(text) > 10000 THEN 'too_long' WHEN context_type = 'poem' THEN 'bad_context_type' WHEN sector = 'magic' THEN 'bad_sector' END AS reason FROM intake)"""
 METRICS_SQL = STRUCTURE_SQL + ",\n" + C.COMPANIES_SQL + """,
-metrics AS (SELECT s.doc_id, claim_id, metric_unit, metric_value AS value, sector, nation FROM structured s JOIN companies USING (doc_id) WHERE metric_value IS NOT NULL),
-baselines AS (SELECT sector, metric_unit, count(*) AS n, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90 FROM metrics GROUP BY sector, metric_unit)"""
+metrics AS (SELECT s.doc_id, claim_id, metric_unit, metric_value AS value, sector, nation, year FROM structured s JOIN companies USING (doc_id) WHERE metric_value IS NOT NULL),
+baselines AS (SELECT sector, nation, year, metric_unit, count(*) AS n, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90 FROM metrics GROUP BY ALL)"""
 NAMES_SQL = rf"""names AS (SELECT {NAMES} FROM documents), bases AS (SELECT *, regexp_replace(path, '(?i)\.pdf$', '') AS b, regexp_extract(regexp_replace(path, '(?i)\.pdf$', ''), '(?:^|[^0-9])(199\d|20\d{{2}})(?:[^0-9]|$)', 1) AS y FROM names),
 meta AS (SELECT doc_id, path, nullif(trim(regexp_replace(regexp_replace(CASE WHEN y = '' THEN b ELSE b[1:strpos(b, y) - 1] END, '[-_]+', ' ', 'g'), '\s+', ' ', 'g')), '') AS company, nullif(y, '')::INT AS year, 'esg_report' AS report_type, 0.4::DOUBLE AS confidence FROM bases)"""
 
@@ -295,10 +300,10 @@ ORACLE_SQL = {
     "A3_inventory_pdfs": f"WITH f AS (SELECT {FILES} FROM pages) SELECT path, strlen(body)::BIGINT AS size, body LIKE '\\%PDF-%' ESCAPE '\\' AS is_pdf, CASE WHEN body = '' THEN 'empty' WHEN NOT body LIKE '\\%PDF-%' ESCAPE '\\' THEN 'not_pdf' END AS reason FROM f",
     "A4_read_page_text": """SELECT doc_id, coalesce("text", '') || chr(12) AS raw_text FROM documents""",
     "A12_filename_metadata": f"WITH {NAMES_SQL} SELECT * FROM meta",
-    "A13_metadata_merge": f"""WITH {NAMES_SQL}, model AS (SELECT {MODEL_META} FROM names WHERE doc_id % 5 <> 0), j AS (SELECT m.doc_id, m.company, m.year, nullif(trim(m_company), '') AS mc, CASE WHEN m_year BETWEEN 1900 AND 2100 THEN m_year END AS my, m_report_type, m_confidence, m_present FROM meta m LEFT JOIN model o USING (doc_id))
+    "A13_metadata_merge": f"""WITH {NAMES_SQL}, model AS (SELECT {MODEL_META} FROM names), j AS (SELECT m.doc_id, m.company, m.year, nullif(trim(m_company), '') AS mc, CASE WHEN m_year BETWEEN 1900 AND 2100 THEN m_year END AS my, m_report_type, m_confidence, m_present FROM meta m LEFT JOIN model o USING (doc_id))
 SELECT doc_id, coalesce(mc, company) AS company, coalesce(my, year) AS year, CASE WHEN m_report_type = 'annual_report' THEN m_report_type ELSE 'esg_report' END AS report_type, CASE WHEN m_present THEN coalesce(least(1.0::DOUBLE, m_confidence), 0.7::DOUBLE) ELSE 0.4::DOUBLE END AS confidence, CASE WHEN m_present IS NULL THEN 'filename' WHEN mc IS NOT NULL AND my IS NOT NULL THEN 'llm' ELSE 'llm-partial' END AS source FROM j""",
     "A9_upsert_history": f"WITH {HISTORY_SQL} SELECT id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN 'energy' ELSE sector END AS sector, created_at FROM history",
-    "A10_export_feedback": f"WITH {HISTORY_SQL} SELECT id, created_at, feedback_json FROM history WHERE feedback_json IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 500",
+    "A10_export_feedback": f"WITH {HISTORY_SQL} SELECT id, created_at, feedback_json FROM history WHERE feedback_json IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 10000",
     "Q1_recent_history": f"WITH {HISTORY_SQL} SELECT id, created_at, sector FROM history ORDER BY created_at DESC, id DESC LIMIT 30",
     "Q2_apply_retention": f"WITH {HISTORY_SQL} SELECT id FROM history WHERE created_at >= TIMESTAMP '2026-01-15' - INTERVAL 730 DAYS",
     "Q3_delete_history": f"WITH {HISTORY_SQL} SELECT id FROM history WHERE sector <> 'error'",
@@ -319,11 +324,21 @@ SELECT id, arg_max(feedback_json, (ts, feedback_json)) AS feedback_json, 'kept'
 g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM r), h AS (SELECT *, sum((p IS NULL OR ts - p >= INTERVAL 30 MINUTES)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT 'tumbling' AS kind, s AS start, s + INTERVAL 1 HOUR AS "end", count(*) AS n, max(risk) AS max_risk FROM t GROUP BY s UNION ALL SELECT 'sliding', s, s + INTERVAL 2 HOURS, count(*), max(risk) FROM s GROUP BY s
 UNION ALL SELECT 'session', min(ts), max(ts) + INTERVAL 30 MINUTES, count(*), max(risk) FROM h GROUP BY user_id, k""",
+    "Q6_common_factors": f"WITH {HISTORY_SQL}, f AS (SELECT unnest(from_json(result_json->'factors', '[\"VARCHAR\"]')) AS factor FROM history) SELECT factor, count(*) AS n FROM f GROUP BY factor ORDER BY n DESC, factor LIMIT 10",
     "R1_sector_baselines": f"WITH {METRICS_SQL} SELECT * FROM baselines",
-    "R2_baseline_position": f"WITH {METRICS_SQL} SELECT doc_id, claim_id, value, CASE WHEN value < p10 THEN '<p10' WHEN value < p25 THEN 'p10+' WHEN value < p50 THEN 'p25+' WHEN value < p75 THEN 'p50+' WHEN value < p90 THEN 'p75+' ELSE 'p90+' END AS band FROM metrics JOIN baselines USING (sector, metric_unit)",
-    "R3_company_history_conflicts": f"WITH {STRUCTURE_SQL}, {C.COMPANIES_SQL}, told AS (SELECT company, 'unnamed_metric' || coalesce('_scope' || array_to_string(ghg_scope, ''), '') AS metric_key, year, min(target_year) AS target_year FROM structured JOIN companies USING (doc_id) WHERE target_year IS NOT NULL GROUP BY ALL) SELECT a.company, a.metric_key, a.year AS year_a, b.year AS year_b, a.target_year AS target_a, b.target_year AS target_b FROM told a JOIN told b ON a.company = b.company AND a.metric_key = b.metric_key AND a.year < b.year AND a.target_year <> b.target_year",
+    "R2_baseline_position": f"WITH {METRICS_SQL} SELECT doc_id, claim_id, value, CASE WHEN p10 IS NULL THEN 'unknown' WHEN value < p10 THEN '<p10' WHEN value < p25 THEN 'p10+' WHEN value < p50 THEN 'p25+' WHEN value < p75 THEN 'p50+' WHEN value < p90 THEN 'p75+' ELSE 'p90+' END AS band FROM metrics LEFT JOIN baselines USING (sector, nation, year, metric_unit)",
+    "R3_company_history_conflicts": f"WITH {STRUCTURE_SQL}, {C.COMPANIES_SQL}, told AS (SELECT company, 'unnamed_metric' || coalesce('_scope' || array_to_string(ghg_scope, ''), '') AS metric_key, year, target_year::DOUBLE AS target, metric_value AS v, metric_unit AS u FROM structured JOIN companies USING (doc_id)),"
+    " targets AS (SELECT DISTINCT company, metric_key, year, target FROM told WHERE target IS NOT NULL), vals AS (SELECT DISTINCT company, metric_key, year, u, v FROM told WHERE v IS NOT NULL),"
+    " gaps AS (SELECT a.company, a.metric_key, a.year AS year_a, b.year AS year_b, a.u AS ua, b.u AS ub, a.v AS va, b.v AS vb, abs(a.v - b.v) / greatest(abs(a.v), abs(b.v), 1.0::DOUBLE) AS gap FROM vals a JOIN vals b ON a.company = b.company AND a.metric_key = b.metric_key AND a.year < b.year AND (a.u IS NULL OR b.u IS NULL OR a.u = b.u)),"
+    " worst AS (SELECT *, row_number() OVER (PARTITION BY company, metric_key, year_a, year_b, ua, ub ORDER BY gap DESC, abs(va - vb) DESC, va DESC) AS place FROM gaps)"
+    " SELECT a.company, a.metric_key, a.year AS year_a, b.year AS year_b, 'target_year_mismatch' AS type, 'medium' AS severity, a.target AS value_a, b.target AS value_b FROM targets a JOIN targets b ON a.company = b.company AND a.metric_key = b.metric_key AND a.year < b.year AND a.target <> b.target"
+    " UNION ALL SELECT company, metric_key, year_a, year_b, 'numeric_metric_mismatch', CASE WHEN gap > 0.25 THEN 'high' ELSE 'medium' END, va, vb FROM worst WHERE place = 1 AND gap > 0.05::DOUBLE",
     "R5_annotator_kappa": "WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n)::DOUBLE AS t, sum(n) FILTER (a = b)::DOUBLE AS s FROM c), x AS (SELECT sum(na * nb)::DOUBLE AS c FROM (SELECT a AS v, sum(n) AS na FROM c GROUP BY a) JOIN (SELECT b AS v, sum(n) AS nb FROM c GROUP BY b) USING (v)) SELECT t::BIGINT AS n, round(s / t, 6) AS agreement, round((s / t - c / (t * t)) / (1 - c / (t * t)), 6) AS kappa FROM t, x",
 }
 
 ORACLE_SQL["A5_read_lexicon"] = f"WITH {FEATURES_SQL} SELECT {', '.join(f'count(*) FILTER (n_{c} > 0) AS {c}' for c in A.LEXICON)} FROM features"
 ORACLE_SQL["A6_read_cert_registry"] = f"WITH {MENTIONS_SQL},\n{REGISTRY_SQL} SELECT id, type, region, len(domain)::INT AS domains, coalesce(n, 0) AS claims FROM registry LEFT JOIN (SELECT cert_id, count(*) AS n FROM mentions GROUP BY cert_id) ON id = cert_id"
+_WHOLE = V1_SQL.replace(C.DOCUMENTS_SQL, r"""docs AS (SELECT doc_id, regexp_replace(coalesce("text", ''), '^\s+|\s+$', '', 'g') AS text FROM documents)""")
+ORACLE_SQL["Q9_stream_scores"] = f"WITH {_WHOLE} SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN ok THEN 'green-claim-risk' ELSE 'non-green-claim-baseline' END AS mode, CASE WHEN text = '' THEN 0 ELSE risk END AS risk FROM v1"
+ORACLE_SQL["R4_review_queue"] = f"WITH a AS (SELECT * FROM (WITH {V1_SQL} SELECT doc_id, round(confidence, 6) AS confidence FROM v1)), b AS (SELECT * FROM (WITH {RISK_SQL} SELECT doc_id, gri FROM doc_risk)) SELECT doc_id, confidence, gri FROM a JOIN b USING (doc_id) ORDER BY confidence, gri DESC, doc_id LIMIT 100"
+ORACLE_SQL["A11_export_reports"] = f"WITH {RISK_SQL}, own AS (SELECT doc_id, list({{'claim_id': claim_id, 'claim_risk': claim_risk, 'risk_level': risk_level}} ORDER BY claim_id) AS claims FROM claim_risks GROUP BY doc_id) SELECT doc_id, to_json({{'doc_id': doc_id, 'gri': gri, 'level': risk_level, 'claims': own.claims}})::VARCHAR AS report FROM doc_risk JOIN own USING (doc_id)"

@@ -237,3 +237,27 @@ def test_stream_of_stalls_agrees_with_its_twin(spark):
     twin = {(r.job_id, r.stalled_after) for r in P.q11(spark, sf).collect()}
     told = {(r.job_id, r.stalled_after) for r in P.q11s(spark, sf).collect()}
     assert twin <= told  # the stream also tells jobs that stay silent to the end
+
+
+def test_joins_with_a_missing_side(spark):
+    """Model metadata and text scores are joined whole in the queries; here some rows have none."""
+    from claimloom.operators.evidence import attach_text_risk
+    from claimloom.sources.tables import metadata_merge
+
+    own = spark.createDataFrame([(1, "Acme", 2020, "esg_report", 0.4), (2, None, None, "esg_report", 0.4)], "doc_id long, company string, year int, report_type string, confidence double")
+    model = spark.createDataFrame([(2, " Corp ", 2021, "annual_report", 0.9, True)], "doc_id long, m_company string, m_year int, m_report_type string, m_confidence double, m_present boolean")
+    got = {r.doc_id: (r.company, r.source) for r in metadata_merge(own, model, "doc_id").collect()}
+    assert got == {1: ("Acme", "filename"), 2: ("Corp", "llm")}
+    claims = spark.createDataFrame([(1, "C1"), (2, "C1")], "doc_id long, claim_id string")
+    index = spark.createDataFrame([(2, 60.0, "x")], "doc_id long, tgri double, risk_level string")
+    got = {r.doc_id: (r.text_risk_score, r.text_risk_level) for r in attach_text_risk(claims, index).collect()}
+    assert got[1] == (0.0, "unknown") and got[2][0] == 60.0
+
+
+def test_company_history_conflicts_finds_every_different_target(spark):
+    from claimloom.operators.planned import company_history_conflicts
+
+    claims = spark.createDataFrame([(1, 2030, None), (1, 2040, 10.0), (2, 2030, 10.2), (2, 2045, 30.0), (3, None, None)], "doc_id long, target_year int, metric_value double").selectExpr("*", "cast(null as array<int>) ghg_scope", "'t' metric_unit")
+    meta = spark.createDataFrame([(1, "X", 2020), (2, "X", 2021), (3, "X", 2022)], "doc_id long, company string, year int")
+    got = sorted((r.type, r.value_a, r.value_b, r.severity) for r in company_history_conflicts(claims, meta).collect())
+    assert got == [("numeric_metric_mismatch", 10.0, 30.0, "high"), *[("target_year_mismatch", a, b, "medium") for a, b in ((2030.0, 2045.0), (2040.0, 2030.0), (2040.0, 2045.0))]]
