@@ -5,6 +5,10 @@ counts CJK characters as word characters, so pattern() spells the boundary out."
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +24,37 @@ def matches(text: Column, p: str, ignore_case: bool = True) -> Column:
     return text.rlike(pattern(p, ignore_case))
 
 
+def needed(p: str) -> list[str]:
+    """Lower-cased literals of which any match of p has at least one, if its case is ignored: the longest
+    plain run of each alternative outside of groups, classes and optional characters. Empty if one has none."""
+    depth, parts = 0, [""]
+    for token in re.findall(r"\\.|\[[^\]]*\]|.", p, re.S):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += token
+    out = []
+    for part in parts:
+        rest, gap = part, "\0"
+        for hole in (r"\\.[?*+]?|\[[^\]]*\][?*+]?", r"\([^()]*\)[?*+]?", r"[^\0][?*]|[+^$.]"):
+            while (shorter := re.sub(hole, gap, rest, flags=re.S)) != rest:
+                rest = shorter
+        runs = [x for x in rest.split(gap) if x]
+        if not runs or any(c in rest for c in "(){}"):
+            return []
+        out.append(max(runs, key=len).lower())
+    return out
+
+
+def matches_rare(text: Column, low: Column, p: str) -> Column:
+    """matches(text, p) for patterns that few texts match: the pattern is tried only where lower-cased
+    text low has one of the literals that it needs."""
+    if not (literals := needed(p)):
+        return matches(text, p)
+    return reduce(or_, [F.contains(low, F.lit(x)) for x in literals]) & matches(text, p)
+
+
 def found(text: Column, terms: list[str]) -> Column:
     """The terms that text contains, in declared order, without regard to case. No join, no shuffle.
     The text is lower-cased once, as the one element of an array: inside the lambda over the terms it

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CERTIFICATES, FALSE_LABELS, SEVERITY_RISK
-from ..functions.semantics import matches
+from ..functions.semantics import matches_rare
 
 REGISTRY = "id string, name_en string, name_zh string, type string, region string, domain array<string>, founded_year int, identifier_pattern string"
 
@@ -24,9 +24,9 @@ def read_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def with_certificates(claims: DataFrame) -> DataFrame:
-    """certs: ids of certificates in declared order. One projection of literal patterns, compiled once."""
-    hits = F.array(*[F.when(matches(F.col("text"), c[7]), c[0]) for c in CERTIFICATES])
-    return claims.withColumn("certs", F.array_compact(hits))
+    """certs: ids of certificates in declared order. A projection of literal patterns, compiled once."""
+    hits = F.array(*[F.when(matches_rare(F.col("text"), F.col("__low"), c[7]), c[0]) for c in CERTIFICATES])
+    return claims.withColumn("__low", F.lower("text")).withColumn("certs", F.array_compact(hits)).drop("__low")
 
 
 def match_certifications(claims: DataFrame) -> DataFrame:
@@ -52,8 +52,8 @@ def fold_cited_evidence(mentions: DataFrame, cited: DataFrame, registry: DataFra
 
 def with_signals(claims: DataFrame) -> DataFrame:
     """signals: names and severities of false-label signals in declared order."""
-    hits = F.array(*[F.when(matches(F.col("text"), p), F.struct(F.lit(s).alias("signal"), F.lit(v).alias("severity"))) for s, v, p in FALSE_LABELS])
-    return claims.withColumn("signals", F.array_compact(hits))
+    hits = F.array(*[F.when(matches_rare(F.col("text"), F.col("__low"), p), F.struct(F.lit(s).alias("signal"), F.lit(v).alias("severity"))) for s, v, p in FALSE_LABELS])
+    return claims.withColumn("__low", F.lower("text")).withColumn("signals", F.array_compact(hits)).drop("__low")
 
 
 def false_label_signals(claims: DataFrame) -> DataFrame:
