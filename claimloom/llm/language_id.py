@@ -1,8 +1,10 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams in Spark, one row per (language, bucket); the driver gets at most
-languages x 2**bits sums, a bound that no corpus size changes. Prediction broadcasts the matrix of
-log-probabilities and scores each batch from its sparse (document, bucket) entries in numpy.
+Training counts n-grams in Spark, one row per (language, bucket); the driver gets at most CELLS sums, a
+bound that no corpus size changes: there are 2**16 buckets, and fewer where there are more than 256
+languages. Every language of the labels is learned; over MAX_LANGS of them are an error, not a cut.
+Prediction broadcasts the matrix of log-probabilities and scores each batch from its sparse (document,
+bucket) entries in numpy.
 
 Defined cases: null text, or a text without any letter -> `und` with score 0; null lang or null
 text is never learned from; no labelled row at all -> every text with letters is `und`, score 0;
@@ -14,17 +16,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_text_columns
+from .common import add_text_columns, sub_batches
 
 NGRAMS = (1, 2, 3)
 BITS = 16
 #: At most about so many documents of each language are learned from (all, where there are fewer).
 TRAIN_DOCS_PER_LANG = 5000
-MAX_LANGS = 1000
+#: Entries of the matrix at most, and languages.
+CELLS, MAX_LANGS = 1 << 24, 1 << 15
 CHUNK = 1 << 20
 
 _letters: list[np.ndarray] = []
@@ -77,37 +81,29 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits:
     """Fit on about per_lang documents of each language: a language's share of rows is cut by a hash of
     the text, so the choice doesn't depend on order or partitions."""
     labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).filter("t IS NOT NULL AND g IS NOT NULL")
-    sizes = {r.g: r.n for r in labelled.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(MAX_LANGS).collect()}
+    sizes = {r.g: r.n for r in labelled.groupBy("g").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} different labels: they are no languages")
     if not langs:
         return Model([], bits, np.zeros(0), np.zeros((0, 1 << bits), np.float32))
+    bits = min(bits, (CELLS // len(langs)).bit_length() - 1)
     share = F.create_map(*[F.lit(x) for g in langs for x in (g, min(1.0, per_lang / sizes[g]))])
-    sample = labelled.filter(F.col("g").isin(langs)).filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share[F.col("g")] * 1_000_000)
+    sample = labelled.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share[F.col("g")] * 1_000_000)
     index = {g: i for i, g in enumerate(langs)}
 
     def count(batches):
-        import pyarrow as pa
-
-        sums = np.zeros((len(langs), 1 << bits), np.int64)
-        n_docs = np.zeros(len(langs), np.int64)
         for batch in batches:
             texts, of = batch.column(0).to_pylist(), np.array([index[g] for g in batch.column(1).to_pylist()], np.int64)
-            n_docs += np.bincount(of, minlength=len(langs))
-            from .common import sub_batches
-
             for a, b in sub_batches(texts):
                 code, doc = encode(texts[a:b])
                 for d, h in ngram_entries(code, doc, bits):
-                    sums += np.bincount((of[a:b][d] << bits) + h, minlength=sums.size).reshape(sums.shape)
-        g, h = np.nonzero(sums)
-        g, h, n = np.concatenate([g, np.arange(len(langs))]), np.concatenate([h, np.full(len(langs), -1)]), np.concatenate([sums[g, h], n_docs])
-        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(h, pa.int32()), pa.array(n, pa.int64())], names=["g", "h", "n"])
+                    cell, n = np.unique((of[a:b][d] << bits) + h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell >> bits, pa.int32()), pa.array(cell & (1 << bits) - 1, pa.int32()), pa.array(n, pa.int64())], names=["g", "h", "n"])
 
     sums = sample.mapInArrow(count, "g int, h int, n long").groupBy("g", "h").agg(F.sum("n").alias("n")).toPandas()
-    table, n_docs = np.zeros((len(langs), 1 << bits)), np.zeros(len(langs))
-    grams = sums[sums.h >= 0]
-    table[grams.g, grams.h] = grams.n
-    n_docs[sums[sums.h < 0].g] = sums[sums.h < 0].n
+    table = np.zeros((len(langs), 1 << bits))
+    table[sums.g, sums.h] = sums.n
     log_prob = np.log(table + alpha) - np.log(table.sum(1, keepdims=True) + alpha * table.shape[1])
     prior = np.array([sizes[g] for g in langs], float)
     return Model(langs, bits, np.log(prior / prior.sum()), log_prob.astype(np.float32))

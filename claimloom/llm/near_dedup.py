@@ -18,7 +18,8 @@ nothing and are their own component; with fewer than five words the whole sequen
 shingle; rows with equal doc_id go by their own texts (labels of components are hashes of the sets,
 the smallest doc_id is only reported); a null doc_id is
 linked like others, its component is the smallest id reachable, null if none, and it is not kept; no rows give no rows;
-existing columns named as the results are replaced."""
+existing columns named as the results are replaced. Keys must be integers, or cast to them: others are
+an error."""
 
 from __future__ import annotations
 
@@ -118,18 +119,17 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every a of edges (a, b) but the roots, which are the smallest of their components."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
-    while True:
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if new == state or not new[0]:
-            return edges.select("a", F.col("b").alias("root"))
-        state = new
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        edges = written(small, "edges")
+        before, edges = edges, written(small, "edges")
+        # at the end nothing changes; sets of one size are equal if one has nothing beside the other
+        if edges.count() == before.count() and edges.join(before, ["a", "b"], "left_anti").isEmpty():
+            break
+    return edges.select("a", F.col("b").alias("root"))
 
 
 def links_of_block(table: pa.Table) -> pa.Table:

@@ -2,8 +2,9 @@
 
 Each document is tested against rules; failures are aggregated by host (here: `source`); the rate
 of each host is shrunken towards the mean rate by a beta prior whose two parameters are estimated
-from all hosts (method of moments); hosts with a shrunken rate above a limit are distrusted, and
-the verdict is joined back: of a distrusted host only documents that pass every rule stay.
+from all hosts (method of moments); hosts whose shrunken rate is above HOST_FACTOR times the prior's mean
+are distrusted, and the verdict is joined back: of a distrusted host only documents that pass every
+rule stay. So hosts are judged against each other, whatever the rate of the whole corpus.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of
 its own; no rows give no rows; with a single host, or hosts that don't differ, the prior is the
@@ -24,8 +25,8 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: Soft rules, beside the base rule. They only count for hosts and within distrusted hosts.
 MEAN_WORD = (2, 15)
-#: A host is distrusted above this shrunken rate of failing documents.
-HOST_LIMIT = 0.5
+#: A host is distrusted above so many times the mean rate of failing documents.
+HOST_FACTOR = 1.2
 #: Bounds of the weight of the prior, in documents.
 PRIOR_MIN, PRIOR_MAX = 2.0, 1000.0
 
@@ -102,7 +103,7 @@ def host_verdicts(stats: DataFrame, host: str) -> DataFrame:
     weight = F.when(F.col("v") > 1e-12, F.least(F.lit(PRIOR_MAX), F.greatest(F.lit(PRIOR_MIN), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(PRIOR_MAX))
     rate = (F.col("failed") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))
     with_prior = hosts.crossJoin(F.broadcast(moments.withColumn("w", weight)))  # one row
-    return with_prior.select("__host", "n", "failed", rate.alias("rate")).withColumn("distrusted", F.col("rate") > HOST_LIMIT)
+    return with_prior.select("__host", "n", "failed", rate.alias("rate"), (rate > HOST_FACTOR * F.col("m")).alias("distrusted"))
 
 
 def host_quality(docs: DataFrame, host: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -143,9 +144,14 @@ judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
 hosts AS (SELECT source, count(*) AS n, sum(rule_failed::BIGINT) AS failed FROM judged GROUP BY source),
 moments AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts),
 prior AS (SELECT m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(2.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS w FROM moments),
-verdicts AS (SELECT source, ((failed + m * w) / (n + w))::DOUBLE AS rate FROM hosts, prior),
-quality AS (SELECT judged.*, rate AS host_rate, NOT base_failed AND NOT (rate > 0.5 AND rule_failed) AS kept FROM judged LEFT JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source)
+verdicts AS (SELECT source, ((failed + m * w) / (n + w))::DOUBLE AS rate, rate > {factor}::DOUBLE * m AS distrusted FROM hosts, prior),
+quality AS (SELECT judged.*, rate AS host_rate, NOT base_failed AND NOT (distrusted AND rule_failed) AS kept FROM judged LEFT JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source)
 """
 
+
+def stats_sql(documents: str) -> str:
+    return STATS_SQL.format(documents=documents, factor=HOST_FACTOR)
+
+
 QUERIES = {"op4_quality_rules": op4_quality_rules}
-ORACLE_SQL = {"op4_quality_rules": "WITH " + STATS_SQL.format(documents="documents") + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, round(host_rate, 9) AS host_rate FROM quality"}
+ORACLE_SQL = {"op4_quality_rules": "WITH " + stats_sql("documents") + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, round(host_rate, 9) AS host_rate FROM quality"}

@@ -14,7 +14,7 @@ LENGTH bytes, two cover samples in their first 73 positions tie for GRAM = LENGT
 
 The method's comparison is by 64-bit fingerprints of the compared bytes, not by order of the bytes,
 because only equality for LENGTH bytes is asked for. (Chance of one false tie among n long ties:
-n * n / 2**65.) Memory is bounded by a chunk of texts in steps 1-3's maps, and by a bucket in sorts;
+n * n / 2**65, or n * n / 2**(57 + bits) with 2**bits buckets, where they are fewer than 256.) Memory is bounded by a chunk of texts in steps 1-3's maps, and by a bucket in sorts;
 the number of buckets follows the input. A chunk tells each distinct string once, so a string shared by
 very many documents is told once per chunk. Whole texts equal to an earlier text are settled by a
 digest beforehand: their bytes are all covered.
@@ -24,7 +24,8 @@ sorts come back as one bit per suffix, joined by chunk without a shuffle of text
 
 Defined cases: null is the empty text; texts shorter than LENGTH stay whole; equal doc_ids are told
 apart in the order in which the table was written; a null doc_id comes before all others; no rows
-give no rows; other columns of the input are not used."""
+give no rows; other columns of the input are not used. Keys must be integers, or cast to them: others
+are an error."""
 
 from __future__ import annotations
 

@@ -116,6 +116,12 @@ def test_distrusted_hosts(spark):
     assert 2001 in kept and 2000 not in kept and 1000 in kept and 1 in kept and 1001 not in kept
 
 
+def test_a_host_of_the_given_tables_is_distrusted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.host_quality(docs).selectExpr("kept <> (not base_failed) as differs", "kept and base_failed as wrong").collect()
+    assert any(r.differs for r in got) and not any(r.wrong for r in got)
+
+
 def brute_hits(text, items):
     w, hit, found = decontamination.words_of(text), set(), set()
     for k, t in items:

@@ -1,8 +1,10 @@
 """Queries beside their oracle SQL, and the others beside brute force, on the smallest tables."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ import pytest
 from compare import DATA, difference
 from tokenizers import Tokenizer
 
-from claimloom.llm import registry
+from claimloom.llm import language_id, registry
 
 SF = f"{DATA}/sf0.001"
 
@@ -85,6 +87,41 @@ def test_token_files(spark):
     assert [tuple(r) for r in registry.QUERIES["op10_token_files"](spark, SF).orderBy("doc_id").collect()] == want
 
 
+def brute_grams(text, bits):
+    s = " " + text.lower() + " " if text else " "
+    s = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in s))
+    for n in (1, 2, 3):
+        for i in range(len(s) - n + 1):
+            if n > 1 or s[i] != " ":
+                h = n
+                for c in s[i : i + n]:
+                    h = (h * 1_000_003 + ord(c)) % 2**64
+                yield (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)
+
+
+def test_language_id_beside_plain_naive_bayes(spark):
+    """Counts, logarithms and sums in plain Python, over every document of the smallest table."""
+    bits, alpha = language_id.BITS, 0.05
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts, docs = {}, Counter()
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts.setdefault(r.lang, Counter()).update(brute_grams(r.text, bits))
+            docs[r.lang] += 1
+    logs = {g: math.log(sum(c.values()) + alpha * 2**bits) for g, c in counts.items()}
+    got = {r.doc_id: r for r in registry.QUERIES["op1_language_id"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        grams = Counter(brute_grams(r.text, bits))
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        own = {g: math.log(docs[g] / docs.total()) + sum(n * (math.log(c[h] + alpha) - logs[g]) for h, n in grams.items()) for g, c in counts.items()}
+        best = max(sorted(own), key=own.__getitem__)
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - 1 / sum(math.exp(min(0, x - own[best])) for x in own.values())) < 1e-3
+
+
 def test_language_id_on_held_out_documents(spark):
     sf = f"{DATA}/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")

@@ -18,7 +18,7 @@ def test_pipeline(spark):
     def keep(table: str, source: str, ids: list) -> None:
         con.execute(f"CREATE TABLE {table} AS SELECT * FROM {source} WHERE list_contains(?, doc_id)", [ids])
 
-    keep("d1", "documents", [r[0] for r in con.execute("WITH " + quality.STATS_SQL.format(documents="documents") + "SELECT doc_id FROM quality WHERE kept").fetchall()])
+    keep("d1", "documents", [r[0] for r in con.execute("WITH " + quality.stats_sql("documents") + "SELECT doc_id FROM quality WHERE kept").fetchall()])
     keep("d2", "d1", [k for k, _, _, kept in brute_components(con.execute('SELECT doc_id, "text" FROM d1').fetchall(), 80) if kept])
     keep("d3", "d2", [r[0] for r in con.execute("WITH " + decontamination.LEAK_SQL.format(documents="d2") + "SELECT doc_id FROM leaks WHERE n_hit = 0").fetchall()])
     mix = "WITH RECURSIVE " + mixing.MIX_SQL.format(seed=mixing.SEED, steps=1 << mixing.STEPS, repeats=mixing.MAX_REPEATS, documents="d3")
