@@ -141,12 +141,14 @@ def test_decontamination_finds_every_window(spark, odd, none):
     texts = [" ".join(r.choice("abc") for _ in range(n)) for n in (0, 1, 5, 9, 10, 40, 200)] + [words(9, 30) + " " + words(8) + " " + words(9, 30), None, "A, b! C-a."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = [brute_hits(t, items) for t in texts]
-    for block in (decontamination.BLOCK_BYTES, 40):
-        got = decontamination.find_leaks(docs, bench_of(spark, *items), block_bytes=block).orderBy("doc_id").collect()
+    for block in (decontamination.BLOCK, 20):
+        got = decontamination.find_leaks(docs, bench_of(spark, *items), block=block).orderBy("doc_id").collect()
         assert [(g.n_words, g.n_hit, g["items"]) for g in got] == want
     assert decontamination.find_leaks(odd, bench_of(spark, (None, words(1)))).filter("n_hit > 0").count() == 3
     assert decontamination.find_leaks(none, bench_of(spark, (1, "a"))).count() == 0
     assert decontamination.find_leaks(odd, bench_of(spark)).filter("n_hit > 0").count() == 0
+    left = decontamination.without_leaks(odd, bench_of(spark, (None, words(1))))
+    assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(["2", "3", "4", "5", "8", "8", "None", "None"])
 
 
 def brute_repeats(rows, length):
