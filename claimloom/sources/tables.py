@@ -55,12 +55,14 @@ def read_lexicon(spark: SparkSession, path: str | None = None) -> dict[str, list
     """Terms by category: from a JSON table (category, ord, term) at path, else the fixed ones. No terms is an error."""
     if path is None:
         return LEXICON
-    rows = spark.read.schema("category string, ord int, term string").json(path).filter("category IS NOT NULL AND term IS NOT NULL").orderBy("category", "ord").limit(100_000).collect()
+    rows = spark.read.schema("category string, ord int, term string").json(path).filter("category IS NOT NULL AND term IS NOT NULL").orderBy("category", "ord").limit(100_001).collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r.category, []).append(r.term)
     if not out:
         raise ValueError(f"{path} has no terms")
+    if len(rows) > 100_000:
+        raise ValueError(f"{path} has over 100,000 terms, which is no lexicon to match every text with")
     return out
 
 
