@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,50 +50,37 @@ def retrieve_lexical(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataF
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def retrieve_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+def retrieve_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, part: int = 32768) -> DataFrame:
     """The k nearest vectors by cosine of each query (query_id, embedding), not counting itself. Queries go in
-    blocks of bounded size, broadcast one after another; each task keeps k per query, then Spark ranks. Scores
-    count to six decimals, and the smaller id wins a tie."""
-    spark, out = vectors.sparkSession, None
-
-    def blocks() -> Iterator[list]:
-        some = []
-        for r in queries.select("query_id", "embedding").toLocalIterator():
-            some.append((r.query_id, r.embedding))
-            if len(some) == block:
-                yield some
-                some = []
-        if some:
-            yield some
-
-    for some in blocks():
-        shared = spark.sparkContext.broadcast(some)
-
-        def nearest(frames, shared=shared):
-            import numpy as np
-            import pandas as pd
-
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            ids = np.array([i for i, _ in shared.value])
-            q = unit(np.array([v for _, v in shared.value], np.float64))
-            best, best_ids = np.full((len(q), 0), -2.0), np.zeros((len(q), 0), np.int64)
-            for f in frames:
-                for start in range(0, len(f), 1024):  # a slice of scores at a time
-                    own = f["vec_id"].to_numpy()[start : start + 1024]
-                    score = np.round(q @ unit(np.stack(f["embedding"].to_numpy()[start : start + 1024]).astype(np.float64)).T, 6)
-                    score[ids[:, None] == own[None, :]] = -2
-                    best, best_ids = np.hstack([best, score]), np.hstack([best_ids, np.broadcast_to(own, score.shape)])
-                    top = np.lexsort((best_ids, -best))[:, :k]
-                    best, best_ids = np.take_along_axis(best, top, 1), np.take_along_axis(best_ids, top, 1)
-            if best.size:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": best_ids.ravel(), "score": best.ravel()})
-
-        part = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double").filter("score >= -1.5")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    blocks and vectors in parts of bounded size; each block meets each part in one task, which keeps k per
+    query, then Spark ranks. Scores count to six decimals, and the smaller id wins a tie."""
+    rows = vectors.select("vec_id", "embedding").filter("embedding IS NOT NULL")
+    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    n_blocks, n_parts = asked.count() // block + 1, rows.count() // part + 1
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        """Even shares by place in the input, also where ids repeat; a copy for each share of the other side."""
+        return df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    def nearest(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(others):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        ids, q = some["query_id"].to_numpy(), unit(np.stack(some["embedding"].to_numpy()).astype(np.float64))
+        best, best_ids = np.full((len(q), 0), -2.0), np.zeros((len(q), 0), np.int64)
+        for start in range(0, len(others), 1024):  # a slice of scores at a time
+            own = others["vec_id"].to_numpy()[start : start + 1024]
+            score = np.round(q @ unit(np.stack(others["embedding"].to_numpy()[start : start + 1024]).astype(np.float64)).T, 6)
+            score[ids[:, None] == own[None, :]] = -2
+            best, best_ids = np.hstack([best, score]), np.hstack([best_ids, np.broadcast_to(own, score.shape)])
+            top = np.lexsort((best_ids, -best))[:, :k]
+            best, best_ids = np.take_along_axis(best, top, 1), np.take_along_axis(best_ids, top, 1)
+        return pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": best_ids.ravel(), "score": best.ravel()})
+
+    left, right = dealt(asked, "block", n_blocks, "part", n_parts), dealt(rows, "part", n_parts, "block", n_blocks)
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(nearest, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return met.filter("score >= -1.5").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def dedupe_chunks(retrieved: DataFrame) -> DataFrame:

@@ -66,11 +66,23 @@ def common_factors(history: DataFrame, n: int = 10) -> DataFrame:
     return rows.groupBy("factor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "factor").limit(n)
 
 
-def risk_trend(history: DataFrame, by: str = "sector") -> DataFrame:
-    """Centred mean of three analyses in time, rounded half up; a trend per group of `by`."""
-    w = Window.partitionBy(by).orderBy("created_at", "id").rowsBetween(-1, 1)
+def risk_trend(history: DataFrame, by: str = "sector", unit: str = "day") -> DataFrame:
+    """Centred mean of three analyses in time, rounded half up; a trend per group of `by`.
+
+    A group is ordered one unit of time at a time, so a busy one spreads over tasks. What lies across the
+    edges comes from the first and last row of each unit, of which a calendar bounds the number."""
     risk = F.get_json_object("result_json", "$.risk").cast("int")
-    return history.select("id", by, "created_at", risk.alias("risk")).withColumn("sma", F.floor(F.avg("risk").over(w) + 0.5).cast("int"))
+    rows = history.select("id", by, "created_at", risk.alias("risk"), F.date_trunc(unit, "created_at").alias("__unit"))
+    row = F.struct("created_at", "id", "risk")
+    ends = rows.groupBy(by, "__unit").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    units = Window.partitionBy(by).orderBy("__unit")
+    ends = ends.select(F.col(by).alias("__by"), F.col("__unit").alias("__at"), F.lag("last.risk").over(units).alias("__before"), F.lead("first.risk").over(units).alias("__after"))
+    inside = Window.partitionBy(by, "__unit").orderBy("created_at", "id")
+    near = lambda f, edge: F.when(f(F.lit(1)).over(inside).isNull(), F.col(edge)).otherwise(f("risk").over(inside))
+    rows = rows.join(ends, F.col(by).eqNullSafe(F.col("__by")) & F.col("__unit").eqNullSafe(F.col("__at")))
+    three = F.array_compact(F.array(near(F.lag, "__before"), F.col("risk"), near(F.lead, "__after")))
+    mean = F.aggregate(three, F.lit(0), lambda a, x: a + x) / F.nullif(F.size(three), F.lit(0))
+    return rows.select("id", by, "created_at", "risk", F.floor(mean + 0.5).cast("int").alias("sma"))
 
 
 def feedback_metrics(history: DataFrame) -> DataFrame:

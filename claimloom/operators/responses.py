@@ -11,19 +11,25 @@ ANSWER = "summary string, annotations array<string>, adjustedRisk double, eviden
 EMOTION_LEVELS = ["none", "low", "medium", "high"]
 
 
-def json_candidates(raw: Column) -> list[Column]:
-    """The text itself; without code fences; its first object or list; that without comments and trailing commas."""
+#: A JSON string, so that what looks like a comment or a comma inside one is left alone.
+_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
+
+
+def json_candidates(raw: Column) -> list[tuple[int, Column]]:
+    """Attempts: 0 the text itself; 1 without code fences; 2 from its first brace, or else its first bracket,
+    on; 3 those without comments and trailing commas. Readers stop after the first value, so what follows a
+    value doesn't matter."""
     bare = F.trim(F.regexp_replace(raw, r"(?i)^\s*```(?:json)?\s*|\s*```\s*\z", ""))
-    first = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
-    clean = F.regexp_replace(F.regexp_replace(first, r"(?m)(?<!:)//[^\n]*$|(?s)/\*.*?\*/", ""), r",(\s*[\}\]])", "$1")
-    return [raw, bare, first, clean]
+    starts = [F.regexp_extract(bare, p, 0) for p in (r"(?s)\{.*", r"(?s)\[.*")]
+    clean = [F.regexp_replace(F.regexp_replace(x, rf"(?s){_STRING}|//[^\n]*+|/\*.*?\*/", "$1"), rf"(?s){_STRING}|,(\s*[\}}\]])", "$1$2") for x in starts]
+    return [(0, raw), (1, bare), *[(2, x) for x in starts], *[(3, x) for x in clean]]
 
 
 def parse_answers(rows: DataFrame, raw: str = "raw", schema: str = ANSWER) -> DataFrame:
     """answer: the first candidate that is JSON, or null; attempt: which (0-3). A row is never dropped."""
-    tries = F.array(*[F.struct(F.lit(i).alias("attempt"), F.from_json(x, schema, {"mode": "PERMISSIVE"}).alias("answer"), is_json(x).alias("ok")) for i, x in enumerate(json_candidates(F.col(raw)))])
-    good = F.filter(tries, lambda t: t["ok"])
-    return rows.withColumn("__g", F.get(good, F.lit(0))).withColumns({"answer": F.col("__g.answer"), "attempt": F.col("__g.attempt")}).drop("__g")
+    tries = F.array(*[F.struct(F.lit(i).alias("attempt"), x.alias("json")) for i, x in json_candidates(F.col(raw))])
+    good = F.get(F.filter(tries, lambda t: is_json(t["json"])), F.lit(0))
+    return rows.withColumn("__g", good).withColumns({"answer": F.from_json("__g.json", schema, {"mode": "PERMISSIVE"}), "attempt": F.col("__g.attempt")}).drop("__g")
 
 
 def is_json(x: Column) -> Column:

@@ -19,9 +19,13 @@ from .texts import V1_SQL, midpoint_sql
 
 # Model answers are made from the claims and documents themselves, by expressions that both engines read.
 LABELS = "CASE CAST(ord % 4 AS INT) WHEN 0 THEN 'Opportunity' WHEN 1 THEN 'risk' WHEN 2 THEN 'Neutral' END AS sentiment_label, CASE CAST(ord % 5 AS INT) WHEN 0 THEN 'yes' WHEN 1 THEN 'no commitment' WHEN 2 THEN 'Commitment' WHEN 3 THEN 'commitment detected' END AS commitment_label, CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'spec' WHEN 1 THEN 'unspec' WHEN 2 THEN 'non-specific' WHEN 3 THEN 'specific' END AS specificity_label, CAST((doc_id % 10) / 10.0 AS DOUBLE) AS specificity_raw"
-ANSWERS = """CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN concat('{"summary": "target and audit", "adjustedRisk": ', CAST(doc_id % 100 AS STRING), ', "evidenceStatus": "supported"}')
- WHEN 1 THEN concat('```json', chr(10), '{"summary": "net zero", "adjustedRisk": ', CAST(doc_id % 90 AS STRING), ', "annotations": ["a", "b"]}', chr(10), '```')
- WHEN 2 THEN concat('Here it is: {"summary": "vague", "evidenceStatus": "maybe",}', chr(10)) ELSE 'no answer' END"""
+ANSWERS = """CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN concat('{"summary": "', w, '", "adjustedRisk": ', CAST(n AS STRING), ', "evidenceStatus": "supported"}')
+ WHEN 1 THEN concat('```json', chr(10), '{"summary": "', w, '", "adjustedRisk": ', CAST(n AS STRING), ', "annotations": ["', w, '", "b"]}', chr(10), '```')
+ WHEN 2 THEN concat('Here it is: {"summary": "', w, '", "evidenceStatus": "maybe",}', chr(10)) WHEN 3 THEN concat('no answer on ', w)
+ WHEN 4 THEN concat('As [asked]: {"summary": "{', w, '} // [x]", "emotionAnalysis": {"score": ', CAST(n AS STRING), '}, "adjustedRisk": ', CAST(n AS STRING), '} instead of {', w, '}')
+ ELSE concat('{"summary": "http://', w, ',]", /* ', w, ' */ "annotations": ["', w, '",], "adjustedRisk": ', CAST(n AS STRING), ' // {', w, '}', chr(10), '}') END"""
+#: A word and a number of each document, of which answers are made.
+SAID = """doc_id, regexp_extract(coalesce("text", ''), '[A-Za-z]+', 0) AS w, CAST(length(coalesce("text", '')) % 100 AS INT) AS n"""
 EMOTION = "CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN CAST(doc_id % 130 AS DOUBLE) END AS model_score, doc_id % 2 = 0 AS nlp_ok, CAST(doc_id % 101 AS DOUBLE) AS nlp_score, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'opportunity' WHEN 1 THEN 'risk' WHEN 2 THEN 'odd' ELSE 'neutral' END AS nlp_sentiment, CAST((doc_id % 11) / 10.0 AS DOUBLE) AS nlp_specificity"
 REQUESTS = "event_id AS request_id, ts, concat('text ', CAST(user_id % 7 AS STRING)) AS text, event_type AS context_type, 'energy' AS sector, 'p' AS provider, 'm' AS model"
 
@@ -72,7 +76,8 @@ def k6(spark, sf):
 
 
 def answers(spark, sf):
-    return C.table(spark, sf, "documents").select("doc_id", F.expr(ANSWERS).alias("raw"))
+    said = spark.sql("SELECT " + SAID.replace('"text"', "text") + " FROM {docs}", docs=C.table(spark, sf, "documents"))
+    return said.select("doc_id", F.expr(ANSWERS).alias("raw"))
 
 
 def a8(spark, sf):
@@ -244,6 +249,27 @@ tag_checks AS (SELECT doc_id, 'llm_tag_overlap' AS "check", CASE WHEN list_has_a
 all_checks AS (SELECT * FROM kind_checks UNION ALL SELECT * FROM rule_checks UNION ALL SELECT * FROM gap_checks UNION ALL SELECT * FROM tag_checks)"""
 )
 _KEY = "sha256(concat_ws(chr(31), text, context_type, sector, provider, model))"
+_STRING = r'("(?:[^"\\]|\\.)*")'
+
+
+def _valid(x: str) -> str:
+    """JSON without trailing commas, which DuckDB lets pass."""
+    return rf"(json_valid({x}) AND NOT regexp_matches(regexp_replace({x}, '{_STRING}', 's', 'g'), ',\s*[}}\]]'))"
+
+
+def _value(x: str) -> str:
+    """The first value of a text is its shortest start that is JSON."""
+    return f"list_filter(list_transform(range(1, length({x}) + 1), lambda i: {x}[1:i]), lambda s: {_valid('s')})[1]"
+
+
+ANSWERS_SQL = rf"""said AS (SELECT {SAID} FROM documents), raws AS (SELECT doc_id, {ANSWERS} AS raw FROM said),
+bares AS (SELECT *, trim(regexp_replace(raw, '^\s*```(?:json)?\s*|\s*```\s*$', '', 'g')) AS bare FROM raws),
+starts AS (SELECT *, regexp_extract(bare, '(?s)\{{.*', 0) AS o, regexp_extract(bare, '(?s)\[.*', 0) AS l FROM bares),
+clean AS (SELECT *, regexp_replace(regexp_replace(o, '(?s){_STRING}|//[^\n]*|/\*.*?\*/', '\1', 'g'), '(?s){_STRING}|,(\s*[}}\]])', '\1\2', 'g') AS fixed FROM starts),
+firsts AS (SELECT *, {_value('o')} AS a, {_value('l')} AS b, {_value('fixed')} AS c FROM clean),
+answered AS (SELECT doc_id, raw, CASE WHEN {_valid('raw')} THEN 0 WHEN {_valid('bare')} THEN 1 WHEN coalesce(a, b) IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 END::INT AS attempt,
+ CASE WHEN {_valid('raw')} THEN raw WHEN {_valid('bare')} THEN bare ELSE coalesce(a, b, c) END::JSON AS json FROM firsts)"""
+
 ORACLE_SQL = {
     "K1_zh_emotion_score": f"WITH {C.DOCUMENTS_SQL} SELECT doc_id, round_even(least(100.0::DOUBLE, ({_EMO}) / greatest(length(regexp_replace(text, '\\s+', '', 'g')) / 20, 1.0::DOUBLE) * 20), 0)::INT AS emotion_score FROM docs",
     "K2_normalize_model_labels": f"WITH {LABELS_SQL} SELECT * FROM labels",
@@ -256,8 +282,8 @@ w AS (SELECT *, CASE WHEN nlp_ok THEN 0.2::DOUBLE ELSE 0.35::DOUBLE END AS wr, C
 f AS (SELECT *, floor((r * wr + coalesce(p, 0.0::DOUBLE) * wn + coalesce(model_score, 0.0::DOUBLE) * wm) / (wr + wn + wm) + 0.5::DOUBLE) AS fused_score FROM w),
 s AS (SELECT *, CASE WHEN layers > 1 THEN ((r - fused_score) * (r - fused_score) + coalesce((p - fused_score) * (p - fused_score), 0.0::DOUBLE) + coalesce((model_score - fused_score) * (model_score - fused_score), 0.0::DOUBLE)) / layers ELSE 2500.0::DOUBLE END AS x FROM f)
 SELECT doc_id, fused_score, floor(greatest(0.0::DOUBLE, 1 - x / 2500) * 100 + 0.5::DOUBLE) AS consistency, layers, CASE WHEN fused_score >= 71 THEN 'high' WHEN fused_score >= 46 THEN 'medium' WHEN fused_score >= 21 THEN 'low' ELSE 'none' END AS level FROM s""",
-    "A8_read_model_responses": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 END::INT AS attempt, CASE doc_id % 4 WHEN 0 THEN 'target and audit' WHEN 1 THEN 'net zero' WHEN 2 THEN 'vague' END AS summary FROM documents",
-    "W1_normalize_responses": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'target and audit' WHEN 1 THEN 'net zero' WHEN 2 THEN 'vague' ELSE 'no answer' END AS summary, CASE doc_id % 4 WHEN 0 THEN doc_id % 100 WHEN 1 THEN doc_id % 90 END::DOUBLE AS adjusted_risk, CASE doc_id % 4 WHEN 0 THEN 'supported' WHEN 2 THEN 'maybe' ELSE 'unknown' END AS evidence_status, CASE WHEN doc_id % 4 = 1 THEN 'a|b' ELSE '' END AS annotations, NULL::VARCHAR AS rewrite_suggestion FROM documents",
+    "A8_read_model_responses": f"WITH {ANSWERS_SQL} SELECT doc_id, attempt, json->>'summary' AS summary FROM answered",
+    "W1_normalize_responses": f"WITH {ANSWERS_SQL} SELECT doc_id, coalesce(json->>'summary', raw) AS summary, (json->>'adjustedRisk')::DOUBLE AS adjusted_risk, coalesce(json->>'evidenceStatus', 'unknown') AS evidence_status, coalesce(array_to_string(from_json(json->'annotations', '[\"VARCHAR\"]'), '|'), '') AS annotations, NULL::VARCHAR AS rewrite_suggestion FROM answered",
     "W2_response_key": f"WITH r AS (SELECT {REQUESTS} FROM events) SELECT request_id, {_KEY} AS key FROM r",
     "W3_reuse_responses": f"WITH r AS (SELECT *, {_KEY} AS key FROM (SELECT {REQUESTS} FROM events)), h AS (SELECT q.request_id, arg_max('answer ' || a.request_id, a.ts) AS response FROM r q JOIN r a ON q.key = a.key AND a.request_id % 3 = 0 AND a.ts <= q.ts AND a.ts >= q.ts - INTERVAL 3600 SECONDS GROUP BY q.request_id) SELECT r.request_id, response, response IS NOT NULL AS hit FROM r LEFT JOIN h USING (request_id)",
     "W6_merge_prior_findings": f"WITH {V1_SQL} SELECT doc_id, CASE WHEN ab > sc THEN 'positive_claim' WHEN sc > ab THEN 'balanced_disclosure' ELSE 'mixed' END AS claim_direction, context AS text_types, text[1:200] AS one_line, array_to_string(string_split(text, ' ')[1:5], '|') AS key_findings, CASE WHEN doc_id % 2 = 0 THEN 'say less' ELSE '' END AS recommendations FROM counts",

@@ -181,10 +181,11 @@ def test_fused_emotion(spark):
 
 
 def test_model_answers(spark):
-    raws = ['{"summary": "a"}', '```json\n{"summary": "b"}\n```', 'Well: {"summary": "c", "annotations": ["x",],} // done', "nothing", None]
+    raws = ['{"summary": "a"}', '```json\n{"summary": "b"}\n```', 'Well: {"summary": "c", "annotations": ["x",],} // done', "nothing", None, 'See [1], {"summary": "{d} // e"} and {f}', '{"summary": "http://x,]", /* y */ "annotations": ["z",], // "v"\n}']
     rows = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
     got = W.parse_answers(rows).orderBy("i").collect()
-    assert [g.answer.summary if g.answer else None for g in got] == ["a", "b", "c", None, None]
+    assert [g.answer.summary if g.answer else None for g in got] == ["a", "b", "c", None, None, "{d} // e", "http://x,]"]
+    assert [g.attempt for g in got] == [0, 1, 3, None, None, 2, 3]
 
 
 def test_verdicts(spark):
