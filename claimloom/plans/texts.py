@@ -225,6 +225,21 @@ texts AS (SELECT *, lag(is_table) OVER w AS was_table, lag(since) OVER w AS was_
 marked AS (SELECT *, sum((was_table IS NULL OR was_table <> is_table OR (NOT is_table AND since > was_since))::INT) OVER (PARTITION BY doc_id, page ORDER BY line)::INT AS block FROM texts),
 blocks AS (SELECT doc_id, page, block, CASE WHEN first(is_table) THEN 'table' ELSE 'paragraph' END AS type, count(*)::INT AS n_lines, string_agg(text, '|' ORDER BY line) AS ls, string_agg(text, ' ' ORDER BY line) AS flat FROM marked GROUP BY doc_id, page, block)"""
 )
+# The repair of letter spacing needs each character's neighbours: a row per character.
+_RUN = "ch = ' ' AND regexp_matches(b, '^[A-Za-z]$') AND regexp_matches(coalesce(bb, ' '), '^\\s$') AND regexp_matches(a, '^[A-Za-z]$') AND NOT regexp_matches(coalesce(aa, ' '), '^[A-Za-z]$')"
+_HAN = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
+REPAIR_SQL = rf"""chars AS (SELECT key, generate_subscripts(c, 1) AS i, unnest(c) AS ch FROM (SELECT key, string_split(text, '') AS c FROM spaced)),
+near AS (SELECT *, lag(ch) OVER w AS b, lag(ch, 2) OVER w AS bb, lead(ch) OVER w AS a, lead(ch, 2) OVER w AS aa FROM chars WINDOW w AS (PARTITION BY key ORDER BY i)),
+runs AS (SELECT *, coalesce({_RUN}, false) AS mark FROM near),
+judged AS (SELECT *, (mark AND (coalesce(lag(mark, 2) OVER w, false) OR coalesce(lead(mark, 2) OVER w, false))) OR (ch = ' ' AND coalesce(regexp_matches(b, '^{_HAN}$') AND regexp_matches(a, '^{_HAN}$'), false)) AS gone FROM runs WINDOW w AS (PARTITION BY key ORDER BY i)),
+repaired AS (SELECT key, coalesce(string_agg(ch, '' ORDER BY i) FILTER (NOT gone), '') AS text FROM judged GROUP BY key)"""
+_PAGES_REPAIRED = f"{PAGES_SQL}, spaced AS (SELECT {{'d': doc_id, 'p': page}} AS key, text FROM pages), {REPAIR_SQL}, mended AS (SELECT key.d AS doc_id, key.p AS page, text FROM repaired)"
+_in = lambda marks: ", ".join(sql_text(m) for m in marks)
+MERGED_SQL = rf"""merged AS (SELECT doc_id, page, block, first(is_table) AS is_table, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line) AS whole, list_reduce(list(text ORDER BY line), lambda acc, x: CASE WHEN acc[-1] IN ({_in(B.DASHES)}) THEN acc[:-2] || x
+ WHEN acc[-1] NOT IN ({_in(B.SENTENCE_ENDS)}) AND regexp_matches(x, '^([\p{{Ll}}0-9\-—–]|{_HAN})') THEN CASE WHEN (regexp_matches(acc[-1], '{_HAN}') OR regexp_matches(x[1], '{_HAN}')) AND regexp_matches(acc[-1], '[\p{{Ll}}0-9]|{_HAN}') AND regexp_matches(x[1], '[\p{{Ll}}0-9]|{_HAN}') THEN acc || x ELSE acc || ' ' || x END
+ ELSE acc || chr(10) || x END) AS text FROM marked GROUP BY doc_id, page, block)"""
+REPAIRED_SQL = BLOCKS_SQL.replace(PAGES_SQL, _PAGES_REPAIRED).replace("AS l FROM pages))", "AS l FROM mended))") + ", " + MERGED_SQL
+
 SENTENCES_SQL = (
     C.DOCUMENTS_SQL
     + r""", paragraphs AS (SELECT doc_id, generate_subscripts(p, 1)::INT - 1 AS paragraph, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM docs)),
@@ -316,4 +331,18 @@ cuts AS (SELECT *, CASE WHEN n < 200 THEN n WHEN para > 0 AND mid + para - 1 < 0
 halved AS (SELECT doc_id, {TRIM.format("substr(text, 1, cut_at)")} AS first_half, {TRIM.format("substr(text, cut_at + 1)")} AS second_half FROM cuts)"""
 
 
+ORACLE_SQL["B3_repair_letter_spacing"] = rf"""WITH spaced AS (SELECT doc_id AS key, regexp_replace(regexp_replace("text"[1:40], '([A-Za-z])([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])([A-Za-z])', '\1 \2', 'g') || chr(10) || "text" AS text FROM documents WHERE "text" IS NOT NULL), {REPAIR_SQL} SELECT key AS doc_id, text FROM repaired"""
+ORACLE_SQL["B7_merge_lines"] = f"WITH {REPAIRED_SQL} SELECT doc_id, page, block, text FROM merged WHERE NOT is_table"
+_last = lambda m: f"CASE WHEN strpos(reverse(cut), {m}) > 0 THEN length(cut) - strpos(reverse(cut), {m}) + 1 ELSE 0 END"
+ORACLE_SQL["B9_assemble_document"] = rf"""WITH {REPAIRED_SQL}, joined AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page, block) AS t FROM merged WHERE NOT is_table GROUP BY doc_id),
+tidy AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^[ \t]+', '', 'g'), '(?m)[ \t]+$', '', 'g') AS whole FROM joined),
+cuts AS (SELECT *, whole[1:{B.LIMIT}] AS cut FROM tidy), ends AS (SELECT *, greatest({', '.join(_last(m) for m in ("chr(10)", "'。'", "'.'", "' '"))}) AS last FROM cuts)
+SELECT doc_id, regexp_replace(CASE WHEN length(whole) > {B.LIMIT} AND last - 1 > 0.7 * {B.LIMIT} THEN cut[1:last] ELSE cut END, '^\s+|\s+\z', '', 'g') AS text, length(whole) > {B.LIMIT} AS truncated FROM ends"""
+ORACLE_SQL["B10_cleaning_stats"] = rf"""WITH {BLOCKS_SQL}, {MERGED_SQL}, per AS (SELECT doc_id, sum(CASE WHEN is_table THEN n_lines ELSE len(string_split(text, chr(10))) END) AS kept, count_if(is_table) AS table_blocks FROM merged GROUP BY doc_id)
+SELECT doc_id, length(raw_text)::INT AS original_length, (len(string_split(replace(regexp_replace(raw_text, '\r\n?', chr(10), 'g'), chr(12), chr(10)), chr(10))) - coalesce(kept, 0))::BIGINT AS lines_removed, coalesce(table_blocks, 0)::BIGINT AS table_blocks FROM raw LEFT JOIN per USING (doc_id)"""
+ORACLE_SQL["B11_segment_blocks"] = f"""WITH RECURSIVE {REPAIRED_SQL}, shown AS (SELECT doc_id, page, block, length(CASE WHEN is_table THEN whole ELSE text END) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page, block) AS i FROM merged WHERE is_table OR NOT {_m(X.REFERENCE_INDEX, 'text')}),
+filled AS (SELECT doc_id, i, n AS total, 1 AS segment FROM shown WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, CASE WHEN total = 0 OR total + n <= 2200 THEN total + n ELSE n END, CASE WHEN total = 0 OR total + n <= 2200 THEN segment ELSE segment + 1 END FROM filled f JOIN shown s ON s.doc_id = f.doc_id AND s.i = f.i + 1)
+SELECT doc_id, page, block, segment FROM filled JOIN shown USING (doc_id, i)"""
+ORACLE_SQL["B12_sentence_bounds"] = r"""WITH p AS (SELECT doc_id, list_filter(regexp_extract_all("text", '[^.!?。！？…\n]*(?:[.!?。！？…]+|\n|\z)'), lambda x: x <> '') AS ps FROM documents WHERE "text" IS NOT NULL), r AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM p), e AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM r)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT AS sentence, (e - length(p))::INT AS start, e::INT AS "end" FROM e WHERE trim(replace(p, chr(10), '')) <> ''"""
 ORACLE_SQL["C11_split_midpoint"] = f'WITH source_texts AS (SELECT doc_id, "text" AS text FROM documents WHERE "text" IS NOT NULL), {midpoint_sql("source_texts")} SELECT * FROM halved'
