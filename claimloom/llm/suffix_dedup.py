@@ -45,6 +45,8 @@ PERIOD = 73
 COVER = sorted(pow(2, i, PERIOD) for i in range(9))
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
+#: Spark allows a table no more buckets than this; beyond it a bucket holds several chunks, still one group each.
+TABLE_BUCKETS = 100_000
 BLOCK = 1 << 19
 NULL_ID = -(1 << 63)
 
@@ -262,7 +264,7 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text_col: str = "t
     name = f"claimloom_suffix_{uuid.uuid4().hex}"
     chunk = F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("k"), F.lit(split))
     rows = rows.select(chunk.alias("chunk"), "k", F.monotonically_increasing_id().alias("rid"), F.unhex(F.md5("t")).alias("digest"), "t")
-    rows.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(n_chunks, "chunk").saveAsTable(name)
+    rows.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(min(n_chunks, TABLE_BUCKETS), "chunk").saveAsTable(name)
     table = spark.table(name)
 
     of_text = table.filter(F.length("t") >= length).select("chunk", "k", "rid", "digest")

@@ -12,7 +12,7 @@ import pytest
 from compare import DATA, difference
 from tokenizers import Tokenizer
 
-from claimloom.llm import language_id, registry
+from claimloom.llm import language_id, registry, suffix_dedup
 
 SF = f"{DATA}/sf0.001"
 
@@ -77,6 +77,15 @@ def test_suffix_dedup(spark):
     assert got == brute_repeats(texts(spark))
 
 
+def test_suffix_dedup_with_more_chunks_than_buckets(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = sorted(tuple(r) for r in suffix_dedup.repeated_substrings(docs).collect())
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1 << 14)
+    monkeypatch.setattr(suffix_dedup, "TABLE_BUCKETS", 3)
+    got = suffix_dedup.repeated_substrings(docs)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_token_files(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want, at = [], 0
