@@ -262,3 +262,16 @@ def test_company_history_conflicts_finds_every_different_target(spark):
     meta = spark.createDataFrame([(1, "X", 2020), (2, "X", 2021), (3, "X", 2022)], "doc_id long, company string, year int")
     got = sorted((r.type, r.value_a, r.value_b, r.severity) for r in company_history_conflicts(claims, meta).collect())
     assert got == [("numeric_metric_mismatch", 10.0, 30.0, "high"), *[("target_year_mismatch", a, b, "medium") for a, b in ((2030.0, 2045.0), (2040.0, 2030.0), (2040.0, 2045.0))]]
+
+
+def test_trend_across_days_and_nulls(spark):
+    rows = spark.sql("""SELECT * FROM VALUES (1, timestamp'2024-01-01 10:00', 'a', '{"risk": 1}'), (2, timestamp'2024-01-02 10:00', 'a', '{"risk": 2}'), (3, timestamp'2024-01-05 10:00', 'a', '{"risk": 9}'), (4, null, 'a', '{"risk": 4}'), (5, null, null, 'x') AS t(id, created_at, sector, result_json)""")
+    assert [r.sma for r in Q.risk_trend(rows).orderBy("id").collect()] == [2, 4, 6, 3, None]
+
+
+def test_vectors_in_small_blocks(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, None)], "vec_id long, embedding array<double>")
+    q = v.selectExpr("vec_id AS query_id", "embedding")
+    got = {n: [tuple(r) for r in O.retrieve_vectors(v, q, 1, n, n).select("query_id", "vec_id").orderBy("query_id").collect()] for n in (1, 100)}
+    assert got[1] == got[100] == [(1, 2), (2, 1), (3, 2)]
+    assert O.retrieve_vectors(v.limit(0), q.limit(0)).count() == 0
