@@ -43,7 +43,7 @@ SHARDS = 1 << SHARD_BITS
 #: The set of locally frequent phrases has 2**BITS bits (32 MB), in blocks of 2**BLOCK_BITS.
 BITS, BLOCK_BITS = 28, 15
 #: Characters that a task has at a time, and hashes that it sums before it sends them.
-BATCH_CHARS, SUM_HASHES = 12_000_000, 1 << 23
+BATCH_CHARS, SUM_HASHES = 4_000_000, 1 << 22
 ROWS = 200_000
 
 #: Lower-cases A-Z, ends a piece by a new line and a word by a blank.
