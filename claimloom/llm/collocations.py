@@ -3,9 +3,11 @@
 1. Each shard is mined completely: all runs of 1 to MAX_WORDS words inside a piece of text are counted per
    shard and language, and those with at least ceil(min_count / SHARDS) stay. A phrase that has
    min_count in all has that many in one shard at least, whatever the shards are, so a shard is the
-   tasks of one number modulo SHARDS: what a task sums beforehand isn't cut up. Phrases are
-   64-bit hashes here; a collision can only let more through.
-2. The union of the locally frequent phrases is a set of bits (BITS of them, whatever the corpus), in which
+   tasks of one number modulo SHARDS: what a task sums beforehand isn't cut up. Phrases are hashes here;
+   a collision can only let more through. A task sends its hashes sorted and cut by their leading
+   bits, as blocks of bytes; all blocks with equal leading bits are merged by one task. There are GROUPS
+   such parts for each shuffle partition, so a part is a small share of what a partition is sized for.
+2. The union of the locally frequent phrases is a set of bits (2**BITS, whatever the corpus), in which
    every locally frequent hash is set. More phrases fill it up and let more pass, but never lose one.
 3. One more pass over the texts counts every phrase whose bit is set: as words, not hashes, so counts are
    exact. Those below min_count go.
@@ -37,11 +39,10 @@ MAX_WORDS = 3
 #: A longer phrase with this part of the count of a phrase within takes its place.
 ABSORB_PERCENT = 50
 TOP = 2000
-#: Shards of the first pass; a power of two, as its number takes the low bits of a hash.
-SHARD_BITS = 2
-SHARDS = 1 << SHARD_BITS
-#: The set of locally frequent phrases has 2**BITS bits (32 MB), in blocks of 2**BLOCK_BITS.
-BITS, BLOCK_BITS = 28, 15
+#: Shards of the first pass, and parts of hashes for each shuffle partition.
+SHARDS, GROUPS = 4, 16
+#: The set of locally frequent phrases has 2**BITS bits (32 MB).
+BITS = 28
 #: Characters that a task has at a time, and hashes that it sums before it sends them.
 BATCH_CHARS, SUM_HASHES = 4_000_000, 1 << 22
 ROWS = 200_000
@@ -95,17 +96,28 @@ def tables(names: list[str], *columns: pa.Array):
         yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for c in parts], names=names)
 
 
-def locally_frequent(texts: DataFrame, min_count: int, max_words: int) -> DataFrame:
-    """key: hashes of phrases that are frequent in a shard at its lowered support; the low bits are the shard."""
+def locally_frequent(texts: DataFrame, min_count: int, max_words: int) -> np.ndarray:
+    """2**BITS bits: those at the leading BITS of the hashes of phrases that are frequent in a shard, at its
+    lowered support. Hashes have p + 32 bits: 2**p parts, and 4 bytes within."""
+    lead = min(20, max(6, (GROUPS * partitions(texts.sparkSession) - 1).bit_length()))
+    support = -(-min_count // SHARDS)
 
     def mine(batches):
-        shard = np.uint64(TaskContext.get().partitionId() % SHARDS)
-        held, n = [], 0
+        shard, held, n = TaskContext.get().partitionId() % SHARDS, [], 0
 
         def summed():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            keys = keys & ~np.uint64(SHARDS - 1) | shard
-            yield from tables(["key", "n"], pa.array(keys.view(np.int64)), pa.array(counts, pa.int64()))
+            keys = np.concatenate(held) >> np.uint64(32 - lead)
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            counts = np.diff(np.append(first, len(keys))).astype(np.uint32)
+            keys = keys[first]
+            part = (keys >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = np.append(starts[1:], len(part))
+            keys = keys.astype(np.uint32)
+            parts, shards = pa.array(part[starts], pa.int32()), pa.array(np.full(len(starts), shard, np.int32))
+            blocks = [pa.array([x[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()) for x in (keys, counts)]
+            yield pa.RecordBatch.from_arrays([parts, shards, *blocks], names=["part", "shard", "keys", "counts"])
 
         for batch in text_batches(batches):
             for _, _, hashes in batch.runs(max_words):
@@ -114,31 +126,28 @@ def locally_frequent(texts: DataFrame, min_count: int, max_words: int) -> DataFr
             if n >= SUM_HASHES:
                 yield from summed()
                 held, n = [], 0
-        if held:
+        if n:
             yield from summed()
 
-    counts = texts.mapInArrow(mine, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return counts.filter(F.col("n") >= -(-min_count // SHARDS)).select("key")
-
-
-def bit_set(keys: DataFrame) -> np.ndarray:
-    """2**BITS bits in which the leading bits of each key are set. Each block of bits is made by one task."""
-
-    def blocks(batches):
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            bits = batch.column(0).to_numpy().astype(np.int64)
-            for block in np.unique(bits >> BLOCK_BITS):
-                own = bits[bits >> BLOCK_BITS == block] & ((1 << BLOCK_BITS) - 1)
-                made.setdefault(int(block), np.zeros(1 << BLOCK_BITS, bool))[own] = True
-        for block, own in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-    bits = keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("bit")).distinct()
+    def merge(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << BITS - lead, bool)
+        shard = table.column("shard").to_numpy()
+        keys, counts = ([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column(c)] for c in ("keys", "counts"))
+        for s in np.unique(shard):
+            own = np.flatnonzero(shard == s)
+            key, count = (np.concatenate([x[i] for i in own]) for x in (keys, counts))
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            total = np.add.reduceat(count[order], first, dtype=np.int64)
+            out[key[first[total >= support]] >> np.uint32(32 + lead - BITS)] = True
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    made = texts.mapInArrow(mine, "part int, shard int, keys binary, counts binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
     out = np.zeros(1 << BITS >> 3, np.uint8)
-    size = 1 << BLOCK_BITS >> 3
-    for r in bits.repartition(partitions(keys.sparkSession), F.shiftright("bit", BLOCK_BITS)).mapInArrow(blocks, "block long, bits binary").toLocalIterator():
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    size = 1 << BITS - lead >> 3
+    for r in made.toLocalIterator():  # 2**BITS bits, whatever the corpus
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -176,7 +185,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     """lang, words, phrase, a: all phrases of 1 to max_words words with at least min_count, and a row of words = 0
     with the words of each language. Written."""
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    known = bit_set(locally_frequent(texts, min_count, max_words))
+    known = locally_frequent(texts, min_count, max_words)
     counts = exact_counts(texts, known, max_words)
     return written(counts.filter((F.col("a") >= min_count) | (F.col("words") == 0)), "phrases")
 
