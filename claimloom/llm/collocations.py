@@ -44,7 +44,7 @@ SHARDS, GROUPS = 4, 16
 #: The set of locally frequent phrases has 2**BITS bits (32 MB).
 BITS = 28
 #: Characters that a task has at a time, and hashes that it sums before it sends them.
-BATCH_CHARS, SUM_HASHES = 4_000_000, 1 << 22
+BATCH_CHARS, SUM_HASHES = 4_000_000, 1 << 21
 ROWS = 200_000
 
 #: Lower-cases A-Z, ends a piece by a new line and a word by a blank.
@@ -85,9 +85,10 @@ class Batch:
 def text_batches(batches):
     """Texts and languages of bounded size."""
     for batch in batches:
-        texts, langs = (batch.column(i).cast(pa.large_string()) for i in (0, 1))
+        texts, langs = batch.columns
         for a, b in sized(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH_CHARS):
             yield Batch(texts.slice(a, b - a), langs.slice(a, b - a))
+            pa.default_memory_pool().release_unused()
 
 
 def tables(names: list[str], *columns: pa.Array):
@@ -106,7 +107,9 @@ def locally_frequent(texts: DataFrame, min_count: int, max_words: int) -> np.nda
         shard, held, n = TaskContext.get().partitionId() % SHARDS, [], 0
 
         def summed():
-            keys = np.concatenate(held) >> np.uint64(32 - lead)
+            keys = np.concatenate(held)
+            held.clear()
+            keys >>= np.uint64(32 - lead)
             keys.sort()
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             counts = np.diff(np.append(first, len(keys))).astype(np.uint32)
@@ -125,7 +128,7 @@ def locally_frequent(texts: DataFrame, min_count: int, max_words: int) -> np.nda
                 n += len(hashes)
             if n >= SUM_HASHES:
                 yield from summed()
-                held, n = [], 0
+                n = 0
         if n:
             yield from summed()
 
