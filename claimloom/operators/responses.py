@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import round_up
@@ -59,15 +59,46 @@ def response_key(requests: DataFrame) -> DataFrame:
     return requests.withColumn("key", F.sha2(F.concat_ws("\x1f", *parts), 256))
 
 
-def reuse_responses(requests: DataFrame, responses: DataFrame, ttl: int = 300) -> DataFrame:
-    """The newest answer for a request's key that is not older than ttl seconds: an as-of join. Requests of
-    a very frequent key are spread by Spark's skew handling; the answers of a key are few, as they are
-    reused for ttl seconds."""
-    q, r = requests.alias("q"), responses.select("key", F.col("ts").alias("rts"), "response").alias("r")
-    age = F.col("q.ts").cast("double") - F.col("r.rts").cast("double")
-    hits = q.join(r, (F.col("q.key") == F.col("r.key")) & (age >= 0) & (age <= ttl))
-    best = hits.groupBy("request_id").agg(F.max_by("response", "rts").alias("response"))
-    return requests.join(best, "request_id", "left").withColumn("hit", F.col("response").isNotNull())
+#: An as-of search cuts ttl into so many slots; a slot of a key with more requests than CROWD is dealt to several tasks.
+SLOTS, CROWD = 16, 100_000
+#: Slots of a key are looked through in stretches of so many.
+STRETCH = 4096
+
+
+def reuse_responses(requests: DataFrame, responses: DataFrame, ttl: int = 300, crowd: int = CROWD, stretch: int = STRETCH) -> DataFrame:
+    """requests (request_id, key, ts) with response, the newest one for the key that is not older than ttl
+    seconds, and hit. Answers of one time: the greatest text.
+
+    Requests and answers are dealt by key and slot of time and merged in order of time, so a request meets
+    the newest answer before it and no other. The newest answer of the slots before comes from a table of one
+    row for each key and slot, in which a window looks back over ttl; such a window spans a stretch of
+    slots, and repeats the last ones of the stretch before. Slots with over crowd requests are cut by request,
+    each part with the answers of the slot. So no key, however busy, meets in one task.
+
+    Requests without a key or time hit nothing. A newest answer that is null is no hit."""
+    slot = F.floor(F.col("ts").cast("double") / (ttl / SLOTS))
+    told = responses.select("key", slot.alias("__slot"), F.col("ts").alias("__at"), F.struct(F.col("ts").alias("ts"), "response").alias("__a"))
+    asked = without_columns(requests, ["response", "hit"]).withColumn("__slot", slot)
+    cells = told.groupBy("key", "__slot").agg(F.max("__a").alias("__new"), F.lit(0).cast("long").alias("__n"))
+    cells = cells.unionByName(asked.groupBy("key", "__slot").agg(F.count("*").alias("__n")), allowMissingColumns=True).groupBy("key", "__slot").agg(F.max("__new").alias("__new"), F.sum("__n").alias("__n"))
+    # stretches, each with the last slots of the one before
+    own = F.floor(F.col("__slot") / stretch)
+    cells = cells.withColumn("__era", F.explode(F.array_distinct(F.array(own, F.floor((F.col("__slot") + SLOTS + 1) / stretch)))))
+    back = Window.partitionBy("key", "__era").orderBy("__slot").rangeBetween(-SLOTS - 1, -1)
+    cells = cells.withColumn("__before", F.max("__new").over(back)).filter(F.col("__era") == own)
+    cells = cells.filter("__n > 0").select("key", "__slot", "__before", F.ceil(F.col("__n") / crowd).alias("__parts"))
+    rows = asked.join(cells, ["key", "__slot"], "left")
+    rows = rows.withColumns({"__part": F.pmod(F.xxhash64("request_id"), F.coalesce("__parts", F.lit(1))), "__at": F.col("ts"), "__kind": F.lit(1)})
+    copies = told.join(cells, ["key", "__slot"]).select("key", "__slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__part"), "__at", F.lit(0).alias("__kind"), "__a")
+    up_to = Window.partitionBy("key", "__slot", "__part").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = rows.unionByName(copies, allowMissingColumns=True).withColumn("__best", F.coalesce(F.max("__a").over(up_to), "__before")).filter("__kind = 1")
+    fresh = F.col("ts").cast("double") - F.col("__best.ts").cast("double") <= ttl
+    found = F.when(F.col("key").isNotNull() & fresh, F.col("__best.response"))
+    return merged.select(*[c for c in asked.columns if c != "__slot"], found.alias("response")).withColumn("hit", F.col("response").isNotNull())
+
+
+def without_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c in names])
 
 
 def merge_split_responses(halves: DataFrame) -> DataFrame:
