@@ -1,19 +1,22 @@
 """Contradictions between claims of a document, and the sins of single claims.
 
 Claims come wide: doc_id, ord, claim_id, text, n_<category>, quantified, metric_value, metric_unit,
-ghg_scope, target_year, certs, signals. Contradictions are equi-joins on document and metric, so a
-document meets in one task only as far as its claims share a key."""
+ghg_scope, target_year, certs, signals. Lists of contradictions are equi-joins on document and metric: as
+many rows as there are pairs. What risks and summaries need of them are counts for each claim, which
+conflict_counts takes from one sweep over sorted values, without any pair, where a document is large."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CFC_FREE, NET_ZERO, SINS
 from ..functions.semantics import matches
 
 #: Values that are closer than this part of the larger one don't contradict each other.
-TOLERANCE = 0.05
+TOLERANCE, HIGH = 0.05, 0.25
+#: Documents of more claims are swept instead of paired, and lists of more rows are swept in parts.
+SMALL, LIST_ROWS = 64, 200_000
 EDGE = ["doc_id", "type", "severity", "a_ord", "b_ord", "claim_a", "claim_b"]
 
 
@@ -35,7 +38,7 @@ def value_gap(a: Column, b: Column) -> Column:
 
 
 def gap_severity(gap: Column) -> Column:
-    return F.when(gap > 0.25, "high").otherwise("medium")
+    return F.when(gap > HIGH, "high").otherwise("medium")
 
 
 def numeric_contradictions(claims: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -61,8 +64,111 @@ def scope_contradictions(claims: DataFrame) -> DataFrame:
     return pairs.select("doc_id", F.lit("absolute_vs_partial_scope").alias("type"), F.lit("medium").alias("severity"), "a_ord", "b_ord", "claim_a", "claim_b")
 
 
-def contradictions(claims: DataFrame) -> DataFrame:
-    return numeric_contradictions(claims).unionByName(target_year_contradictions(claims)).unionByName(scope_contradictions(claims))
+def contradictions(claims: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    return numeric_contradictions(claims, tolerance).unionByName(target_year_contradictions(claims)).unionByName(scope_contradictions(claims))
+
+
+def bound(v: Column, tolerance: float, side: int) -> Column:
+    """The last value above (side 1) or below (side -1) v that value_gap still lets pass, as doubles go.
+
+    First in real numbers: between values of 1 at most the gap is their distance, else their distance
+    through the larger size. Then the steps of rounding around that are tried with value_gap itself. Values
+    of up to 15 digits are on the same side of the bound as value_gap puts them."""
+    x = side * v  # mirrored, the value looked for is above v
+    near = x + tolerance * F.greatest(F.abs(x), F.lit(1.0))  # where the size of v counts
+    far = F.when(x > 0, x / (1 - tolerance)).otherwise(near)  # where the other one's does
+    guess = F.greatest(near, F.when(far > 1, far).otherwise(near))
+    step = F.greatest(F.abs(guess) * 2.0**-53, F.lit(2.0**-60))
+    tries = F.transform(F.array(*[F.lit(float(k)) for k in range(-16, 17)]), lambda k: side * (guess + step * k))
+    good = F.filter(tries, lambda t: value_gap(v, t) <= tolerance)
+    return F.array_max(good) if side > 0 else F.array_min(good)
+
+
+def _events(claims: DataFrame, tolerance: float, bare: bool) -> DataFrame:
+    """Values and questions of claims, by list: doc_id, key, list, pos, kind, claim_id, measure, sign.
+
+    A value (kind 1, no measure) stands at its place; a question asks how many values of its list stand
+    before it (kind 0) or up to it (kind 2). Lists: values by unit (`u`, and `a` for all units together, which
+    claims without a unit ask; those without a unit are in `n`, which claims with one also ask), years, and
+    the two sides of net-zero claims. A claim's count of a measure is the sum of sign * answer."""
+    end = F.lit(float("inf"))
+    c = F.col
+
+    def event(key, name, pos, kind, measure="", sign=0):
+        return F.struct(key.alias("key"), name.alias("list"), pos.alias("pos"), F.lit(kind).alias("kind"), F.lit(measure).alias("measure"), F.lit(sign).alias("sign"))
+
+    def within(key, name, measure):
+        """All values less those within the limit of the measure."""
+        return [event(key, name, end, 2, measure, 1), event(key, name, c(f"{measure}_to"), 2, measure, -1), event(key, name, c(f"{measure}_from"), 0, measure, 1)]
+
+    key, v, unit = c("metric_key"), c("metric_value").cast("double"), F.concat(F.lit("u"), c("metric_unit"))
+    limits = {"over": tolerance, "high": HIGH}
+    bounds = {f"{m}_{name}": F.when(v.isNotNull(), bound(v, t, side)) for m, t in limits.items() for name, side in (("from", -1), ("to", 1))}
+    asks = lambda name: [e for m in limits for e in within(key, F.lit(name) if isinstance(name, str) else name, m)]
+    with_unit = [event(key, unit, v, 1), *asks(unit)]
+    if bare:  # some values have no unit
+        with_unit += [event(key, F.lit("a"), v, 1), *asks("n")]
+    without_unit = [event(key, F.lit("a"), v, 1), event(key, F.lit("n"), v, 1), *asks("a")]
+    year = c("target_year").cast("double")
+    years = [event(key, F.lit("y"), year, 1), event(key, F.lit("y"), end, 2, "year", 1), event(key, F.lit("y"), year, 2, "year", -1), event(key, F.lit("y"), year, 0, "year", 1)]
+    bold = (c("n_absolute") > 0) & matches(F.lower("text"), NET_ZERO)
+    part = c("ghg_scope").isNotNull() & ~F.array_contains("ghg_scope", 3)
+    none, zero = F.lit(""), F.lit(0.0)
+    bolds = [event(none, F.lit("b"), zero, 1), event(none, F.lit("p"), end, 2, "scope", 1)]
+    parts = [event(none, F.lit("p"), zero, 1), event(none, F.lit("b"), end, 2, "scope", 1)]
+    nothing = F.array().cast("array<struct<key:string,list:string,pos:double,kind:int,measure:string,sign:int>>")
+    of = lambda ok, events: F.when(ok, F.array(*events)).otherwise(nothing)
+    events = [of(v.isNotNull() & c("metric_unit").isNotNull(), with_unit), of(year.isNotNull(), years), of(bold, bolds), of(part, parts)]
+    if bare:
+        events.append(of(v.isNotNull() & c("metric_unit").isNull(), without_unit))
+    return metric_key(claims).withColumns(bounds).select("doc_id", "claim_id", (bold & part).cast("int").alias("own"), F.explode(F.concat(*events)).alias("e")).select("doc_id", "claim_id", "own", "e.*")
+
+
+def pair_counts(edges: DataFrame) -> DataFrame:
+    """doc_id, claim_id, high, medium, year, scope: in how many of the listed pairs a claim is."""
+    kind = F.when(F.col("type") == "target_year_mismatch", "year").when(F.col("type") == "absolute_vs_partial_scope", "scope").otherwise(F.col("severity"))
+    ends = edges.select("doc_id", F.explode(F.array("claim_a", "claim_b")).alias("claim_id"), kind.alias("kind"))
+    return ends.groupBy("doc_id", "claim_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("high", "medium", "year", "scope")])
+
+
+def conflict_counts(claims: DataFrame, tolerance: float = TOLERANCE, small: int = SMALL, list_rows: int = LIST_ROWS) -> DataFrame:
+    """For each claim that contradicts another: doc_id, claim_id, high, medium (numbers), year, scope.
+
+    These are the numbers of pairs that the claim is in. Documents of at most `small` claims list their
+    pairs, of which a claim then has fewer than that; larger ones are swept. claims are read several
+    times, so they should be a table."""
+    sizes = claims.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= small:
+        return pair_counts(contradictions(claims, tolerance))
+    large = sizes.filter(F.col("n") > small).select("doc_id")
+    counts = pair_counts(contradictions(claims.join(large, "doc_id", "left_anti"), tolerance))
+    return counts.unionByName(sweep_counts(claims.join(large, "doc_id", "left_semi"), tolerance, list_rows))
+
+
+def sweep_counts(claims: DataFrame, tolerance: float = TOLERANCE, list_rows: int = LIST_ROWS) -> DataFrame:
+    """The same from one sorted pass over values and questions, without any pair.
+
+    Where a document may have lists of over list_rows rows, lists are cut into ranges of values; the counts
+    of the ranges before are added, so no list meets in one task. A claim is both sides of no
+    contradiction: net-zero claims of partial scope don't count themselves."""
+    size = claims.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("metric_value").isNotNull() & F.col("metric_unit").isNull()).alias("b")).agg(F.max("n").alias("n"), F.sum("b").alias("b")).first()
+    events = _events(claims, tolerance, bool(size["b"]))
+    value = (F.col("kind") == 1).cast("int")
+    parts = ["doc_id", "key", "list"]
+    if 14 * (size["n"] or 0) > list_rows:  # a claim has up to 14 rows in a list
+        events = events.withColumn("range", (F.signum("pos") * F.floor(256 * F.log1p(F.abs("pos")))).cast("long"))
+        in_range = events.groupBy(*parts, "range").agg(F.sum(value).alias("n"))
+        before = in_range.withColumn("before", F.sum("n").over(Window.partitionBy(*parts).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+        parts = [*parts, "range"]
+        events = events.join(before, parts)
+    else:
+        events = events.withColumn("before", F.lit(0))
+    running = F.sum(value).over(Window.partitionBy(*parts).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    answers = events.withColumn("n", F.col("sign") * (running + F.col("before"))).filter("sign <> 0")
+    of = lambda m: F.sum(F.when(F.col("measure") == m, F.col("n")).otherwise(0))
+    # both sides of a net-zero claim of partial scope counted the claim itself
+    sums = answers.groupBy("doc_id", "claim_id").agg(of("over").alias("over"), of("high").alias("high"), of("year").alias("year"), (of("scope") - 2 * F.max("own")).alias("scope"))
+    return sums.filter("over + year + scope > 0").select("doc_id", "claim_id", "high", (F.col("over") - F.col("high")).alias("medium"), "year", "scope")
 
 
 def sin_columns(claims: DataFrame) -> DataFrame:
@@ -93,8 +199,9 @@ def sin_summary(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "sin").agg(F.count("*").alias("hit_count"), of("high").alias("high"), of("medium").alias("medium"), of("low").alias("low"), F.min(F.struct("ord", "sin_ord")).alias("__f")).select("doc_id", "sin", "hit_count", "high", "medium", "low", F.col("__f.ord").alias("first_ord"), F.col("__f.sin_ord").alias("sin_ord"))
 
 
-def consistency_summary(docs: DataFrame, edges: DataFrame, hits: DataFrame) -> DataFrame:
-    """Contradictions and sin hits of each document of docs (zeros where there are none)."""
-    e = edges.groupBy("doc_id").agg(F.count("*").alias("contradictions"))
+def consistency_summary(docs: DataFrame, counts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Contradictions and sin hits of each document of docs (zeros where there are none). Both claims of a
+    contradiction have counted it."""
+    e = counts.groupBy("doc_id").agg((F.sum(F.col("high") + F.col("medium") + F.col("year") + F.col("scope")) / 2).cast("long").alias("contradictions"))
     h = hits.groupBy("doc_id").agg(F.count("*").alias("sin_hits"))
     return docs.select("doc_id").distinct().join(e, "doc_id", "left").join(h, "doc_id", "left").fillna(0, ["contradictions", "sin_hits"])

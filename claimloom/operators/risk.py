@@ -35,11 +35,15 @@ def external_risk(claims: DataFrame) -> DataFrame:
     return claims.withColumn("external_risk", clamp(points).cast("double"))
 
 
-def consistency_risk(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """Points of contradictions that touch the claim at either end: both ends of an edge are rows, summed
-    per claim before they meet the claims."""
-    ends = edges.select("doc_id", F.explode(F.array("claim_a", "claim_b")).alias("claim_id"), severity_risk(F.col("severity")).alias("p"))
-    points = ends.groupBy("doc_id", "claim_id").agg(F.sum("p").alias("__p"))
+def consistency_risk(claims: DataFrame, found: DataFrame) -> DataFrame:
+    """Points of the contradictions that touch the claim at either end. found: counts for each claim, from
+    consistency.conflict_counts, or listed pairs (claim_a, claim_b, severity)."""
+    if "claim_a" in found.columns:
+        ends = found.select("doc_id", F.explode(F.array("claim_a", "claim_b")).alias("claim_id"), severity_risk(F.col("severity")).alias("p"))
+        points = ends.groupBy("doc_id", "claim_id").agg(F.sum("p").alias("__p"))
+    else:
+        p = severity_risk(F.lit("high")) * F.col("high") + severity_risk(F.lit("medium")) * (F.col("medium") + F.col("year") + F.col("scope"))
+        points = found.select("doc_id", "claim_id", p.alias("__p"))
     out = claims.join(points, ["doc_id", "claim_id"], "left")
     return out.withColumn("consistency_risk", clamp(F.coalesce("__p", F.lit(0))).cast("double")).drop("__p")
 

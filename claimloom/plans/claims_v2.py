@@ -12,6 +12,7 @@ from ..operators import consistency as I
 from ..operators import features as D
 from ..operators import risk as J
 from ..operators import structure as G
+from ..operators import term_index as L
 from ..sources import corpus as C
 from ..sources.shared import written
 
@@ -29,7 +30,7 @@ def analyzed(claims: DataFrame) -> DataFrame:
 def scored(claims: DataFrame) -> DataFrame:
     """Claims with four components and claim_risk."""
     own = J.external_risk(J.evidence_risk(J.text_risk(claims)))
-    return J.claim_risk(J.consistency_risk(own, I.contradictions(claims)))
+    return J.claim_risk(J.consistency_risk(own, I.conflict_counts(claims)))
 
 
 def run_pipeline(claims: DataFrame, mode: str = "fast") -> dict[str, DataFrame]:
@@ -42,7 +43,7 @@ def run_pipeline(claims: DataFrame, mode: str = "fast") -> dict[str, DataFrame]:
         return {"features": features}
     if mode == "standard":
         return {"features": features, "structure": G.structure(claims)}
-    wide = analyzed(claims)
+    wide = written(analyzed(claims), "claims")
     hits = I.sin_hits(wide)
     risks = scored(wide)
     return {"features": features, "structure": G.structure(claims), "certificates": H.match_certifications(claims), "signals": H.false_label_signals(claims), "contradictions": I.contradictions(wide), "sin_hits": hits, "claim_risk": J.claim_sins(risks, hits), "document_risk": J.document_risk(risks), "top_concerns": J.top_concerns(I.sin_summary(hits))}
@@ -98,6 +99,37 @@ def d8(spark, sf):
     return D.term_coverage(_claims(spark, sf)).select("category", "term", "docs", F.round("share", 9).alias("share"))
 
 
+def large_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixed lexicon and, as one category more, every word of the benchmark's texts."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    own = C.table(spark, sf, "benchmark").select(words.alias("term")).filter("term <> ''").distinct()
+    own = own.select(F.lit("benchmark").alias("category"), F.lit(0).alias("ord"), "term")
+    return L.read_lexicon_table(spark).unionByName(own)
+
+
+def _texts(spark, sf):
+    return C.table(spark, sf, "documents").select("doc_id", "text")
+
+
+def d1l(spark, sf):
+    return L.match_terms(_texts(spark, sf), large_lexicon(spark, sf)).select("doc_id", "category", "hit", "term")
+
+
+def d1g(spark, sf):
+    """The same, as if the lexicon were too large to be sent."""
+    return L.match_terms(_texts(spark, sf), large_lexicon(spark, sf), sent_bytes=0).select("doc_id", "category", "hit", "term")
+
+
+def d1a(spark, sf):
+    """The fixed lexicon over all claims, by the automaton: the rows of D1."""
+    return L.match_terms(_claims(spark, sf), L.read_lexicon_table(spark)).select("doc_id", "claim_id", "category", "hit", "term")
+
+
+def d8l(spark, sf):
+    docs = _texts(spark, sf)
+    return L.coverage(L.match_terms(docs, large_lexicon(spark, sf)), docs).select("category", "term", "docs", F.round("share", 9).alias("share"))
+
+
 def d9(spark, sf):
     out = D.breakdown_v2(_wide(spark, sf))
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("vague", "no_proof", "absolute", "future")])
@@ -189,7 +221,11 @@ def i12(spark, sf):
 
 def i13(spark, sf):
     wide = wide_table(spark, sf)
-    return I.consistency_summary(wide, I.contradictions(wide), I.sin_hits(wide))
+    return I.consistency_summary(wide, I.conflict_counts(wide), I.sin_hits(wide))
+
+
+def i5c(spark, sf):
+    return I.conflict_counts(wide_table(spark, sf))
 
 
 def j1(spark, sf):
@@ -205,8 +241,8 @@ def j3(spark, sf):
 
 
 def j4(spark, sf):
-    wide = _wide(spark, sf)
-    return J.consistency_risk(wide, I.contradictions(wide)).select("doc_id", "claim_id", "consistency_risk")
+    wide = wide_table(spark, sf)
+    return J.consistency_risk(wide, I.conflict_counts(wide)).select("doc_id", "claim_id", "consistency_risk")
 
 
 def j5(spark, sf):
@@ -241,11 +277,32 @@ def j10(spark, sf):
     return out.select("sector", "year", "company", "documents", F.round("mean_gri", 6).alias("mean_gri"), "max_gri", F.col("grouping").cast("int").alias("grouping"))
 
 
+def d2e(spark, sf):
+    return D.lexicon_counts(C.every_claim(spark, sf)).select("doc_id", "claim_id", *COUNTS, *[_joined(m) for m in LISTS])
+
+
+def g1e(spark, sf):
+    return G.structure(C.every_claim(spark, sf)).select("doc_id", "claim_id", "metric_value", "metric_unit", F.array_join(F.col("ghg_scope").cast("array<string>"), ",").alias("ghg_scope"), "baseline_year", "target_year", "claim_type")
+
+
+def h1e(spark, sf):
+    return H.match_certifications(C.every_claim(spark, sf)).select("doc_id", "claim_id", "cert_id", "cert_ord")
+
+
+def h3e(spark, sf):
+    return H.false_label_signals(C.every_claim(spark, sf)).select("doc_id", "claim_id", "signal", "severity")
+
+
+def j7e(spark, sf):
+    return J.document_risk(scored(written(analyzed(C.every_claim(spark, sf)), "claims")))
+
+
 QUERIES = {
-    "D1_match_lexicon": d1, "D2_lexicon_counts": d2, "D3_flags_v2": d3, "D4_flags_v1": d4, "D5_approx_tokens": d5, "D6_text_metrics": d6, "D7_highlight_spans": d7, "D8_term_coverage": d8, "D9_breakdown_v2": d9,
+    "D2_lexicon_counts_every": d2e, "G1_structure_every": g1e, "H1_match_certifications_every": h1e, "H3_false_label_signals_every": h3e, "J7_document_risk_every": j7e,
+    "D1_match_lexicon": d1, "D1_match_lexicon_automaton": d1a, "D1_match_lexicon_large": d1l, "D1_match_lexicon_joined": d1g, "D8_term_coverage_large": d8l, "D2_lexicon_counts": d2, "D3_flags_v2": d3, "D4_flags_v1": d4, "D5_approx_tokens": d5, "D6_text_metrics": d6, "D7_highlight_spans": d7, "D8_term_coverage": d8, "D9_breakdown_v2": d9,
     "G1_parse_metric": g1, "G2_parse_ghg_scope": g2, "G3_parse_baseline_year": g3, "G4_parse_target_year": g4, "G5_infer_claim_type": g5, "G6_normalize_structure": g6, "G7_structure_claims": g7,
     "H1_match_certifications": h1, "H2_fold_cited_evidence": h2, "H3_false_label_signals": h3, "H4_cert_summary": h4, "H5_cert_rollup": h5,
-    "I1_metric_key": i1, "I2_numeric_contradictions": _edges(I.numeric_contradictions), "I3_target_year_contradictions": _edges(I.target_year_contradictions), "I4_scope_contradictions": _edges(I.scope_contradictions), "I5_contradictions": _edges(I.contradictions),
+    "I1_metric_key": i1, "I2_numeric_contradictions": _edges(I.numeric_contradictions), "I3_target_year_contradictions": _edges(I.target_year_contradictions), "I4_scope_contradictions": _edges(I.scope_contradictions), "I5_contradictions": _edges(I.contradictions), "I5_conflict_counts": i5c,
     "I6_sin_hidden_tradeoff": _sin("hidden_tradeoff"), "I7_sin_no_proof": _sin("no_proof"), "I8_sin_vagueness": _sin("vagueness"), "I9_sin_false_labels": _sin("false_labels"), "I10_sin_irrelevance": _sin("irrelevance"), "I11_sin_hits": i11, "I12_sin_summary": i12, "I13_consistency_summary": i13,
     "J1_text_risk": j1, "J2_evidence_risk": j2, "J3_external_risk": j3, "J4_consistency_risk": j4, "J5_claim_risk": j5, "J6_claim_sins": j6, "J7_document_risk": j7, "J8_top_concerns": j8, "J9_run_pipeline": j9, "J10_portfolio_rollup": j10,
 }
@@ -366,10 +423,16 @@ def _sin_sql(name: str) -> str:
 
 
 _CQ = "doc_id, claim_id"
+_LARGE = f"""lexicon AS (SELECT 'benchmark' AS category, 0 AS ord, term FROM (SELECT DISTINCT unnest(regexp_extract_all(lower("text"), '[a-z]+')) AS term FROM benchmark) UNION ALL SELECT * FROM (VALUES {", ".join(f"('{c}', {i}, {sql_text(t)})" for c, terms in X.LEXICON.items() for i, t in enumerate(terms))})),
+hits AS (SELECT doc_id, category, row_number() OVER (PARTITION BY doc_id, category ORDER BY ord, term)::INT AS hit, term FROM (SELECT doc_id, lower("text") AS low FROM documents) d JOIN lexicon ON contains(low, term))"""
 _LONG = " UNION ALL ".join(f"SELECT doc_id, ord, claim_id, '{c}' AS category, generate_subscripts(m_{c}, 1)::INT AS hit, unnest(m_{c}) AS term FROM features" for c in X.LEXICON)
 _SPAN_TERMS = " UNION ALL ".join(f"SELECT doc_id, text, '{c}' AS category, unnest(list_filter({sql_list(t)}, lambda t: contains(lower(text), t))) AS term FROM docs" for c, t in X.LEXICON.items())
 ORACLE_SQL = {
     "D1_match_lexicon": _q(FEATURES_SQL, f"SELECT {_CQ}, category, hit, term FROM ({_LONG})"),
+    "D1_match_lexicon_automaton": _q(FEATURES_SQL, f"SELECT {_CQ}, category, hit, term FROM ({_LONG})"),
+    "D1_match_lexicon_large": _q(_LARGE, "SELECT * FROM hits"),
+    "D1_match_lexicon_joined": _q(_LARGE, "SELECT * FROM hits"),
+    "D8_term_coverage_large": _q(_LARGE, "SELECT category, term, count(DISTINCT doc_id) AS docs, round(count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM documents)::DOUBLE, 9) AS share FROM hits GROUP BY category, term"),
     "D2_lexicon_counts": _q(FEATURES_SQL, f"SELECT {_CQ}, {', '.join(COUNTS)}, {', '.join(f"array_to_string({m}, '|') AS {m}" for m in LISTS)}, n_proof > 0 AS proof_present, n_scope > 0 AS scope_present FROM features"),
     "D3_flags_v2": _q(FEATURES_SQL, f"SELECT {_CQ}, quantified, timeline FROM features"),
     "D4_flags_v1": _q(C.CLAIMS_SQL, f"SELECT {_CQ}, regexp_matches(lower(text), {sql_text(X.QUANTITY_V1)}) AS quantified, {_m(X.TIMELINE_V1)} AS timeline FROM claims"),
@@ -402,6 +465,8 @@ WHERE NOT EXISTS (SELECT 1 FROM mentions m JOIN registry r ON m.cert_id = r.id W
     "I3_target_year_contradictions": _edge_sql("year_edges"),
     "I4_scope_contradictions": _edge_sql("scope_edges"),
     "I5_contradictions": _edge_sql("edges"),
+    "I5_conflict_counts": _q(EDGES_SQL, """SELECT doc_id, claim_id, count(*) FILTER (type = 'numeric_metric_mismatch' AND severity = 'high') AS high, count(*) FILTER (type = 'numeric_metric_mismatch' AND severity = 'medium') AS medium,
+  count(*) FILTER (type = 'target_year_mismatch') AS year, count(*) FILTER (type = 'absolute_vs_partial_scope') AS scope FROM (SELECT doc_id, claim_a AS claim_id, type, severity FROM edges UNION ALL SELECT doc_id, claim_b, type, severity FROM edges) GROUP BY doc_id, claim_id"""),
     "I6_sin_hidden_tradeoff": _sin_sql("hidden_tradeoff"),
     "I7_sin_no_proof": _sin_sql("no_proof"),
     "I8_sin_vagueness": _sin_sql("vagueness"),
@@ -425,3 +490,12 @@ WHERE NOT EXISTS (SELECT 1 FROM mentions m JOIN registry r ON m.cert_id = r.id W
     ),
     "J10_portfolio_rollup": _q(RISK_SQL + ",\n" + C.COMPANIES_SQL, "SELECT sector, year, company, count(*) AS documents, round(avg(gri), 6) AS mean_gri, max(gri) AS max_gri, grouping(sector, year, company)::INT AS grouping FROM doc_risk JOIN companies USING (doc_id) GROUP BY ROLLUP (sector, year, company)"),
 }
+
+_EVERY = {
+    "D2_lexicon_counts_every": _q(FEATURES_SQL, f"SELECT {_CQ}, {', '.join(COUNTS)}, {', '.join(f"array_to_string({m}, '|') AS {m}" for m in LISTS)} FROM features"),
+    "G1_structure_every": _q(STRUCTURE_SQL, f"SELECT {_CQ}, metric_value, metric_unit, array_to_string(ghg_scope, ',') AS ghg_scope, baseline_year, target_year, claim_type FROM structured"),
+    "H1_match_certifications_every": ORACLE_SQL["H1_match_certifications"],
+    "H3_false_label_signals_every": ORACLE_SQL["H3_false_label_signals"],
+    "J7_document_risk_every": ORACLE_SQL["J7_document_risk"],
+}
+ORACLE_SQL |= {k: s.replace(C.CLAIMS_SQL, C.every_claim_sql()) for k, s in _EVERY.items()}

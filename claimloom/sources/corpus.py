@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import CERTIFICATES, LEXICON
 from ..functions.semantics import sql_text
 
 SENTENCES = [
@@ -47,6 +48,35 @@ TEXT = f"CASE CAST(l_partkey % {len(SENTENCES)} AS INT) " + " ".join(f"WHEN {i}
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
 
+def _every() -> list[str]:
+    """Sentences with every certificate and every term, and with what is nearly one: the first half of a name,
+    a name in capitals and without blanks, terms less their last letter. Then forms of quantities, years and scopes."""
+    out = [f"Checked against {c[1]} and {c[2]} in 2021." for c in CERTIFICATES]
+    out += [f"Not quite {c[1][: len(c[1]) // 2]}, nor {c[2][: len(c[2]) // 2]}; rather {c[1].upper()}, {c[1].replace(' ', '')} or {c[1].lower()}." for c in CERTIFICATES]
+    for name, terms in LEXICON.items():
+        for i in range(0, len(terms), 5):
+            own = terms[i : i + 5]
+            out += [f"On {name}: {', '.join(own)}.", f"Nearly {name}: {', '.join(t[:-1] for t in own)}. {own[0].upper()}{own[-1].capitalize()}!"]
+    out += ["Cut by 12.5 MWh vs 2015 baseline by 2040.", "3 tons of CO2, 45 percent of 7 kg, by 2031 against 1998", "Scope 1, scope 2 and Scope 3 emissions; scope3.", "范围一、范围二和范围三，与2012年相比减少 30 吨，到2035年。", "Reduced 5% from 19 and 8 % since 2016", "10 m³ of water, 4 hectare, 2 acre of land in 2022"]
+    out += ["Self certified by our own green seal, an in-house standard.", "Certified by TÜV; certified, they say. 行业第一家与行业第一。", "CFC-free and no CFCs at all, freon free", "Net zero, net-zero and NET ZERO by 2050 for Scope 1."]
+    return out
+
+
+def _every_text() -> str:
+    sentences = _every()
+    return f"CASE CAST(p_partkey % {len(sentences)} AS INT) " + " ".join(f"WHEN {i} THEN {sql_text(x)}" for i, x in enumerate(sentences)) + " END"
+
+
+def every_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with every term and certificate: a part is a claim, seven parts are a document."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 7").alias("doc_id"), F.expr("CAST(p_partkey % 7 + 1 AS INT)").alias("ord"), F.expr(_every_text()).alias("text"))
+    return rows.select("doc_id", "ord", F.format_string("L0-%03d", "ord").alias("claim_id"), "text")
+
+
+def every_claim_sql() -> str:
+    return f"claims AS (SELECT p_partkey // 7 AS doc_id, (p_partkey % 7 + 1)::INT AS ord, 'L0-00' || (p_partkey % 7 + 1) AS claim_id, {_every_text()} AS text FROM part)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
