@@ -83,6 +83,20 @@ def retrieve_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, block:
     return met.filter("score >= -1.5").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def merge_query_results(*hits: DataFrame) -> DataFrame:
+    """The hits of all queries of a claim, query by query. A chunk that several queries find stays once for each:
+    dedupe_chunks takes the first."""
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def query_counts(merged: DataFrame) -> DataFrame:
+    """For each claim: hits, different chunks, and queries that found something."""
+    return merged.groupBy("doc_id", "claim_id").agg(F.count("*").alias("chunks"), F.countDistinct("chunk").alias("different"), F.countDistinct("query_id").alias("queries"))
+
+
 def dedupe_chunks(retrieved: DataFrame) -> DataFrame:
     """One row per claim of chunks with the same first 120 characters and page, in page order (null is 0)."""
     rows = retrieved.withColumns({"__h": F.substring("text", 1, 120), "__p": F.coalesce("page", F.lit(0))})
@@ -133,9 +147,11 @@ def attach_text_risk(claims: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def evidence_report(verdicts: DataFrame) -> DataFrame:
-    """Per document: mean text and evidence risk, half of each, to one decimal (half to even)."""
-    docs = verdicts.groupBy("doc_id").agg(F.count("*").alias("claims"), F.avg(F.coalesce("text_risk_score", F.lit(0.0))).alias("t"), F.avg("evidence_risk_score").alias("e"))
-    gri = F.lit(0.5).cast("double") * F.col("t") + F.lit(0.5).cast("double") * F.col("e")
+    """Per document: mean text and evidence risk, half of each, to one decimal (half to even). Means are first
+    rounded to nine digits, so halves don't depend on the order in which scores were summed."""
+    mean = lambda c: F.round(F.avg(c), 9)
+    docs = verdicts.groupBy("doc_id").agg(F.count("*").alias("claims"), mean(F.coalesce("text_risk_score", F.lit(0.0))).alias("t"), mean("evidence_risk_score").alias("e"))
+    gri = F.round(F.lit(0.5).cast("double") * F.col("t") + F.lit(0.5).cast("double") * F.col("e"), 9)
     return docs.select("doc_id", "claims", F.bround("t", 1).alias("text_risk_score"), F.bround("e", 1).alias("evidence_risk_score"), F.bround(gri, 1).alias("document_gri"), binned(gri, [25, 50, 75], LEVELS).alias("risk_level"))
 
 
@@ -149,6 +165,23 @@ def key_findings(counts: DataFrame) -> DataFrame:
     return counts.withColumn("findings", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("all claims are supported"))))
 
 
+REPORT = "doc_id long, total_claims long, scoring struct<text_risk_score: double, evidence_risk_score: double, document_gri: double, risk_level: string, distribution: struct<supported: long, partially_supported: long, contradicted: long, insufficient_evidence: long>>, findings array<string>, top_claims array<struct<claim_id: string, claim_text: string, verdict: string, evidence_risk_score: double>>, claims array<struct<claim_id: string, verdict: string, confidence: double, evidence_risk_score: double>>"
+
+
+def full_reports(verdicts: DataFrame, n: int = 5) -> DataFrame:
+    """doc_id and report: a document's nested report as JSON text of schema REPORT.
+    verdicts: doc_id, claim_id, text, verdict, confidence, evidence_risk_score, text_risk_score."""
+    c = F.col
+    heavy = F.struct((-c("evidence_risk_score")).alias("o"), "claim_id", F.substring("text", 1, 150).alias("claim_text"), "verdict", "evidence_risk_score")
+    own = F.struct("claim_id", "verdict", "confidence", "evidence_risk_score")
+    more = verdicts.groupBy("doc_id").agg(F.sort_array(F.collect_list(own)).alias("claims"), F.sort_array(F.collect_list(heavy)).alias("h"))
+    rows = evidence_report(verdicts).withColumnRenamed("claims", "total_claims").join(key_findings(verdict_distribution(verdicts)), "doc_id").join(more, "doc_id")
+    top = F.transform(F.slice("h", 1, n), lambda x: F.struct(x["claim_id"].alias("claim_id"), x["claim_text"].alias("claim_text"), x["verdict"].alias("verdict"), x["evidence_risk_score"].alias("evidence_risk_score")))
+    scoring = F.struct("text_risk_score", "evidence_risk_score", "document_gri", "risk_level", F.struct(*VERDICTS).alias("distribution"))
+    report = F.struct("doc_id", "total_claims", scoring.alias("scoring"), "findings", top.alias("top_claims"), "claims")
+    return rows.select("doc_id", F.to_json(report).alias("report"))
+
+
 def top_risk_claims(claims: DataFrame, verdicts: DataFrame, n: int = 5) -> DataFrame:
     """The n claims of highest evidence risk of each document, joined by id, in claim order where equal."""
     rows = claims.join(verdicts, ["doc_id", "claim_id"])

@@ -66,7 +66,8 @@ def predict_batches(claims: DataFrame, make_predictor: Callable, schema: str, co
 
 def fuse_emotion(rows: DataFrame) -> DataFrame:
     """rows: rule_emotional (0-30), nlp_score, nlp_sentiment, nlp_specificity, nlp_ok, model_score. Weights
-    of missing layers are dealt to the others; consistency falls with the variance around the fused score."""
+    of missing layers are dealt to the others; consistency falls with the variance around the fused score.
+    rule_part, nlp_part and model_part are the layers' own scores, null for a missing layer."""
     d = lambda x: F.lit(x).cast("double")
     c = F.col
     rule = F.coalesce("rule_emotional", F.lit(0)) / 30 * 100
@@ -80,4 +81,4 @@ def fuse_emotion(rows: DataFrame) -> DataFrame:
     off = lambda x: F.coalesce((c(x) - c("fused_score")) * (c(x) - c("fused_score")), d(0))
     variance = F.when(layers > 1, (off("__r") + off("__n") + off("__m")) / layers).otherwise(d(2500))
     s = c("fused_score")
-    return rows.withColumns({"consistency": round_up(F.greatest(d(0), 1 - variance / 2500) * 100), "layers": layers, "level": F.when(s >= 71, "high").when(s >= 46, "medium").when(s >= 21, "low").otherwise("none")}).drop("__r", "__n", "__m", "__wr", "__wn", "__wm")
+    return rows.withColumns({"consistency": round_up(F.greatest(d(0), 1 - variance / 2500) * 100), "layers": layers, "rule_part": round_up(c("__r")), "nlp_part": round_up(c("__n")), "model_part": round_up(c("__m")), "level": F.when(s >= 71, "high").when(s >= 46, "medium").when(s >= 21, "low").otherwise("none")}).drop("__r", "__n", "__m", "__wr", "__wn", "__wm")

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import cleaning as B
 from ..operators import evidence as O
 from ..sources import corpus as C
+from ..sources.shared import new_path
+from ..sources.tables import read_reports, write_reports
 from .claims_v2 import WIDE_SQL, analyzed
 from .models import TOTAL_SQL, text_index
 
 #: Documents are chunked small, so that there is a choice.
 SIZE, OVERLAP = 60, 10
-#: Model verdicts, made from ids. Read by both engines.
-VERDICT = """CASE CAST((doc_id + ord) % 5 AS INT) WHEN 0 THEN concat('{"verdict": "supported", "confidence": 0.9, "evidence_risk_score": ', CAST((doc_id + 3 * ord) % 50 AS STRING), '}')
- WHEN 1 THEN concat('[{"verdict": "contradicted", "evidence_risk_score": ', CAST((doc_id + 3 * ord) % 100 AS STRING), '}]') WHEN 2 THEN '{"verdict": "partially_supported"}' WHEN 3 THEN '{"verdict": "sure"}' ELSE 'cannot say' END"""
+#: Model verdicts, made from the claims' texts. Read by both engines.
+VERDICT = """CASE CAST(length(text) % 5 AS INT) WHEN 0 THEN concat('{"verdict": "supported", "confidence": 0.9, "evidence_risk_score": ', CAST((length(text) + 3 * ord) % 50 AS STRING), '}')
+ WHEN 1 THEN concat('[{"verdict": "contradicted", "evidence_risk_score": ', CAST((length(text) + 3 * ord) % 100 AS STRING), '}]') WHEN 2 THEN '{"verdict": "partially_supported"}' WHEN 3 THEN '{"verdict": "sure"}' ELSE 'cannot say' END"""
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,11 +53,11 @@ def o3(spark, sf):
 def _both(spark, sf):
     """Two queries per claim: the second finds what the first does, and is ranked after it."""
     hits = retrieved(spark, sf)
-    return hits.unionByName(hits.filter("rank <= 3").withColumn("query_id", F.lit("Q002")))
+    return O.merge_query_results(hits, hits.filter("rank <= 3").withColumn("query_id", F.lit("Q002")))
 
 
 def o4(spark, sf):
-    return _both(spark, sf).groupBy("doc_id", "claim_id").agg(F.count("*").alias("chunks"), F.countDistinct("query_id").alias("queries"))
+    return O.query_counts(_both(spark, sf))
 
 
 def o5(spark, sf):
@@ -85,7 +87,8 @@ def o9(spark, sf):
 
 
 def _scored(spark, sf):
-    return O.attach_text_risk(verdicts(spark, sf), text_index(spark, sf))
+    """The index to nine digits: the engines sum its parts in different orders."""
+    return O.attach_text_risk(verdicts(spark, sf), text_index(spark, sf).withColumn("tgri", F.round("tgri", 9)))
 
 
 def o10(spark, sf):
@@ -93,7 +96,7 @@ def o10(spark, sf):
 
 
 def o11(spark, sf):
-    return O.evidence_report(_scored(spark, sf).withColumn("text_risk_score", F.round("text_risk_score", 0)))
+    return O.evidence_report(_scored(spark, sf))
 
 
 def o12(spark, sf):
@@ -109,7 +112,18 @@ def o14(spark, sf):
     return O.top_risk_claims(v.select("doc_id", "claim_id", "text"), v.select("doc_id", "claim_id", "verdict", "evidence_risk_score"))
 
 
+def a11e(spark, sf):
+    """Full reports, written as lines and read again."""
+    path = new_path(spark, "reports")
+    write_reports(O.full_reports(_scored(spark, sf)), path, 500)
+    r = read_reports(spark, path, O.REPORT)
+    s = F.col("scoring")
+    top = F.transform("top_claims", lambda x: F.concat_ws("/", x["claim_id"], x["verdict"], x["evidence_risk_score"].cast("int").cast("string"), x["claim_text"]))
+    return r.select("doc_id", "total_claims", s["text_risk_score"].alias("text_risk_score"), s["evidence_risk_score"].alias("evidence_risk_score"), s["document_gri"].alias("document_gri"), s["risk_level"].alias("risk_level"), *[s["distribution"][v].alias(v) for v in O.VERDICTS], F.array_join("findings", "|").alias("findings"), F.array_join(top, "|").alias("top_claims"), F.size("claims").alias("claims"))
+
+
 QUERIES = {
+    "A11_evidence_reports": a11e,
     "O1_expand_queries": o1, "O2_retrieve_lexical": o2, "O3_retrieve_vectors": o3, "O4_merge_query_results": o4, "O5_dedupe_chunks": o5, "O6_evidence_context": o6, "O7_default_verdicts": o7, "O8_normalize_verdicts": o8, "O9_verdict_band_check": o9,
     "O10_attach_text_risk": o10, "O11_evidence_report": o11, "O12_verdict_distribution": o12, "O13_key_findings": o13, "O14_top_risk_claims": o14,
 }
@@ -128,11 +142,15 @@ both_queries AS (SELECT * FROM retrieved UNION ALL SELECT * REPLACE ('Q002' AS q
 firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, claim_id, text[1:120], page ORDER BY query_id, rank) AS f FROM both_queries),
 deduped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, claim_id ORDER BY page, query_id, rank)::INT AS place FROM firsts WHERE f = 1)"""
 VERDICTS_SQL = C.CLAIMS_SQL + """,
-verdicts AS (SELECT doc_id, ord, claim_id, text, CASE (doc_id + ord) % 5 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'partially_supported' ELSE 'insufficient_evidence' END AS verdict, CASE (doc_id + ord) % 5 WHEN 0 THEN 0.9 WHEN 4 THEN 0.2 ELSE 0.5 END::DOUBLE AS confidence,
-  CASE (doc_id + ord) % 5 WHEN 0 THEN (doc_id + 3 * ord) % 50 WHEN 1 THEN (doc_id + 3 * ord) % 100 WHEN 4 THEN 60 ELSE 50 END::DOUBLE AS evidence_risk_score, (doc_id + ord) % 5 <> 4 AS parsed FROM claims),
+verdicts AS (SELECT doc_id, ord, claim_id, text, CASE length(text) % 5 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'partially_supported' ELSE 'insufficient_evidence' END AS verdict, CASE length(text) % 5 WHEN 0 THEN 0.9 WHEN 4 THEN 0.2 ELSE 0.5 END::DOUBLE AS confidence,
+  CASE length(text) % 5 WHEN 0 THEN (length(text) + 3 * ord) % 50 WHEN 1 THEN (length(text) + 3 * ord) % 100 WHEN 4 THEN 60 ELSE 50 END::DOUBLE AS evidence_risk_score, length(text) % 5 <> 4 AS parsed FROM claims),
 distribution AS (SELECT doc_id, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'partially_supported') AS partially_supported, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'insufficient_evidence') AS insufficient_evidence FROM verdicts GROUP BY doc_id)"""
 SCORED_SQL = TOTAL_SQL + ",\n" + VERDICTS_SQL.split(C.CLAIMS_SQL + ",\n", 1)[1] + """,
-scored AS (SELECT v.*, coalesce(tgri, 0) AS text_risk_score, CASE WHEN tgri IS NULL THEN 'unknown' WHEN tgri <= 25 THEN '低风险' WHEN tgri <= 50 THEN '中低风险' WHEN tgri <= 75 THEN '中高风险' ELSE '高风险' END AS text_risk_level FROM verdicts v LEFT JOIN totals t USING (doc_id))"""
+scored AS (SELECT v.*, coalesce(round(tgri, 9), 0) AS text_risk_score, CASE WHEN tgri IS NULL THEN 'unknown' WHEN tgri <= 25 THEN '低风险' WHEN tgri <= 50 THEN '中低风险' WHEN tgri <= 75 THEN '中高风险' ELSE '高风险' END AS text_risk_level FROM verdicts v LEFT JOIN totals t USING (doc_id))"""
+REPORT_SQL = SCORED_SQL + """,
+m AS (SELECT doc_id, count(*) AS claims, round(avg(text_risk_score), 9) AS t, round(avg(evidence_risk_score), 9) AS e FROM scored GROUP BY doc_id), g AS (SELECT *, round(0.5::DOUBLE * t + 0.5::DOUBLE * e, 9) AS gri FROM m),
+reports AS (SELECT doc_id, claims, round_even(t, 1) AS text_risk_score, round_even(e, 1) AS evidence_risk_score, round_even(gri, 1) AS document_gri, CASE WHEN gri <= 25 THEN '低风险' WHEN gri <= 50 THEN '中低风险' WHEN gri <= 75 THEN '中高风险' ELSE '高风险' END AS risk_level FROM g)"""
+FINDINGS_SQL = """coalesce(nullif(concat_ws('|', CASE WHEN contradicted > 0 THEN contradicted || ' claims contradict other parts of the report' END, CASE WHEN insufficient_evidence > 0 THEN insufficient_evidence || ' claims lack sufficient evidence' END, CASE WHEN partially_supported > 0 THEN partially_supported || ' claims are supported in part' END), ''), 'all claims are supported')"""
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 ORACLE_SQL = {
     "O1_expand_queries": f"""WITH {WIDE_SQL}, fit AS (SELECT doc_id, claim_id, text, list_filter([CASE WHEN metric_value IS NOT NULL THEN {{'p': 'value', 'q': 'data behind the reported value in ' || metric_unit}} END, CASE WHEN baseline_year IS NOT NULL THEN {{'p': 'baseline', 'q': 'reference year ' || baseline_year}} END,
@@ -144,15 +162,19 @@ SELECT doc_id, claim_id, 'Q' || lpad(i::VARCHAR, 3, '0') AS query_id, q.p AS pur
     "O2_retrieve_lexical": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, query_id, rank, chunk, floor(score)::BIGINT AS score FROM ranked WHERE rank <= 5",
     "O3_retrieve_vectors": f"""WITH v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(round(score, 6), 4) AS score FROM r WHERE rank <= 5""",
-    "O4_merge_query_results": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, count(*) AS chunks, count(DISTINCT query_id) AS queries FROM both_queries GROUP BY doc_id, claim_id",
+    "O4_merge_query_results": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, count(*) AS chunks, count(DISTINCT chunk) AS different, count(DISTINCT query_id) AS queries FROM both_queries GROUP BY doc_id, claim_id",
     "O5_dedupe_chunks": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, place, query_id, chunk, page FROM deduped",
     "O6_evidence_context": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, count(*)::INT AS chunks, md5(string_agg('[' || page || '] ' || text, chr(10) || chr(10) ORDER BY place)) AS context_md5 FROM deduped WHERE place <= 4 GROUP BY doc_id, claim_id",
     "O7_default_verdicts": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, 'insufficient_evidence' AS verdict, 0.3::DOUBLE AS confidence, 60.0::DOUBLE AS evidence_risk_score, 'no_evidence_found' AS gap FROM claims_on c WHERE NOT EXISTS (SELECT 1 FROM retrieved r WHERE r.doc_id = c.doc_id AND r.claim_id = c.claim_id AND score > 20)",
     "O8_normalize_verdicts": f"WITH {VERDICTS_SQL} SELECT doc_id, claim_id, verdict, confidence, evidence_risk_score, parsed FROM verdicts",
     "O9_verdict_band_check": f"WITH {VERDICTS_SQL} SELECT doc_id, claim_id, verdict, evidence_risk_score, CASE verdict WHEN 'supported' THEN evidence_risk_score BETWEEN 0 AND 35 WHEN 'partially_supported' THEN evidence_risk_score BETWEEN 35 AND 65 WHEN 'contradicted' THEN evidence_risk_score BETWEEN 65 AND 85 ELSE evidence_risk_score BETWEEN 50 AND 75 END AS in_band FROM verdicts",
     "O10_attach_text_risk": f"WITH {SCORED_SQL} SELECT doc_id, claim_id, round(text_risk_score, 6) AS text_risk_score, text_risk_level FROM scored",
-    "O11_evidence_report": f"WITH {SCORED_SQL}, m AS (SELECT doc_id, count(*) AS claims, avg(round(text_risk_score, 0)) AS t, avg(evidence_risk_score) AS e FROM scored GROUP BY doc_id), g AS (SELECT *, 0.5::DOUBLE * t + 0.5::DOUBLE * e AS gri FROM m) SELECT doc_id, claims, round_even(t, 1) AS text_risk_score, round_even(e, 1) AS evidence_risk_score, round_even(gri, 1) AS document_gri, CASE WHEN gri <= 25 THEN '低风险' WHEN gri <= 50 THEN '中低风险' WHEN gri <= 75 THEN '中高风险' ELSE '高风险' END AS risk_level FROM g",
+    "O11_evidence_report": f"WITH {REPORT_SQL} SELECT * FROM reports",
+    "A11_evidence_reports": f"""WITH {REPORT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY evidence_risk_score DESC, claim_id) AS place FROM verdicts),
+top AS (SELECT doc_id, string_agg(concat_ws('/', claim_id, verdict, evidence_risk_score::INT::VARCHAR, text[1:150]), '|' ORDER BY place) AS top_claims FROM r WHERE place <= 5 GROUP BY doc_id)
+SELECT doc_id, claims AS total_claims, text_risk_score, evidence_risk_score, document_gri, risk_level, supported, partially_supported, contradicted, insufficient_evidence, {FINDINGS_SQL} AS findings, top_claims, claims::INT AS claims
+FROM reports JOIN distribution USING (doc_id) JOIN top USING (doc_id)""",
     "O12_verdict_distribution": f"WITH {VERDICTS_SQL} SELECT * FROM distribution",
-    "O13_key_findings": f"WITH {VERDICTS_SQL} SELECT doc_id, coalesce(nullif(concat_ws('|', CASE WHEN contradicted > 0 THEN contradicted || ' claims contradict other parts of the report' END, CASE WHEN insufficient_evidence > 0 THEN insufficient_evidence || ' claims lack sufficient evidence' END, CASE WHEN partially_supported > 0 THEN partially_supported || ' claims are supported in part' END), ''), 'all claims are supported') AS findings FROM distribution",
+    "O13_key_findings": f"WITH {VERDICTS_SQL} SELECT doc_id, {FINDINGS_SQL} AS findings FROM distribution",
     "O14_top_risk_claims": f"WITH {VERDICTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY evidence_risk_score DESC, claim_id)::INT AS place FROM verdicts) SELECT doc_id, place, claim_id, text[1:150] AS claim_text, verdict, evidence_risk_score FROM r WHERE place <= 5",
 }

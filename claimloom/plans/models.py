@@ -72,7 +72,7 @@ def k5(spark, sf):
 
 def k6(spark, sf):
     rows = S.score_documents(_docs(spark, sf)).select("doc_id", F.col("emotional").alias("rule_emotional"))
-    return K.fuse_emotion(_with(rows, EMOTION)).select("doc_id", "fused_score", "consistency", "layers", "level")
+    return K.fuse_emotion(_with(rows, EMOTION)).select("doc_id", "fused_score", "consistency", "layers", "level", "rule_part", "nlp_part", "model_part")
 
 
 def answers(spark, sf):
@@ -121,11 +121,13 @@ def w4(spark, sf):
     return out.select("doc_id", "adjusted_risk", "emotion_score", "emotion_level", "summary", F.array_join("annotations", "|").alias("annotations"))
 
 
-RAW_EMOTION = """concat('{"score": ', CAST(doc_id % 250 - 50 AS STRING), ', "level": "', CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'huge' END, '", "signals": ["x"]}')"""
+#: A model's emotion of a document, from a word and a number of its text.
+RAW_EMOTION = """concat('{"score": ', CAST(3 * n - 50 AS STRING), ', "level": "', CASE WHEN n % 2 = 0 THEN 'high' ELSE 'huge' END, CASE WHEN n % 3 = 0 THEN concat('", "rationale": "', w) ELSE '' END, '", "signals": ["', w, '", "x"]}')"""
 
 
 def w5(spark, sf):
-    rows = C.table(spark, sf, "documents").select("doc_id", F.from_json(F.expr(RAW_EMOTION), "score double, level string, rationale string, signals array<string>").alias("e"))
+    said = spark.sql("SELECT " + SAID.replace('"text"', "text") + " FROM {docs}", docs=C.table(spark, sf, "documents"))
+    rows = said.select("doc_id", F.from_json(F.expr(RAW_EMOTION), "score double, level string, rationale string, signals array<string>").alias("e"))
     out = rows.select("doc_id", W.normalize_emotion(F.col("e")).alias("e"))
     return out.select("doc_id", "e.score", "e.level", "e.rationale", F.array_join("e.signals", "|").alias("signals"))
 
@@ -281,13 +283,13 @@ n AS (SELECT *, CASE WHEN nlp_ok THEN least(100.0::DOUBLE, nlp_score * 0.5::DOUB
 w AS (SELECT *, CASE WHEN nlp_ok THEN 0.2::DOUBLE ELSE 0.35::DOUBLE END AS wr, CASE WHEN nlp_ok THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS wn, CASE WHEN model_score IS NULL THEN 0.0::DOUBLE WHEN nlp_ok THEN 0.35::DOUBLE ELSE 0.65::DOUBLE END AS wm, 1 + nlp_ok::INT + (model_score IS NOT NULL)::INT AS layers FROM n),
 f AS (SELECT *, floor((r * wr + coalesce(p, 0.0::DOUBLE) * wn + coalesce(model_score, 0.0::DOUBLE) * wm) / (wr + wn + wm) + 0.5::DOUBLE) AS fused_score FROM w),
 s AS (SELECT *, CASE WHEN layers > 1 THEN ((r - fused_score) * (r - fused_score) + coalesce((p - fused_score) * (p - fused_score), 0.0::DOUBLE) + coalesce((model_score - fused_score) * (model_score - fused_score), 0.0::DOUBLE)) / layers ELSE 2500.0::DOUBLE END AS x FROM f)
-SELECT doc_id, fused_score, floor(greatest(0.0::DOUBLE, 1 - x / 2500) * 100 + 0.5::DOUBLE) AS consistency, layers, CASE WHEN fused_score >= 71 THEN 'high' WHEN fused_score >= 46 THEN 'medium' WHEN fused_score >= 21 THEN 'low' ELSE 'none' END AS level FROM s""",
+SELECT doc_id, fused_score, floor(greatest(0.0::DOUBLE, 1 - x / 2500) * 100 + 0.5::DOUBLE) AS consistency, layers, CASE WHEN fused_score >= 71 THEN 'high' WHEN fused_score >= 46 THEN 'medium' WHEN fused_score >= 21 THEN 'low' ELSE 'none' END AS level, floor(r + 0.5::DOUBLE) AS rule_part, floor(p + 0.5::DOUBLE) AS nlp_part, floor(model_score + 0.5::DOUBLE) AS model_part FROM s""",
     "A8_read_model_responses": f"WITH {ANSWERS_SQL} SELECT doc_id, attempt, json->>'summary' AS summary FROM answered",
     "W1_normalize_responses": f"WITH {ANSWERS_SQL} SELECT doc_id, coalesce(json->>'summary', raw) AS summary, (json->>'adjustedRisk')::DOUBLE AS adjusted_risk, coalesce(json->>'evidenceStatus', 'unknown') AS evidence_status, coalesce(array_to_string(from_json(json->'annotations', '[\"VARCHAR\"]'), '|'), '') AS annotations, NULL::VARCHAR AS rewrite_suggestion FROM answered",
     "W2_response_key": f"WITH r AS (SELECT {REQUESTS} FROM events) SELECT request_id, {_KEY} AS key FROM r",
     "W3_reuse_responses": f"WITH r AS (SELECT *, {_KEY} AS key FROM (SELECT {REQUESTS} FROM events)), h AS (SELECT q.request_id, arg_max('answer ' || a.request_id, a.ts) AS response FROM r q JOIN r a ON q.key = a.key AND a.request_id % 3 = 0 AND a.ts <= q.ts AND a.ts >= q.ts - INTERVAL 3600 SECONDS GROUP BY q.request_id) SELECT r.request_id, response, response IS NOT NULL AS hit FROM r LEFT JOIN h USING (request_id)",
     "W6_merge_prior_findings": f"WITH {V1_SQL} SELECT doc_id, CASE WHEN ab > sc THEN 'positive_claim' WHEN sc > ab THEN 'balanced_disclosure' ELSE 'mixed' END AS claim_direction, context AS text_types, text[1:200] AS one_line, array_to_string(string_split(text, ' ')[1:5], '|') AS key_findings, CASE WHEN doc_id % 2 = 0 THEN 'say less' ELSE '' END AS recommendations FROM counts",
-    "W5_normalize_emotion": "SELECT doc_id, greatest(0, least(100, doc_id % 250 - 50))::DOUBLE AS score, CASE WHEN doc_id % 2 = 0 THEN 'high' END AS level, '' AS rationale, 'x' AS signals FROM documents",
+    "W5_normalize_emotion": f"SELECT doc_id, greatest(0, least(100, 3 * n - 50))::DOUBLE AS score, CASE WHEN n % 2 = 0 THEN 'high' END AS level, CASE WHEN n % 3 = 0 THEN w ELSE '' END AS rationale, w || '|x' AS signals FROM (SELECT {SAID} FROM documents)",
     "M1_tgri_vagueness": f"WITH {INDEX_SQL} SELECT doc_id, round(m3, 6) AS m3 FROM scores",
     "M2_tgri_framing": f"WITH {INDEX_SQL} SELECT doc_id, positive, balance, round(m4, 6) AS m4 FROM scores",
     "M3_claim_level": f"WITH {GAP_SQL} SELECT doc_id, claim_id, level FROM structured_levels",

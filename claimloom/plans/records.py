@@ -12,6 +12,8 @@ from ..operators.risk import document_risk
 from ..operators.scoring_v1 import score_documents
 from ..sources import corpus as C
 from ..sources import tables as A
+from ..sources.history_store import HistoryStore
+from ..sources.json_array import write_json_array
 from ..sources.shared import new_path
 from ..streaming import jobs
 from .claims_v2 import FEATURES_SQL, MENTIONS_SQL, REGISTRY_SQL, RISK_SQL, STRUCTURE_SQL, scored, wide_table
@@ -23,6 +25,9 @@ INTAKE = """doc_id, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE "text" END AS text,
 INTAKE_SPARK = INTAKE.replace('"text"', "text")
 HISTORY = """event_id AS id, ts AS created_at, CASE WHEN event_type = 'error' THEN 'report' ELSE 'marketing' END AS context_type, event_type AS sector, concat('{"risk": ', CAST(CAST(floor(value) AS INT) % 100 AS STRING), ', "level": "', CASE WHEN value > 30 THEN 'high' ELSE 'low' END, '", "factors": ["f', CAST(user_id % 5 AS STRING), '", "g"]}') AS result_json,
  CASE WHEN event_id % 10 = 0 THEN concat('{"reviewer": "r", "overall": "', CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'agree' WHEN 1 THEN 'disagree' ELSE 'mixed' END, '", "gri_override": ', CAST(event_id % 100 AS STRING), ', "per_claim": [{"claim_id": "C1", "correct": ', CASE WHEN event_id % 20 = 0 THEN 'true' ELSE 'false' END, ', "correct_sin": "', CASE WHEN event_id % 40 = 0 THEN 'vagueness' ELSE 'no_proof' END, '"}]}') END AS feedback_json"""
+ORDERS = "o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS created_at, o_orderpriority AS sector, CAST(NULL AS STRING) AS feedback_json, CAST(NULL AS TIMESTAMP) AS feedback_at"
+#: An element of an old history; texts hold what looks like structure.
+OLD = r"""concat('{"id": "', CAST(event_id AS STRING), '", "createdAt": "', date_format(ts, 'yyyy-MM-dd'), 'T00:00:00Z", "request": {"text": "a, [b] {', event_type, '} \\"c\\", \\\\", ', CASE WHEN event_id % 3 = 0 THEN concat('"sector": "', event_type, '", ') ELSE '' END, '"more": [1, [2, {"x": "]},"}]]}, "result": {"risk": ', CAST(CAST(floor(value) AS INT) % 100 AS STRING), ', "list": [1, 2, 3]}', CASE WHEN event_id % 5 = 0 THEN ', "classification": {"context": {"selected": "report"}}' ELSE '' END, ', "meta": {"note": "n,', CAST(user_id AS STRING), '"}}')"""
 JOBS = "user_id AS job_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS status, event_type AS stage, CAST(floor(value) AS INT) % 100 AS progress"
 FILES = """url AS path, CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 3 = 0 THEN concat('%PDF-1.7 ', html) ELSE html END AS body"""
 NAMES = "doc_id, concat(source, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN '_Green-Corp_' WHEN 1 THEN '-report ' ELSE '' END, CASE WHEN doc_id % 4 <> 0 THEN CAST(1985 + doc_id % 60 AS STRING) ELSE 'latest' END, CASE WHEN doc_id % 2 = 0 THEN '_final.PDF' ELSE '.pdf' END) AS path"
@@ -86,12 +91,40 @@ def a6(spark, sf):
     return reg.join(n, reg.id == n.cert_id, "left").select("id", "type", "region", F.size("domain").alias("domains"), F.coalesce("claims", F.lit(0)).alias("claims"))
 
 
+def a7(spark, sf):
+    """An old history: one array of all events, written to one file and read again."""
+    path = new_path(spark, "old")
+    e = _events(spark, sf)
+    write_json_array(e.select(F.col("event_id").alias("i"), F.expr(OLD).alias("json")), path, "i")
+    return A.read_legacy_history(spark, path).select("id", "created_at", "request_text", "context_type", "sector", F.get_json_object("result_json", "$.risk").cast("int").alias("risk"), F.get_json_object("meta_json", "$.note").alias("note"))
+
+
 def a9(spark, sf):
     rows = history(spark, sf)
     late = rows.filter("id % 4 = 0").withColumns({"sector": F.lit("energy"), "created_at": F.when(F.col("id") % 8 == 0, F.col("created_at") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("created_at"))})
     return Q.upsert_history(rows, late).select("id", "sector", "created_at")
 
 
+def a9s(spark, sf):
+    """A stored history of orders by month: changed, cut, marked and read again."""
+    rows = _sql(C.table(spark, sf, "orders"), ORDERS)
+    store = HistoryStore(spark, new_path(spark, "history"), "id long, created_at timestamp, sector string, feedback_json string, feedback_at timestamp")
+    store.upsert(rows)
+    late = rows.filter("id % 8 = 0 AND created_at >= '1997-03-01'")
+    store.upsert(late.withColumns({"sector": F.lit("energy"), "created_at": F.when(F.col("id") % 16 == 0, F.col("created_at") + F.expr("INTERVAL 40 DAYS")).otherwise(F.col("created_at") - F.expr("INTERVAL 1 DAY"))}))
+    store.delete(rows.filter("sector = '5-LOW' AND created_at < '1994-01-01'"))
+    store.attach_feedback(_sql(rows.filter("created_at < '1995-01-01'"), "id, CASE WHEN id % 3 = 0 THEN '[1]' ELSE concat('{\"n\": ', CAST(id AS STRING), '}') END AS feedback_json, created_at AS feedback_at"))
+    store.retain("1993-06-15")
+    return store.read().select("id", "created_at", "sector", "feedback_json")
+
+
+def a10f(spark, sf):
+    """Exported feedback as lines, read again."""
+    path = new_path(spark, "feedback")
+    A.write_feedback(Q.export_feedback(history(spark, sf)).select("id", "created_at", "feedback_json"), path, 100)
+    return spark.read.schema("id long, created_at timestamp, feedback_json string").json(path)
+
+
 def a10(spark, sf):
     return Q.export_feedback(history(spark, sf)).select("id", "created_at", "feedback_json")
 
@@ -212,11 +245,12 @@ def _ran(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFr
 
 
 def q9(spark, sf):
-    """Scores of documents, streamed; each micro-batch is appended to a table."""
+    """Scores of documents, streamed; each micro-batch is a part of a table."""
     out = _folder(spark)
     docs = _stream(spark, sf, "documents").select("doc_id", "text")
     schema = score_documents(docs).select("doc_id", "mode", "risk").schema
-    jobs.stream_scores(docs, lambda df, n: df.select("doc_id", "mode", "risk").write.mode("append").parquet(f"{out}/batch={n}"), _folder(spark)).awaitTermination()
+    keep = jobs.batch_folder(out)
+    jobs.stream_scores(docs, lambda df, n: keep(df.select("doc_id", "mode", "risk"), n), _folder(spark)).awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
 
@@ -232,12 +266,15 @@ def q11s(spark, sf):
 
 def q12(spark, sf):
     events = _sql(_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), REQUESTS)
-    return _ran(jobs.dedupe_requests(events, "1000 days").select("key"), spark)
+    return _ran(jobs.dedupe_requests(events).select("key", "request_id"), spark)
 
 
 def q15s(spark, sf):
+    """All three kinds of windows, of which those are told that the watermark has passed."""
     rows = _sql(_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id, ts, CAST(CAST(floor(value) AS INT) % 100 AS DOUBLE) AS risk")
-    return _ran(jobs.windowed(rows), spark)
+    kinds = {"tumbling": jobs.windowed(rows), "sliding": jobs.windowed(rows, "2 hours", "1 hour"), "session": jobs.session_windows(rows, "user_id")}
+    out = [_ran(df, spark).select(F.lit(kind).alias("kind"), "start", "end", "n", "max_risk") for kind, df in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def _metrics(spark, sf):
@@ -275,7 +312,7 @@ def r5(spark, sf):
 
 
 QUERIES = {
-    "A1_read_documents": a1, "A2_reject_documents": a2, "A3_inventory_pdfs": a3, "A4_read_page_text": a4, "A5_read_lexicon": a5, "A6_read_cert_registry": a6, "A9_upsert_history": a9, "A10_export_feedback": a10, "A11_export_reports": a11, "A12_filename_metadata": a12, "A13_metadata_merge": a13,
+    "A1_read_documents": a1, "A2_reject_documents": a2, "A3_inventory_pdfs": a3, "A4_read_page_text": a4, "A5_read_lexicon": a5, "A6_read_cert_registry": a6, "A7_read_legacy_history": a7, "A9_upsert_history": a9, "A9_stored_history": a9s, "A10_feedback_lines": a10f, "A10_export_feedback": a10, "A11_export_reports": a11, "A12_filename_metadata": a12, "A13_metadata_merge": a13,
     "Q1_recent_history": q1, "Q2_apply_retention": q2, "Q3_delete_history": q3, "Q4_attach_feedback": q4, "Q5_compact_history": q5, "Q6_history_summary": q6, "Q6_common_factors": q6f, "Q7_risk_trend": q7, "Q8_feedback_metrics": q8, "Q9_stream_scores": q9, "Q10_job_status": q10, "Q10_job_status_stream": q10s, "Q11_stalled_jobs": q11, "Q11_stalled_jobs_stream": q11s, "Q12_stream_dedupe": q12, "Q13_verify_progress": q13, "Q14_newest_jobs": q14, "Q15_windowed_risk": q15, "Q15_windowed_risk_stream": q15s,
     "R1_sector_baselines": r1, "R2_baseline_position": r2, "R3_company_history_conflicts": r3, "R4_review_queue": r4, "R5_annotator_kappa": r5,
 }
@@ -294,6 +331,10 @@ def _windows(size: str, offsets: str) -> str:
     return f"SELECT b - o * INTERVAL 1 HOUR AS s, risk FROM (SELECT date_trunc('hour', ts) AS b, risk FROM r), {offsets} k(o)"
 
 
+WINDOWS_SQL = f"""r AS (SELECT user_id, ts, (floor(value)::INT % 100)::DOUBLE AS risk FROM events), t AS ({_windows('1', '(VALUES (0))')}), s AS ({_windows('2', '(VALUES (0), (1))')}),
+g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM r), h AS (SELECT *, sum((p IS NULL OR ts - p >= INTERVAL 30 MINUTES)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+windows AS (SELECT 'tumbling' AS kind, s AS start, s + INTERVAL 1 HOUR AS "end", count(*) AS n, max(risk) AS max_risk FROM t GROUP BY s UNION ALL SELECT 'sliding', s, s + INTERVAL 2 HOURS, count(*), max(risk) FROM s GROUP BY s
+UNION ALL SELECT 'session', min(ts), max(ts) + INTERVAL 30 MINUTES, count(*), max(risk) FROM h GROUP BY user_id, k)"""
 ORACLE_SQL = {
     "A1_read_documents": f"WITH {INTAKE_SQL} SELECT doc_id, coalesce(nullif(context_type, ''), 'auto') AS context_type, coalesce(sector, 'auto') AS sector FROM judged WHERE reason IS NULL",
     "A2_reject_documents": f"WITH {INTAKE_SQL} SELECT doc_id, reason FROM judged WHERE reason IS NOT NULL",
@@ -303,6 +344,11 @@ ORACLE_SQL = {
     "A13_metadata_merge": f"""WITH {NAMES_SQL}, model AS (SELECT {MODEL_META} FROM names), j AS (SELECT m.doc_id, m.company, m.year, nullif(trim(m_company), '') AS mc, CASE WHEN m_year BETWEEN 1900 AND 2100 THEN m_year END AS my, m_report_type, m_confidence, m_present FROM meta m LEFT JOIN model o USING (doc_id))
 SELECT doc_id, coalesce(mc, company) AS company, coalesce(my, year) AS year, CASE WHEN m_report_type = 'annual_report' THEN m_report_type ELSE 'esg_report' END AS report_type, CASE WHEN m_present THEN coalesce(least(1.0::DOUBLE, m_confidence), 0.7::DOUBLE) ELSE 0.4::DOUBLE END AS confidence, CASE WHEN m_present IS NULL THEN 'filename' WHEN mc IS NOT NULL AND my IS NOT NULL THEN 'llm' ELSE 'llm-partial' END AS source FROM j""",
     "A9_upsert_history": f"WITH {HISTORY_SQL} SELECT id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN 'energy' ELSE sector END AS sector, created_at FROM history",
+    "A7_read_legacy_history": """SELECT event_id::VARCHAR AS id, date_trunc('day', ts)::TIMESTAMP AS created_at, 'a, [b] {' || event_type || '} "c", \\' AS request_text, CASE WHEN event_id % 5 = 0 THEN 'report' ELSE 'auto' END AS context_type, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'auto' END AS sector, floor(value)::INT % 100 AS risk, 'n,' || user_id AS note FROM events""",
+    "A9_stored_history": f"""WITH r AS (SELECT {ORDERS} FROM orders), changed AS (SELECT id, sector AS old, created_at AS old_at, id % 8 = 0 AND created_at >= TIMESTAMP '1997-03-01' AS late FROM r),
+u AS (SELECT id, old, old_at, CASE WHEN late AND id % 16 = 0 THEN 'energy' ELSE old END AS sector, CASE WHEN late AND id % 16 = 0 THEN old_at + INTERVAL 40 DAYS ELSE old_at END AS created_at FROM changed)
+SELECT id, created_at, sector, CASE WHEN old_at < TIMESTAMP '1995-01-01' AND id % 3 <> 0 THEN '{{"n": ' || id || '}}' END AS feedback_json FROM u WHERE NOT (old = '5-LOW' AND old_at < TIMESTAMP '1994-01-01') AND created_at >= TIMESTAMP '1993-06-15'""",
+    "A10_feedback_lines": f"WITH {HISTORY_SQL} SELECT id, created_at, feedback_json FROM history WHERE feedback_json IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 10000",
     "A10_export_feedback": f"WITH {HISTORY_SQL} SELECT id, created_at, feedback_json FROM history WHERE feedback_json IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 10000",
     "Q1_recent_history": f"WITH {HISTORY_SQL} SELECT id, created_at, sector FROM history ORDER BY created_at DESC, id DESC LIMIT 30",
     "Q2_apply_retention": f"WITH {HISTORY_SQL} SELECT id FROM history WHERE created_at >= TIMESTAMP '2026-01-15' - INTERVAL 730 DAYS",
@@ -317,13 +363,15 @@ SELECT id, arg_max(feedback_json, (ts, feedback_json)) AS feedback_json, 'kept'
     "Q10_job_status": f"WITH {JOBS_SQL} SELECT job_id, max(ts) AS ts, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) AS stage, arg_max(progress, (ts, event_id)) AS progress, count(*) AS patches FROM jobs GROUP BY job_id",
     "Q10_job_status_stream": f"WITH {JOBS_SQL} SELECT job_id, max(ts) AS ts, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) AS stage, arg_max(progress, (ts, event_id)) AS progress FROM jobs GROUP BY job_id",
     "Q11_stalled_jobs": f"WITH {JOBS_SQL}, n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts FROM jobs) SELECT job_id, ts AS stalled_after, next_ts FROM n WHERE status = 'running' AND next_ts - ts > INTERVAL 3600 SECONDS",
-    "Q12_stream_dedupe": f"WITH r AS (SELECT {REQUESTS} FROM events) SELECT DISTINCT sha256(concat_ws(chr(31), text, context_type, sector, provider, model)) AS key FROM r",
+    "Q12_stream_dedupe": f"""WITH RECURSIVE r AS (SELECT request_id, ts, sha256(concat_ws(chr(31), text, context_type, sector, provider, model)) AS key FROM (SELECT {REQUESTS} FROM events)),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, request_id) AS i FROM r),
+walk AS (SELECT key, i, request_id, ts AS last, true AS let FROM o WHERE i = 1 UNION ALL
+  SELECT o.key, o.i, o.request_id, CASE WHEN o.ts > w.last + INTERVAL 300 SECONDS THEN o.ts ELSE w.last END, o.ts > w.last + INTERVAL 300 SECONDS FROM walk w JOIN o ON o.key = w.key AND o.i = w.i + 1)
+SELECT key, request_id FROM walk WHERE let""",
     "Q13_verify_progress": f"WITH {C.CLAIMS_SQL} SELECT doc_id, count(*) FILTER (ord % 3 <> 0) AS done, count(*) AS total, floor(60 + 25 * count(*) FILTER (ord % 3 <> 0) / count(*))::INT AS progress FROM claims GROUP BY doc_id",
     "Q14_newest_jobs": f"WITH {JOBS_SQL} SELECT job_id, max(ts) AS ts FROM jobs GROUP BY job_id ORDER BY ts DESC, job_id DESC LIMIT 100",
-    "Q15_windowed_risk": f"""WITH r AS (SELECT user_id, ts, (floor(value)::INT % 100)::DOUBLE AS risk FROM events), t AS ({_windows('1', '(VALUES (0))')}), s AS ({_windows('2', '(VALUES (0), (1))')}),
-g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM r), h AS (SELECT *, sum((p IS NULL OR ts - p >= INTERVAL 30 MINUTES)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT 'tumbling' AS kind, s AS start, s + INTERVAL 1 HOUR AS "end", count(*) AS n, max(risk) AS max_risk FROM t GROUP BY s UNION ALL SELECT 'sliding', s, s + INTERVAL 2 HOURS, count(*), max(risk) FROM s GROUP BY s
-UNION ALL SELECT 'session', min(ts), max(ts) + INTERVAL 30 MINUTES, count(*), max(risk) FROM h GROUP BY user_id, k""",
+    "Q15_windowed_risk": f"WITH {WINDOWS_SQL} SELECT * FROM windows",
+    "Q15_windowed_risk_stream": f"WITH {WINDOWS_SQL} SELECT * FROM windows WHERE \"end\" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM r)",
     "Q6_common_factors": f"WITH {HISTORY_SQL}, f AS (SELECT unnest(from_json(result_json->'factors', '[\"VARCHAR\"]')) AS factor FROM history) SELECT factor, count(*) AS n FROM f GROUP BY factor ORDER BY n DESC, factor LIMIT 10",
     "R1_sector_baselines": f"WITH {METRICS_SQL} SELECT * FROM baselines",
     "R2_baseline_position": f"WITH {METRICS_SQL} SELECT doc_id, claim_id, value, CASE WHEN p10 IS NULL THEN 'unknown' WHEN value < p10 THEN '<p10' WHEN value < p25 THEN 'p10+' WHEN value < p50 THEN 'p25+' WHEN value < p75 THEN 'p50+' WHEN value < p90 THEN 'p75+' ELSE 'p90+' END AS band FROM metrics LEFT JOIN baselines USING (sector, nation, year, metric_unit)",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CONTEXTS, LEXICON, SECTORS
+from ..functions.semantics import or_null
+from .json_array import read_json_array
 
 MAX_CHARS = 10_000
 MAX_FILE = 50 * 1024 * 1024
@@ -67,9 +69,20 @@ def read_lexicon(spark: SparkSession, path: str | None = None) -> dict[str, list
 
 
 def read_legacy_history(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of old analyses as history rows; missing kinds are `auto`, missing ids new ones."""
-    rows = spark.read.schema("id string, createdAt string, text string, contextType string, sector string, result string, llm string").option("multiLine", True).json(path)
-    return rows.select(F.coalesce("id", F.expr("uuid()")).alias("id"), F.coalesce(F.to_timestamp("createdAt"), F.lit("1970-01-01").cast("timestamp")).alias("created_at"), F.coalesce("text", F.lit("")).alias("request_text"), F.coalesce("contextType", F.lit("auto")).alias("context_type"), F.coalesce("sector", F.lit("auto")).alias("sector"), F.col("result").alias("result_json"), F.col("llm").alias("llm_json"))
+    """A JSON array of old analyses as history rows, read by as many tasks as the file has ranges.
+
+    Texts and kinds stand in `request` or beside it; kinds may also be those that a classification chose,
+    and are `auto` otherwise. A missing id is made from the element itself, so reading twice gives it twice
+    alike; a missing time is the first of 1970. Elements that are no objects are left out."""
+    rows = read_json_array(spark, path).filter(F.json_object_keys("json").isNotNull())
+    told = lambda *paths: F.coalesce(*[or_null(F.get_json_object("json", f"$.{p}")) for p in paths])
+    part = lambda p: or_null(F.get_json_object("json", f"$.{p}"))
+    kind = lambda name, chosen: F.coalesce(told(f"request.{name}", name, f"classification.{chosen}.selected"), F.lit("auto"))
+    return rows.select(
+        F.coalesce(told("id"), F.concat(F.lit("old-"), F.substring(F.sha2(F.concat_ws("/", F.col("element").cast("string"), "json"), 256), 1, 32))).alias("id"), F.coalesce(F.to_timestamp(told("createdAt")), F.lit("1970-01-01").cast("timestamp")).alias("created_at"),
+        F.coalesce(told("request.text", "text"), F.lit("")).alias("request_text"), kind("contextType", "context").alias("context_type"), kind("sector", "sector").alias("sector"), F.coalesce(part("result"), F.lit("{}")).alias("result_json"),
+        *[part(p).alias(f"{p}_json") for p in ("llm", "verification", "classification", "meta")],
+    )
 
 
 def export_reports(docs: DataFrame, claims: DataFrame) -> DataFrame:
@@ -79,6 +92,21 @@ def export_reports(docs: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.to_json(F.struct("doc_id", "gri", F.col("risk_level").alias("level"), F.coalesce("own", F.expr("array()").cast("array<struct<claim_id: string, claim_risk: double, risk_level: string>>")).alias("claims"))).alias("report"))
 
 
+def write_feedback(rows: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Exported feedback as JSON lines in files of per_file rows, in the order of rows. Spark's writer moves
+    files into place when the job has ended, so one that fails leaves none, and no mark of success."""
+    rows.write.option("maxRecordsPerFile", per_file).options(ignoreNullFields=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+
+
+def write_reports(reports: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Reports (a column of JSON text), one a line; with per_file = 1 each report is a file of its own."""
+    reports.select("report").write.option("maxRecordsPerFile", per_file).text(path)
+
+
+def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def filename_metadata(paths: DataFrame) -> DataFrame:
     """company, year, report_type, confidence from names of files."""
     base = F.regexp_replace(F.coalesce("path", F.lit("")), r"(?i)\.pdf$", "")
