@@ -2,13 +2,15 @@
 
 Each document is tested against rules; failures are aggregated by host (here: `source`); the rate
 of each host is shrunken towards the mean rate by a beta prior whose two parameters are estimated
-from all hosts (method of moments); hosts whose shrunken rate is above HOST_FACTOR times the prior's mean
-are distrusted, and the verdict is joined back: of a distrusted host only documents that pass every
-rule stay. So hosts are judged against each other, whatever the rate of the whole corpus.
+from the counts of all hosts, as beta-binomial: what their rates differ by less what chance alone would make
+them differ by. A host is distrusted when its posterior rate is above HOST_FACTOR times the mean with
+a probability of about 99 % (SURE standard deviations of the posterior), and the verdict is joined back: of
+a distrusted host only documents that pass every rule stay. So hosts are judged against each other,
+whatever the rate of the whole corpus, and hosts that differ by chance alone are left alone.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of
-its own; no rows give no rows; with a single host, or hosts that don't differ, the prior is the
-mean rate with weight PRIOR_MAX; repeated rows are judged and counted each; existing columns named
+its own; no rows give no rows; with a single host, or hosts that differ no more than by chance, the prior is
+the mean rate with weight PRIOR_MAX; repeated rows are judged and counted each; existing columns named
 as the results are replaced."""
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: Soft rules, beside the base rule. They only count for hosts and within distrusted hosts.
 MEAN_WORD = (2, 15)
-#: A host is distrusted above so many times the mean rate of failing documents.
-HOST_FACTOR = 1.2
+#: A host is distrusted if its rate is above so many times the mean rate of failing documents, by so many
+#: standard deviations of its posterior.
+HOST_FACTOR, SURE = 1.2, 2.33
 #: Bounds of the weight of the prior, in documents.
 PRIOR_MIN, PRIOR_MAX = 2.0, 1000.0
 
@@ -95,15 +98,21 @@ def rule_failed() -> Column:
 def host_verdicts(stats: DataFrame, host: str) -> DataFrame:
     """One row per host: n, failed, rate (shrunken), distrusted. stats has a boolean rule_failed.
 
-    Prior: with mean m and variance v of the hosts' rates, a + b = m (1 - m) / v - 1, kept within
-    [PRIOR_MIN, PRIOR_MAX]; a = m (a + b). The moments are one aggregate row, joined by a constant."""
+    Prior: k hosts of n_i documents, N in all, with mean rate m. S = sum n_i (p_i - m)^2 is, for hosts alike,
+    (k - 1) m (1 - m) by chance; each unit of variance v of the true rates adds N - sum n_i^2 / N - (k - 1).
+    So v follows from S; a + b = m (1 - m) / v - 1, kept within [PRIOR_MIN, PRIOR_MAX]; a = m (a + b). Only
+    sums over hosts are needed, one row, joined by a constant."""
     hosts = stats.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
-    raw = F.col("failed") / F.col("n")
-    moments = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_pop(raw), F.lit(0.0)).alias("v"))
-    weight = F.when(F.col("v") > 1e-12, F.least(F.lit(PRIOR_MAX), F.greatest(F.lit(PRIOR_MIN), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(PRIOR_MAX))
+    d = lambda c: F.col(c).cast("double")
+    sums = hosts.agg(F.count("*").cast("double").alias("k"), F.sum("n").cast("double").alias("t"), F.sum("failed").cast("double").alias("f"), F.sum(d("failed") * d("failed") / d("n")).alias("q"), F.sum(d("n") * d("n")).alias("nn"))
+    sums = sums.withColumn("m", F.col("f") / F.col("t")).withColumn("noise", F.col("m") * (1 - F.col("m")))
+    spread = (F.col("q") - F.col("f") * F.col("m") - (F.col("k") - 1) * F.col("noise")) / (F.col("t") - F.col("nn") / F.col("t") - (F.col("k") - 1))
+    sums = sums.withColumn("v", F.when((F.col("t") - F.col("nn") / F.col("t") - (F.col("k") - 1)) > 0, spread))
+    weight = F.when(F.col("v") > 1e-12, F.least(F.lit(PRIOR_MAX), F.greatest(F.lit(PRIOR_MIN), F.col("noise") / F.col("v") - 1))).otherwise(F.lit(PRIOR_MAX))
     rate = (F.col("failed") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))
-    with_prior = hosts.crossJoin(F.broadcast(moments.withColumn("w", weight)))  # one row
-    return with_prior.select("__host", "n", "failed", rate.alias("rate"), (rate > HOST_FACTOR * F.col("m")).alias("distrusted"))
+    with_prior = hosts.crossJoin(F.broadcast(sums.select("m", weight.alias("w")))).withColumn("rate", rate)  # one row
+    low = F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("w") + 1))
+    return with_prior.select("__host", "n", "failed", "rate", (low > HOST_FACTOR * F.col("m")).alias("distrusted"))
 
 
 def host_quality(docs: DataFrame, host: str = "source", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -142,15 +151,16 @@ stats AS (SELECT words.r, doc_id, source, len(w)::BIGINT AS n_words, length(rege
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 30 * n_dup_lines > n_words AS rule_failed FROM stats),
 hosts AS (SELECT source, count(*) AS n, sum(rule_failed::BIGINT) AS failed FROM judged GROUP BY source),
-moments AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(2.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS w FROM moments),
-verdicts AS (SELECT source, ((failed + m * w) / (n + w))::DOUBLE AS rate, rate > {factor}::DOUBLE * m AS distrusted FROM hosts, prior),
+sums AS (SELECT count(*)::DOUBLE AS k, sum(n)::DOUBLE AS t, sum(failed)::DOUBLE AS f, sum(failed::DOUBLE * failed / n) AS q, sum(n::DOUBLE * n) AS nn, f / t AS m, m * (1 - m) AS noise FROM hosts),
+spread AS (SELECT m, noise, CASE WHEN t - nn / t - (k - 1) > 0 THEN (q - f * m - (k - 1) * noise) / (t - nn / t - (k - 1)) END AS v FROM sums),
+prior AS (SELECT m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(2.0, noise / v - 1)) ELSE 1000.0 END AS w FROM spread),
+verdicts AS (SELECT source, ((failed + m * w) / (n + w))::DOUBLE AS rate, rate - {sure}::DOUBLE * sqrt(rate * (1 - rate) / (n + w + 1)) > {factor}::DOUBLE * m AS distrusted FROM hosts, prior),
 quality AS (SELECT judged.*, rate AS host_rate, NOT base_failed AND NOT (distrusted AND rule_failed) AS kept FROM judged LEFT JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source)
 """
 
 
 def stats_sql(documents: str) -> str:
-    return STATS_SQL.format(documents=documents, factor=HOST_FACTOR)
+    return STATS_SQL.format(documents=documents, factor=HOST_FACTOR, sure=SURE)
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
