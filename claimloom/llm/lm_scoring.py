@@ -52,7 +52,7 @@ KNOWN = 1 << 21
 BATCH, HOLD = 1 << 12, 1 << 17
 RATE = 0.1
 #: In training, one of so many words of a document is masked and predicted; all are context. Scores predict all.
-MASKED = 3
+MASKED = 2
 SHARD_WORDS, PER_PARAMETER = 1 << 22, 4
 #: Parts of 16 of the documents, round by round.
 ROUNDS = (1, 3, 12)
