@@ -38,18 +38,31 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
-def retrieve_lexical(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """The k chunks of the query's own document with the most tf-idf weight. Tokens are counted per chunk
-    before they move; the join is on document and token, so a frequent token only meets its document."""
-    tf = chunks.select("doc_id", "chunk", F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("doc_id", "chunk", "token").agg(F.count("*").alias("tf"))
-    n = chunks.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # n is one row
+def postings(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk, token, tf: tokens are counted per chunk before they move."""
+    return chunks.select("doc_id", "chunk", F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("doc_id", "chunk", "token").agg(F.count("*").alias("tf"))
+
+
+def search_postings(queries: DataFrame, tf: DataFrame, idf: DataFrame, k: int = 5) -> DataFrame:
+    """The k chunks of the query's own document with the most tf-idf weight. The join is on document and token,
+    so a frequent token only meets its document."""
     q = queries.select("doc_id", "claim_id", "query_id", F.explode(F.array_distinct(tokens_of(F.col("query_text")))).alias("token"))
     hits = q.join(tf, ["doc_id", "token"]).join(idf, "token").groupBy("doc_id", "claim_id", "query_id", "chunk").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
     w = Window.partitionBy("doc_id", "claim_id", "query_id").orderBy(F.desc("score"), "chunk")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def inverse_frequency(df: DataFrame, n: DataFrame) -> DataFrame:
+    """token, idf from token, df and the one row n."""
+    return df.crossJoin(F.broadcast(n)).select("token", F.log(1 + F.col("n") / F.col("df")).alias("idf"))  # n is one row
+
+
+def retrieve_lexical(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """search_postings over chunks as they are."""
+    tf = postings(chunks)
+    return search_postings(queries, tf, inverse_frequency(tf.groupBy("token").agg(F.count("*").alias("df")), chunks.agg(F.count("*").alias("n"))), k)
+
+
 def retrieve_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, part: int = 32768) -> DataFrame:
     """The k nearest vectors by cosine of each query (query_id, embedding), not counting itself. Queries go in
     blocks and vectors in parts of bounded size; each block meets each part in one task, which keeps k per

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning as B
 from ..operators import evidence as O
 from ..sources import corpus as C
+from ..sources.chunk_index import ChunkIndex
 from ..sources.shared import new_path
 from ..sources.tables import read_reports, write_reports
 from .claims_v2 import WIDE_SQL, analyzed
@@ -41,7 +42,15 @@ def o1(spark, sf):
 
 
 def o2(spark, sf):
-    return O.retrieve_lexical(claims_on(spark, sf), chunks(spark, sf)).select("doc_id", "claim_id", "query_id", "rank", "chunk", F.floor("score").alias("score"))
+    return O.retrieve_lexical(claims_on(spark, sf), chunks(spark, sf)).select("doc_id", "claim_id", "query_id", "rank", "chunk", "score")
+
+
+def o2i(spark, sf):
+    """The same from a stored index, made in two batches."""
+    index, own = ChunkIndex(spark, new_path(spark, "index")), chunks(spark, sf)
+    for batch in (0, 1):
+        index.add(own.filter(F.pmod(F.col("doc_id"), F.lit(2)) == batch), batch)
+    return index.search(claims_on(spark, sf)).select("doc_id", "claim_id", "query_id", "rank", "chunk", "score")
 
 
 def o3(spark, sf):
@@ -124,7 +133,7 @@ def a11e(spark, sf):
 
 QUERIES = {
     "A11_evidence_reports": a11e,
-    "O1_expand_queries": o1, "O2_retrieve_lexical": o2, "O3_retrieve_vectors": o3, "O4_merge_query_results": o4, "O5_dedupe_chunks": o5, "O6_evidence_context": o6, "O7_default_verdicts": o7, "O8_normalize_verdicts": o8, "O9_verdict_band_check": o9,
+    "O1_expand_queries": o1, "O2_retrieve_lexical": o2, "O2_retrieve_indexed": o2i, "O3_retrieve_vectors": o3, "O4_merge_query_results": o4, "O5_dedupe_chunks": o5, "O6_evidence_context": o6, "O7_default_verdicts": o7, "O8_normalize_verdicts": o8, "O9_verdict_band_check": o9,
     "O10_attach_text_risk": o10, "O11_evidence_report": o11, "O12_verdict_distribution": o12, "O13_key_findings": o13, "O14_top_risk_claims": o14,
 }
 
@@ -159,7 +168,8 @@ ORACLE_SQL = {
 listed AS (SELECT doc_id, claim_id, CASE WHEN len(f) > 0 THEN f ELSE [{{'p': 'claim', 'q': text}}] END AS f FROM fit),
 each AS (SELECT doc_id, claim_id, generate_subscripts(f, 1) AS i, unnest(f) AS q FROM listed)
 SELECT doc_id, claim_id, 'Q' || lpad(i::VARCHAR, 3, '0') AS query_id, q.p AS purpose, q.q AS query_text FROM each""",
-    "O2_retrieve_lexical": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, query_id, rank, chunk, floor(score)::BIGINT AS score FROM ranked WHERE rank <= 5",
+    "O2_retrieve_lexical": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, query_id, rank, chunk, score FROM ranked WHERE rank <= 5",
+    "O2_retrieve_indexed": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, query_id, rank, chunk, score FROM ranked WHERE rank <= 5",
     "O3_retrieve_vectors": f"""WITH v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(round(score, 6), 4) AS score FROM r WHERE rank <= 5""",
     "O4_merge_query_results": f"WITH {CHUNKS_SQL} SELECT doc_id, claim_id, count(*) AS chunks, count(DISTINCT chunk) AS different, count(DISTINCT query_id) AS queries FROM both_queries GROUP BY doc_id, claim_id",

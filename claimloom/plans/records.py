@@ -14,7 +14,7 @@ from ..sources import corpus as C
 from ..sources import tables as A
 from ..sources.history_store import HistoryStore
 from ..sources.json_array import write_json_array
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from ..streaming import jobs
 from .claims_v2 import FEATURES_SQL, MENTIONS_SQL, REGISTRY_SQL, RISK_SQL, STRUCTURE_SQL, scored, wide_table
 from .models import REQUESTS
@@ -289,6 +289,14 @@ def r1(spark, sf):
     return R.sector_baselines(_metrics(spark, sf), BASELINE)
 
 
+def r1s(spark, sf):
+    """Baselines from sketches kept by year, and whether their ranks are within one per cent."""
+    m, keys = _metrics(spark, sf), ["sector", "metric_unit"]
+    kept = written(R.baseline_sketches(m, keys, "year"), "sketches")
+    errors = R.rank_errors(m, R.baselines_of_sketches(kept, keys), keys)
+    return errors.select(*keys, "n", (F.col("error") <= 0.01).alias("within"))
+
+
 def r2(spark, sf):
     m = _metrics(spark, sf)
     return R.baseline_position(m, R.sector_baselines(m, BASELINE), BASELINE).select("doc_id", "claim_id", "value", "band")
@@ -314,7 +322,7 @@ def r5(spark, sf):
 QUERIES = {
     "A1_read_documents": a1, "A2_reject_documents": a2, "A3_inventory_pdfs": a3, "A4_read_page_text": a4, "A5_read_lexicon": a5, "A6_read_cert_registry": a6, "A7_read_legacy_history": a7, "A9_upsert_history": a9, "A9_stored_history": a9s, "A10_feedback_lines": a10f, "A10_export_feedback": a10, "A11_export_reports": a11, "A12_filename_metadata": a12, "A13_metadata_merge": a13,
     "Q1_recent_history": q1, "Q2_apply_retention": q2, "Q3_delete_history": q3, "Q4_attach_feedback": q4, "Q5_compact_history": q5, "Q6_history_summary": q6, "Q6_common_factors": q6f, "Q7_risk_trend": q7, "Q8_feedback_metrics": q8, "Q9_stream_scores": q9, "Q10_job_status": q10, "Q10_job_status_stream": q10s, "Q11_stalled_jobs": q11, "Q11_stalled_jobs_stream": q11s, "Q12_stream_dedupe": q12, "Q13_verify_progress": q13, "Q14_newest_jobs": q14, "Q15_windowed_risk": q15, "Q15_windowed_risk_stream": q15s,
-    "R1_sector_baselines": r1, "R2_baseline_position": r2, "R3_company_history_conflicts": r3, "R4_review_queue": r4, "R5_annotator_kappa": r5,
+    "R1_sector_baselines": r1, "R1_baseline_sketches": r1s, "R2_baseline_position": r2, "R3_company_history_conflicts": r3, "R4_review_queue": r4, "R5_annotator_kappa": r5,
 }
 
 HISTORY_SQL = f"history AS (SELECT {HISTORY} FROM events), risks AS (SELECT *, (result_json->>'risk')::INT AS risk FROM history)"
@@ -374,6 +382,7 @@ SELECT key, request_id FROM walk WHERE let""",
     "Q15_windowed_risk_stream": f"WITH {WINDOWS_SQL} SELECT * FROM windows WHERE \"end\" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTES FROM r)",
     "Q6_common_factors": f"WITH {HISTORY_SQL}, f AS (SELECT unnest(from_json(result_json->'factors', '[\"VARCHAR\"]')) AS factor FROM history) SELECT factor, count(*) AS n FROM f GROUP BY factor ORDER BY n DESC, factor LIMIT 10",
     "R1_sector_baselines": f"WITH {METRICS_SQL} SELECT * FROM baselines",
+    "R1_baseline_sketches": f"WITH {METRICS_SQL} SELECT sector, metric_unit, count(*) AS n, true AS within FROM metrics GROUP BY ALL",
     "R2_baseline_position": f"WITH {METRICS_SQL} SELECT doc_id, claim_id, value, CASE WHEN p10 IS NULL THEN 'unknown' WHEN value < p10 THEN '<p10' WHEN value < p25 THEN 'p10+' WHEN value < p50 THEN 'p25+' WHEN value < p75 THEN 'p50+' WHEN value < p90 THEN 'p75+' ELSE 'p90+' END AS band FROM metrics LEFT JOIN baselines USING (sector, nation, year, metric_unit)",
     "R3_company_history_conflicts": f"WITH {STRUCTURE_SQL}, {C.COMPANIES_SQL}, told AS (SELECT company, 'unnamed_metric' || coalesce('_scope' || array_to_string(ghg_scope, ''), '') AS metric_key, year, target_year::DOUBLE AS target, metric_value AS v, metric_unit AS u FROM structured JOIN companies USING (doc_id)),"
     " targets AS (SELECT DISTINCT company, metric_key, year, target FROM told WHERE target IS NOT NULL), vals AS (SELECT DISTINCT company, metric_key, year, u, v FROM told WHERE v IS NOT NULL),"
