@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning as B
 from ..operators import evidence as O
+from ..operators.vector_index import VectorIndex
 from ..sources import corpus as C
 from ..sources.chunk_index import ChunkIndex
 from ..sources.shared import new_path
@@ -59,6 +60,13 @@ def o3(spark, sf):
     return out.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
+def o3i(spark, sf):
+    """The same by an index of cells, in its exact mode."""
+    v = C.table(spark, sf, "embeddings")
+    out = VectorIndex(v).search(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return out.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+
+
 def _both(spark, sf):
     """Two queries per claim: the second finds what the first does, and is ranked after it."""
     hits = retrieved(spark, sf)
@@ -133,7 +141,7 @@ def a11e(spark, sf):
 
 QUERIES = {
     "A11_evidence_reports": a11e,
-    "O1_expand_queries": o1, "O2_retrieve_lexical": o2, "O2_retrieve_indexed": o2i, "O3_retrieve_vectors": o3, "O4_merge_query_results": o4, "O5_dedupe_chunks": o5, "O6_evidence_context": o6, "O7_default_verdicts": o7, "O8_normalize_verdicts": o8, "O9_verdict_band_check": o9,
+    "O1_expand_queries": o1, "O2_retrieve_lexical": o2, "O2_retrieve_indexed": o2i, "O3_retrieve_vectors": o3, "O3_retrieve_by_cells": o3i, "O4_merge_query_results": o4, "O5_dedupe_chunks": o5, "O6_evidence_context": o6, "O7_default_verdicts": o7, "O8_normalize_verdicts": o8, "O9_verdict_band_check": o9,
     "O10_attach_text_risk": o10, "O11_evidence_report": o11, "O12_verdict_distribution": o12, "O13_key_findings": o13, "O14_top_risk_claims": o14,
 }
 
@@ -188,3 +196,4 @@ FROM reports JOIN distribution USING (doc_id) JOIN top USING (doc_id)""",
     "O13_key_findings": f"WITH {VERDICTS_SQL} SELECT doc_id, {FINDINGS_SQL} AS findings FROM distribution",
     "O14_top_risk_claims": f"WITH {VERDICTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY evidence_risk_score DESC, claim_id)::INT AS place FROM verdicts) SELECT doc_id, place, claim_id, text[1:150] AS claim_text, verdict, evidence_risk_score FROM r WHERE place <= 5",
 }
+ORACLE_SQL["O3_retrieve_by_cells"] = ORACLE_SQL["O3_retrieve_vectors"]
