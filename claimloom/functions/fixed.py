@@ -111,6 +111,53 @@ CERTIFICATES = [
     ("ev100", "EV100", "EV100 电动汽车倡议", "initiative", "global", ["transport", "electric_vehicles"], 2017, r"\bEV100\b"),
 ]
 
+# Who issues each certificate, and where it is looked up.
+CERTIFICATE_SOURCES = [
+    ("iso_14001", "International Organization for Standardization", "https://www.iso.org/iso-14001-environmental-management.html"),
+    ("iso_14064", "International Organization for Standardization", "https://www.iso.org/standard/66453.html"),
+    ("iso_14067", "International Organization for Standardization", "https://www.iso.org/standard/71206.html"),
+    ("iso_50001", "International Organization for Standardization", "https://www.iso.org/iso-50001-energy-management.html"),
+    ("pas_2050", "British Standards Institution", "https://www.bsigroup.com/en-GB/standards/pas-2050/"),
+    ("ghg_protocol", "WRI / WBCSD", "https://ghgprotocol.org/corporate-standard"),
+    ("sbti", "CDP / UNGC / WRI / WWF", "https://sciencebasedtargets.org/"),
+    ("re100", "Climate Group / CDP", "https://www.there100.org/"),
+    ("cdp", "CDP", "https://www.cdp.net/"),
+    ("tcfd", "Financial Stability Board", "https://www.fsb-tcfd.org/"),
+    ("tnfd", "TNFD", "https://tnfd.global/"),
+    ("issb_s1_s2", "IFRS Foundation", "https://www.ifrs.org/groups/international-sustainability-standards-board/"),
+    ("gri", "Global Reporting Initiative", "https://www.globalreporting.org/"),
+    ("sasb", "Value Reporting Foundation / IFRS", "https://sasb.ifrs.org/"),
+    ("iirc", "Value Reporting Foundation / IFRS", "https://www.integratedreporting.org/"),
+    ("fsc", "Forest Stewardship Council", "https://fsc.org/"),
+    ("pefc", "Programme for the Endorsement of Forest Certification", "https://www.pefc.org/"),
+    ("rspo", "Roundtable on Sustainable Palm Oil", "https://rspo.org/"),
+    ("c2c", "Cradle to Cradle Products Innovation Institute", "https://www.c2ccertified.org/"),
+    ("bcorp", "B Lab", "https://www.bcorporation.net/"),
+    ("fairtrade", "Fairtrade International", "https://www.fairtrade.net/"),
+    ("rainforest_alliance", "Rainforest Alliance", "https://www.rainforest-alliance.org/"),
+    ("msc", "Marine Stewardship Council", "https://www.msc.org/"),
+    ("asc", "Aquaculture Stewardship Council", "https://asc-aqua.org/"),
+    ("usda_organic", "USDA National Organic Program", "https://www.usda.gov/topics/organic"),
+    ("eu_organic", "European Commission", "https://agriculture.ec.europa.eu/farming/organic-farming_en"),
+    ("oekotex", "OEKO-TEX Association", "https://www.oeko-tex.com/"),
+    ("gots", "Global Organic Textile Standard", "https://global-standard.org/"),
+    ("bci", "Better Cotton Initiative", "https://bettercotton.org/"),
+    ("rspca_assured", "Royal Society for the Prevention of Cruelty to Animals", "https://www.rspcaassured.org.uk/"),
+    ("leed", "U.S. Green Building Council", "https://www.usgbc.org/leed"),
+    ("breeam", "BRE Group", "https://bregroup.com/products/breeam/"),
+    ("well", "International WELL Building Institute", "https://www.wellcertified.com/"),
+    ("passive_house", "Passive House Institute", "https://passivehouse.com/"),
+    ("energy_star", "U.S. EPA", "https://www.energystar.gov/"),
+    ("isae_3000", "IAASB", "https://www.iaasb.org/publications/international-standard-assurance-engagements-isae-3000-revised"),
+    ("isae_3410", "IAASB", "https://www.iaasb.org/publications/international-standard-assurance-engagements-isae-3410-assurance-engagements-greenhouse-gas"),
+    ("aa1000", "AccountAbility", "https://www.accountability.org/standards/"),
+    ("iso_19011", "International Organization for Standardization", "https://www.iso.org/standard/70017.html"),
+    ("un_global_compact", "United Nations", "https://www.unglobalcompact.org/"),
+    ("pri", "PRI Association", "https://www.unpri.org/"),
+    ("ev100", "Climate Group", "https://www.theclimategroup.org/ev100"),
+]
+
+
 # Signals of false labels (name, severity, pattern). Matched without regard to case.
 FALSE_LABELS = [
     ("self_certified", "high", r"self[\s-]certified|self[\s-]declared|our\s+own\s+(?:\w+\s+)?(?:standard|certification|seal)|in[\s-]house\s+(?:cert|standard|verification)|自我认证|自我声明|自定义\s?(?:标准|认证)"),

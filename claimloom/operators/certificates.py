@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CERTIFICATES, FALSE_LABELS, SEVERITY_RISK
+from ..functions.fixed import CERTIFICATE_SOURCES, CERTIFICATES, FALSE_LABELS, SEVERITY_RISK
 from ..functions.semantics import matches_rare
 
-REGISTRY = "id string, name_en string, name_zh string, type string, region string, domain array<string>, founded_year int, identifier_pattern string"
+REGISTRY = "id string, name_en string, name_zh string, type string, region string, domain array<string>, founded_year int, identifier_pattern string, authority string, verification_url string, official boolean"
 
 
 def read_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
     """The registry of certificates: from a JSON table at path with defaults for missing fields, else the
     fixed one. An entry without id or pattern, or with a pattern that Java can't read, is an error."""
     if path is None:
-        return spark.createDataFrame(CERTIFICATES, REGISTRY)
+        return spark.createDataFrame([(*c, *more[1:], True) for c, more in zip(CERTIFICATES, CERTIFICATE_SOURCES, strict=True)], REGISTRY)
     rows = spark.read.schema(REGISTRY).json(path)
     bad = F.col("id").isNull() | F.col("identifier_pattern").isNull()
-    rows = rows.withColumn("id", F.when(bad, F.raise_error(F.lit("a certificate lacks id or identifier_pattern"))).otherwise(F.col("id")))
-    filled = {"name_en": F.coalesce("name_en", "id"), "name_zh": F.coalesce("name_zh", "id"), "type": F.coalesce("type", F.lit("unknown")), "region": F.coalesce("region", F.lit("global")), "domain": F.coalesce("domain", F.array().cast("array<string>"))}
-    return rows.withColumns(filled).filter(F.lit("").rlike(F.col("identifier_pattern")).isNotNull())
+    rows = rows.withColumn("identifier_pattern", F.when(bad, F.raise_error(F.lit("a certificate lacks id or identifier_pattern"))).otherwise(F.col("identifier_pattern")))
+    filled = {"name_en": F.coalesce("name_en", "id"), "name_zh": F.coalesce("name_zh", "id"), "type": F.coalesce("type", F.lit("unknown")), "region": F.coalesce("region", F.lit("global")), "domain": F.coalesce("domain", F.array().cast("array<string>")), "authority": F.coalesce("authority", F.lit("")), "official": F.coalesce("official", F.lit(True))}
+    # true for every pattern, but Java has to read it first
+    return rows.withColumns(filled).filter(F.rlike(F.lit(""), F.col("identifier_pattern")) | (F.length("identifier_pattern") >= 0))
 
 
 def with_certificates(claims: DataFrame) -> DataFrame:
@@ -36,6 +37,13 @@ def match_certifications(claims: DataFrame) -> DataFrame:
     return rows.withColumn("cert_ord", place[F.col("cert_id")])
 
 
+def certification_details(mentions: DataFrame, registry: DataFrame) -> DataFrame:
+    """mentions with the certificate's English name, type, authority, place of verification and whether it is official.
+    The registry is small; Spark sends it or deals it by its size."""
+    more = registry.select(F.col("id").alias("cert_id"), "name_en", "type", "authority", "verification_url", "official")
+    return mentions.join(more, "cert_id", "left")
+
+
 def fold_cited_evidence(mentions: DataFrame, cited: DataFrame, registry: DataFrame) -> DataFrame:
     """mentions with rows of null cert_id for cited names (doc_id, claim_id, name) that no matched
     certificate of the claim contains in its names or id. A semi-structured anti-join within the claim."""

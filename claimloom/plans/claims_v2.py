@@ -289,6 +289,11 @@ def h1e(spark, sf):
     return H.match_certifications(C.every_claim(spark, sf)).select("doc_id", "claim_id", "cert_id", "cert_ord")
 
 
+def h1d(spark, sf):
+    out = H.certification_details(H.match_certifications(C.every_claim(spark, sf)), H.read_registry(spark))
+    return out.select("doc_id", "claim_id", "cert_id", "name_en", "type", "authority", "verification_url", "official")
+
+
 def h3e(spark, sf):
     return H.false_label_signals(C.every_claim(spark, sf)).select("doc_id", "claim_id", "signal", "severity")
 
@@ -298,7 +303,7 @@ def j7e(spark, sf):
 
 
 QUERIES = {
-    "D2_lexicon_counts_every": d2e, "G1_structure_every": g1e, "H1_match_certifications_every": h1e, "H3_false_label_signals_every": h3e, "J7_document_risk_every": j7e,
+    "D2_lexicon_counts_every": d2e, "G1_structure_every": g1e, "H1_match_certifications_every": h1e, "H1_certification_details": h1d, "H3_false_label_signals_every": h3e, "J7_document_risk_every": j7e,
     "D1_match_lexicon": d1, "D1_match_lexicon_automaton": d1a, "D1_match_lexicon_large": d1l, "D1_match_lexicon_joined": d1g, "D8_term_coverage_large": d8l, "D2_lexicon_counts": d2, "D3_flags_v2": d3, "D4_flags_v1": d4, "D5_approx_tokens": d5, "D6_text_metrics": d6, "D7_highlight_spans": d7, "D8_term_coverage": d8, "D9_breakdown_v2": d9,
     "G1_parse_metric": g1, "G2_parse_ghg_scope": g2, "G3_parse_baseline_year": g3, "G4_parse_target_year": g4, "G5_infer_claim_type": g5, "G6_normalize_structure": g6, "G7_structure_claims": g7,
     "H1_match_certifications": h1, "H2_fold_cited_evidence": h2, "H3_false_label_signals": h3, "H4_cert_summary": h4, "H5_cert_rollup": h5,
@@ -498,4 +503,8 @@ _EVERY = {
     "H3_false_label_signals_every": ORACLE_SQL["H3_false_label_signals"],
     "J7_document_risk_every": ORACLE_SQL["J7_document_risk"],
 }
+_EVERY["H1_certification_details"] = _q(
+    MENTIONS_SQL + ",\n" + REGISTRY_SQL + ",\nsources(id, authority, url) AS (VALUES " + ", ".join(f"('{i}', {sql_text(a)}, {sql_text(u)})" for i, a, u in X.CERTIFICATE_SOURCES) + ")",
+    f"SELECT {_CQ}, cert_id, name_en, type, authority, url AS verification_url, true AS official FROM mentions JOIN registry ON cert_id = registry.id JOIN sources ON cert_id = sources.id",
+)
 ORACLE_SQL |= {k: s.replace(C.CLAIMS_SQL, C.every_claim_sql()) for k, s in _EVERY.items()}

@@ -58,7 +58,7 @@ def _every() -> list[str]:
             own = terms[i : i + 5]
             out += [f"On {name}: {', '.join(own)}.", f"Nearly {name}: {', '.join(t[:-1] for t in own)}. {own[0].upper()}{own[-1].capitalize()}!"]
     out += ["Cut by 12.5 MWh vs 2015 baseline by 2040.", "3 tons of CO2, 45 percent of 7 kg, by 2031 against 1998", "Scope 1, scope 2 and Scope 3 emissions; scope3.", "范围一、范围二和范围三，与2012年相比减少 30 吨，到2035年。", "Reduced 5% from 19 and 8 % since 2016", "10 m³ of water, 4 hectare, 2 acre of land in 2022"]
-    out += ["Self certified by our own green seal, an in-house standard.", "Certified by TÜV; certified, they say. 行业第一家与行业第一。", "CFC-free and no CFCs at all, freon free", "Net zero, net-zero and NET ZERO by 2050 for Scope 1."]
+    out += ["Self certified by our own green seal, an in-house standard.", "An unverified claim with no independent verification; 未经验证。", "Certified by TÜV; certified, they say. 行业第一家与行业第一。", "CFC-free and no CFCs at all, freon free", "Net zero, net-zero and NET ZERO by 2050 for Scope 1."]
     return out
 
 
