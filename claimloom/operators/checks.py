@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TAG_KEYWORDS
-from ..functions.semantics import found
+from ..functions.semantics import each, found
 
 EVIDENCE_STATUSES = ["supported", "contradicted", "insufficient", "unknown"]
 RANK = {"pass": 0, "warn": 1, "fail": 2}
@@ -14,8 +14,8 @@ RANK = {"pass": 0, "warn": 1, "fail": 2}
 
 def _long(rows: DataFrame, checks: list[tuple[Column | str, Column]]) -> DataFrame:
     """Checks with a null status don't apply."""
-    each = F.array(*[F.struct((F.lit(n) if isinstance(n, str) else n).alias("check"), s.alias("status")) for n, s in checks])
-    return rows.select("doc_id", F.explode(F.filter(each, lambda c: c["status"].isNotNull())).alias("c")).select("doc_id", "c.check", "c.status")
+    all_ = F.array(*[F.struct((F.lit(n) if isinstance(n, str) else n).alias("check"), s.alias("status")) for n, s in checks])
+    return each(rows, ["doc_id"], F.filter(all_, lambda c: c["status"].isNotNull()), "c").select("doc_id", "c.check", "c.status")
 
 
 Check = tuple[Column | str, Column]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CFC_FREE, NET_ZERO, SINS
-from ..functions.semantics import matches
+from ..functions.semantics import each, matches
 
 #: Values that are closer than this part of the larger one don't contradict each other.
 TOLERANCE, HIGH = 0.05, 0.25
@@ -121,7 +121,7 @@ def _events(claims: DataFrame, tolerance: float, bare: bool) -> DataFrame:
     events = [of(v.isNotNull() & c("metric_unit").isNotNull(), with_unit), of(year.isNotNull(), years), of(bold, bolds), of(part, parts)]
     if bare:
         events.append(of(v.isNotNull() & c("metric_unit").isNull(), without_unit))
-    return metric_key(claims).withColumns(bounds).select("doc_id", "claim_id", (bold & part).cast("int").alias("own"), F.explode(F.concat(*events)).alias("e")).select("doc_id", "claim_id", "own", "e.*")
+    return metric_key(claims).withColumns(bounds).select("doc_id", "claim_id", (bold & part).cast("int").alias("own"), F.explode_outer(F.concat(*events)).alias("e")).filter("e IS NOT NULL").select("doc_id", "claim_id", "own", "e.*")
 
 
 def pair_counts(edges: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def sin_columns(claims: DataFrame) -> DataFrame:
 def sin_hits(claims: DataFrame, sins: list[str] = SINS) -> DataFrame:
     """Long form, with the sin's place in declared order."""
     hits = F.array_compact(F.array(*[F.when(F.col(f"sin_{s}").isNotNull(), F.struct(F.lit(s).alias("sin"), F.lit(i).alias("sin_ord"), F.col(f"sin_{s}").alias("severity"))) for i, s in enumerate(sins)]))
-    return sin_columns(claims).select("doc_id", "ord", "claim_id", F.explode(hits).alias("h")).select("doc_id", "ord", "claim_id", "h.sin", "h.sin_ord", "h.severity")
+    return sin_columns(claims).select("doc_id", "ord", "claim_id", hits.alias("h")).transform(each, ["doc_id", "ord", "claim_id"], "h", "h").select("doc_id", "ord", "claim_id", "h.sin", "h.sin_ord", "h.severity")
 
 
 def sin_summary(hits: DataFrame) -> DataFrame:

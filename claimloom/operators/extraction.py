@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.semantics import each
+
 CJK = "[\\u4e00-\\u9fff]"
 KINDS = ["achievement", "commitment", "vision", "disclosure", "process"]
 
@@ -16,13 +18,13 @@ def trimmed(c: Column) -> Column:
 def split_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph (0-based), text; empty ones are dropped and not counted."""
     parts = F.filter(F.transform(F.split("text", r"\n\s*\n", -1), trimmed), lambda p: p != "")
-    return docs.select("doc_id", F.posexplode(parts).alias("paragraph", "text"))
+    return each(docs, ["doc_id"], parts, "text", "paragraph")
 
 
 def split_sentences(paragraphs: DataFrame) -> DataFrame:
     """After . ! ? and their full-width forms where blanks follow, and directly after the full-width forms."""
     parts = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？])\s+|(?<=[。！？])", -1), trimmed), lambda s: s != "")
-    return paragraphs.select("doc_id", "paragraph", F.posexplode(parts).alias("sentence", "text"))
+    return each(paragraphs, ["doc_id", "paragraph"], parts, "text", "sentence")
 
 
 def extract_claims(docs: DataFrame) -> DataFrame:
