@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TAG_KEYWORDS
-from ..functions.semantics import each, found
+from ..functions.semantics import each, terms_in
 
 EVIDENCE_STATUSES = ["supported", "contradicted", "insufficient", "unknown"]
 RANK = {"pass": 0, "warn": 1, "fail": 2}
@@ -84,7 +84,8 @@ def local_tags() -> Column:
 
 
 def model_tags(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(F.size(found(text, terms)) > 0, tag) for tag, terms in TAG_KEYWORDS.items()]))
+    there = terms_in(F.lower(text), [t for terms in TAG_KEYWORDS.values() for t in terms])
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(there, F.array(*map(F.lit, terms))), tag) for tag, terms in TAG_KEYWORDS.items()]))
 
 
 def overall_status(checks: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CONTEXTS, HIGH_IMPACT, LEVELS, SECTORS
-from ..functions.semantics import clamp, round_up
-from .features import flags_v1, lexicon_counts, text_metrics
+from ..functions.fixed import CONTEXTS, HIGH_IMPACT, LEVELS, LEXICON, SECTORS
+from ..functions.semantics import clamp, of_terms, round_up
+from .features import THERE, flags_v1, lexicon_counts, text_metrics, with_terms
 
 #: The claim gate.
 MIN_GREEN, MIN_PROBABILITY, MIN_TOKENS = 2, 42, 15
@@ -27,10 +27,11 @@ def language_confidence(docs: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, kind: str, signals: dict[str, list[str]], fallback: str) -> DataFrame:
     """<kind>, <kind>_confidence and <kind>_matches (six at most): the label with the most terms, the first
     declared of equal ones. Labels are columns of one projection."""
-    lists = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias("value"), F.array(*map(F.lit, t)).alias("terms")) for i, (v, t) in enumerate(signals.items())])
-    own = lambda low: F.transform(lists, lambda x: F.struct(x["ord"].alias("ord"), x["value"].alias("value"), F.filter(x["terms"], lambda t: F.contains(low, t)).alias("m")))
-    scored = F.transform(F.transform(F.array(F.lower("text")), own)[0], lambda x: F.struct((-F.size(x["m"])).alias("minus"), x["ord"].alias("ord"), x["value"].alias("value"), x["m"].alias("m")))
-    rows = docs.withColumn("__b", F.array_min(scored))
+    rows = docs if THERE in docs.columns else with_terms(docs, signals)
+    lists = {f"__m{i}": of_terms(t, F.col(THERE)) for i, t in enumerate(signals.values())}
+    best = F.least(*[F.struct((-F.size(f"__m{i}")).alias("minus"), F.lit(i).alias("ord"), F.lit(v).alias("value"), F.col(f"__m{i}").alias("m")) for i, v in enumerate(signals)])
+    rows = rows.withColumns(lists).withColumn("__b", best).drop(*lists)
+    rows = rows if THERE in docs.columns else rows.drop(THERE)
     n = -F.col("__b.minus")
     sure = F.least(F.lit(0.92).cast("double"), F.lit(0.52).cast("double") + n * F.lit(0.12).cast("double"))
     return rows.withColumns({kind: F.when(n == 0, fallback).otherwise(F.col("__b.value")), f"{kind}_confidence": F.when(n == 0, F.lit(0.38).cast("double")).otherwise(round_up(sure, 2)), f"{kind}_matches": F.slice("__b.m", 1, 6)}).drop("__b")
@@ -131,7 +132,9 @@ def signals(docs: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame) -> DataFrame:
     """All of the above in one projection; blank texts have mode `empty` and zeros."""
     rows = docs.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+\z", ""))
-    rows = classify_sector(classify_context(rows)) if "context" not in docs.columns else rows
+    kinds = "context" not in docs.columns
+    rows = with_terms(rows, LEXICON, *([CONTEXTS, SECTORS] if kinds else []))
+    rows = classify_sector(classify_context(rows)) if kinds else rows
     rows = signals(factors(level_tone(confidence(risk(components(claim_gate(document_features(rows))))))))
     empty = F.col("text") == ""
     rows = rows.withColumn("mode", F.when(empty, "empty").when(F.col("is_claim"), "green-claim-risk").otherwise("non-green-claim-baseline"))
