@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.fixed import LEXICON
+from ..functions.semantics import each
 from ..sources.shared import written
 
 #: A lexicon of at most so many bytes is sent to the workers.
@@ -56,35 +56,30 @@ def _by_automaton(docs: DataFrame, terms: list[tuple[str, str]], text_col: str)
     categories = [c for c, _ in terms]
     first = np.array([i == 0 or c != categories[i - 1] for i, c in enumerate(categories)])
     sent = spark.sparkContext.broadcast((list(places.items()), categories, [t for _, t in terms], np.cumsum(first)))  # of checked size
-    schema = T.StructType([*docs.schema.fields, T.StructField("category", T.StringType()), T.StructField("hit", T.IntegerType()), T.StructField("term", T.StringType())])
     number = sent._jbroadcast.id()  # a number of its own in the session
 
-    def run(batches):
+    def run(texts):
+        """The hits of each text as one array; its other columns stay where they are."""
         index, categories, names, group = sent.value
         automaton = _automaton(number, index)
-        categories, names = pa.array(categories, pa.string()), pa.array(names, pa.string())
-        for batch in batches:
-            row, found = [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if text:
-                    own = sorted({p for _, places in automaton.iter(text) for p in places})
-                    found += own
-                    row += [i] * len(own)
-            if not found:
-                continue
-            row, found = np.array(row), np.array(found)
-            # places are sorted in a row, so a hit's number is its distance to the first of its row and category
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (group[found[1:]] != group[found[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
-            hit = np.arange(len(row)) - start + 1
-            for a in range(0, len(row), 50_000):
-                part = slice(a, a + 50_000)
-                at = pa.array(row[part])
-                kept = [c.take(at) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, categories.take(pa.array(found[part])), pa.array(hit[part], pa.int32()), names.take(pa.array(found[part]))], names=schema.names)
-
-    return docs.withColumn("__low", F.lower(text_col)).mapInArrow(run, schema)
+        ends, found, row = [0], [], []
+        for i, text in enumerate(texts.to_pylist()):
+            if text:
+                own = sorted({p for _, places in automaton.iter(text) for p in places})
+                found += own
+                row += [i] * len(own)
+            ends.append(len(found))
+        row, found = np.array(row, np.int64), np.array(found, np.int64)
+        # places are sorted in a row, so a hit's number is its distance to the first of its row and category
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (group[found[1:]] != group[found[:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) if len(row) else row
+        at = pa.array(found)
+        hits = [pa.array(categories, pa.string()).take(at), pa.array(np.arange(len(row)) - start + 1, pa.int32()), pa.array(names, pa.string()).take(at)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(hits, names=["category", "hit", "term"]))
+
+    hits = F.arrow_udf(run, "array<struct<category: string, hit: int, term: string>>")(F.lower(text_col))
+    return each(docs.withColumn("__hits", hits), docs.columns, "__hits", "__h").select(*docs.columns, "__h.category", "__h.hit", "__h.term")
 
 
 def _by_grams(docs: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
