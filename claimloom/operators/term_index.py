@@ -1,8 +1,8 @@
 """Lexicons of any size: the time to match a text doesn't grow with the number of terms.
 
 A lexicon that is small enough to be sent (its size is checked) becomes one automaton in each Python
-worker, which finds all terms of a text in one pass. A larger one is a table that Spark joins: texts and
-terms meet on the first characters of a term, and what meets is confirmed. Both give the rows of
+worker, which finds all terms of a text in one pass. A larger one is a table that Spark joins with the runs of
+characters of the texts that may be terms, told by a set of bits of bounded size. Both give the rows of
 features.match_lexicon: a term counts once per text and category, wherever it stands, also inside a word."""
 
 from __future__ import annotations
@@ -18,8 +18,15 @@ from ..sources.shared import written
 
 #: A lexicon of at most so many bytes is sent to the workers.
 SENT_BYTES = 4 << 20
-#: Characters of a term by which a larger lexicon is joined.
-GRAM = 4
+#: Longer terms are looked for where their first HEAD characters stand.
+HEAD = 16
+BITS_A_TERM = 32
+#: Characters of texts that are searched at once.
+AT_ONCE = 1 << 20
+#: The base of the hashes of runs, and what takes its powers back.
+BASE = 0xD6E8FEB86659FD93
+BACK = pow(BASE, -1, 1 << 64)
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SCHEMA = "category string, ord int, term string"
 
 
@@ -82,27 +89,134 @@ def _by_automaton(docs: DataFrame, terms: list[tuple[str, str]], text_col: str)
     return each(docs.withColumn("__hits", hits), docs.columns, "__hits", "__h").select(*docs.columns, "__h.category", "__h.hit", "__h.term")
 
 
+def _mixed(points: np.ndarray) -> np.ndarray:
+    return (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of BASE ** i * character i, and the powers that bring a run to the same hash wherever it stands."""
+    n = len(points)
+    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (BASE, BACK))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(points) * up[:n])]), down
+
+
+def _hashes(sums: np.ndarray, down: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Of the runs of n characters at the places at."""
+    h = (sums[at + n] - sums[at]) * down[at]
+    return h ^ (h >> np.uint64(29))
+
+
+def _bit(hashes: np.ndarray, which: int, bits: int) -> np.ndarray:
+    """The first or second bit of hashes."""
+    return ((hashes * np.uint64(MIX[which])) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _known(terms: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits: two of each term and of each head of a long one."""
+    lead = min(bits - 3, 12)  # 2 ** bits / 8 bytes, cut into blocks
+    size = 1 << (bits - lead)
+
+    def blocks(batches):
+        for b in batches:
+            own = b.column(0).to_pylist()
+            text = "".join(own)
+            sums, down = _sums(_points(text))
+            lengths = np.array([len(t) for t in own], np.int64)
+            starts = np.cumsum(lengths) - lengths
+            found = [_hashes(sums, down, starts[lengths == n], int(n)) for n in np.unique(lengths)]
+            found = np.concatenate([*found, _hashes(sums, down, starts[lengths > HEAD], HEAD)])
+            found = np.unique(np.concatenate([_bit(found, i, bits) for i in range(len(MIX))]))
+            for part in np.unique(found // size):
+                flags = np.zeros(size, bool)
+                flags[found[found // size == part] % size] = True
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    def merge(table):
+        out = np.zeros(size // 8, np.uint8)
+        for x in table.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in terms.select("term").mapInArrow(blocks, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").toLocalIterator():
+        out[r["part"] * (size // 8) : (r["part"] + 1) * (size // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _candidates(texts: list[str], lengths: list[int], known: np.ndarray, bits: int) -> tuple[list[int], list[str]]:
+    """Places in texts, and the distinct runs in them whose bits are known."""
+    text, points = "\n".join(texts), _points("\n".join(texts))
+    sums, down = _sums(points)
+    number = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])[: len(points)]
+
+    def there(at, n):
+        hashes = _hashes(sums, down, at, n)
+        for i in range(len(MIX)):  # few places are left for the second bit
+            b = _bit(hashes, i, bits)
+            own = known[b >> 3] >> (b & 7).astype(np.uint8) & 1 == 1
+            at, hashes = at[own], hashes[own]
+        return at
+
+    within = lambda at, n: at[number[at] == number[np.minimum(at + n - 1, len(points) - 1)]]
+    upto = lambda at, n: at[at + n <= len(points)]
+    every, rows, runs = np.arange(len(points)), [], []
+    heads = there(upto(every, HEAD), HEAD) if max(lengths) > HEAD else None
+    for n in lengths:
+        at = within(there(upto(every if n <= HEAD else heads, n), n), n)
+        if n <= 3:  # three characters are one number
+            code = sum(points[at + i].astype(np.int64) << 21 * i for i in range(n))
+            order = np.lexsort((code, number[at]))
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(code[order]) != 0) | (np.diff(number[at][order]) != 0)
+            at = at[order[new]]
+        own = {(r, text[i : i + n]) for r, i in zip(number[at].tolist(), at.tolist(), strict=True)}
+        rows += [r for r, _ in own]
+        runs += [t for _, t in own]
+    return rows, runs
+
+
+def runs_in(base: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """__row and term: the runs of characters of lower-cased texts that may be terms, each once in a text. A set
+    of bits (at least BITS_A_TERM for each term, 32 MB at most) tells which; nothing that is a term is left out."""
+    sizes = terms.groupBy(F.length("term").alias("n")).agg(F.count("*").alias("terms")).collect()  # a row for each length
+    lengths = sorted(r["n"] for r in sizes)
+    bits = min(28, max(20, (BITS_A_TERM * sum(r["terms"] for r in sizes)).bit_length()))
+    sent = base.sparkSession.sparkContext.broadcast(_known(terms, bits))  # 32 MB at most
+
+    def run(batches):
+        for b in batches:
+            ids, texts, n = [], [], 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t:
+                    ids.append(i)
+                    texts.append(t)
+                    n += len(t) + 1
+                if n > AT_ONCE:
+                    yield told(ids, texts)
+                    ids, texts, n = [], [], 0
+            if texts:
+                yield told(ids, texts)
+
+    def told(ids, texts):
+        rows, runs = _candidates(texts, lengths, sent.value, bits)
+        return pa.RecordBatch.from_pydict({"__row": pa.array(ids, pa.int64()).take(pa.array(rows, pa.int64())), "term": pa.array(runs, pa.string())})
+
+    return base.select("__row", F.lower(text_col)).mapInArrow(run, "__row long, term string")
+
+
 def _by_grams(docs: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
-    """The same by a join on the first GRAM characters (all, of shorter terms). Each text is sent once per
-    hit at the end; before, only its number and its distinct runs of characters move."""
+    """The same by a join of terms with the runs of characters that may be terms. Texts are sent once, at the end;
+    before, only their numbers and those runs move."""
     columns = docs.columns
-    base = written(docs.withColumns({"__row": F.monotonically_increasing_id(), "__low": F.lower(text_col)}), "texts")
-    head = F.substring("term", 1, GRAM)
-    terms = lexicon.withColumn("__gram", head)
-    sizes = [r[0] for r in terms.select(F.length("__gram").alias("n")).distinct().collect()]  # at most GRAM
-    chars = base.select("__row", F.split("__low", "").alias("c"))
-
-    def runs_of(n: int):
-        """All runs of n characters."""
-        run = F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.array_join(F.slice("c", i, n), ""))
-        return F.when(F.size("c") >= n, run).otherwise(F.array().cast("array<string>"))
-
-    runs = [runs_of(n) for n in sizes]
-    grams = chars.select("__row", F.explode(F.array_distinct(F.concat(*runs))).alias("__gram")) if runs else chars.select("__row", F.lit("").alias("__gram")).limit(0)
-    near = grams.join(terms, "__gram").select("__row", "category", "__order", "term")
-    hits = base.join(near, "__row").filter(F.contains("__low", F.col("term")))
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    near = runs_in(base, lexicon.select("term").distinct(), text_col).join(lexicon, "term").select("__row", "category", "__order", "term")
     place = F.row_number().over(Window.partitionBy("__row", "category").orderBy("__order"))
-    return hits.withColumn("hit", place).select(*columns, "category", "hit", "term")
+    hits = near.repartition("__row").withColumn("hit", place).select("__row", "category", "hit", "term")
+    return base.join(hits, "__row").select(*columns, "category", "hit", "term")
 
 
 def match_terms(docs: DataFrame, lexicon: DataFrame, text_col: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:

@@ -74,3 +74,19 @@ def test_time_does_not_grow_with_terms(spark):
                 took.append(time.time() - t)
         assert n >= 60_000
     assert took[1] < 2 * took[0] + 10
+
+
+def test_only_terms_leave_the_texts(spark):
+    """Long terms, runs over the ends of texts, and no run that is in no term: a text had all its runs sent before."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 4, 9, 15, 16, 17, 18, 40, 41, 300) for _ in range(9)]
+    words += [words[-1][:299] + "!", "x\ny", words[70] + "\U0001f600"]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(30)] + ["x", "y", "x\ny", words[-1], "ab" * 5000, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    lexicon = [("c", i, w) for i, w in enumerate(words)]
+    got = L.match_terms(docs, spark.createDataFrame(lexicon, L.SCHEMA), sent_bytes=0)
+    want = plain(texts, lexicon)
+    assert {(x.doc_id, x.category, x.hit, x.term) for x in got.collect()} == want
+    base = docs.withColumnRenamed("doc_id", "__row")
+    runs = L.runs_in(base, spark.createDataFrame([(w,) for w in set(words)], "term string"), "text").collect()
+    assert len(want) <= len(runs) == len(set(runs)) < 1.2 * len(want) + 1000
