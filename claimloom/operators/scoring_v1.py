@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CONTEXTS, HIGH_IMPACT, LEVELS, LEXICON, SECTORS
-from ..functions.semantics import clamp, of_terms, round_up
-from .features import THERE, flags_v1, lexicon_counts, text_metrics, with_terms
+from ..functions.semantics import clamp, round_up
+from .features import THERE, flags_v1, lexicon_counts, own_terms, text_metrics, with_terms
 
 #: The claim gate.
 MIN_GREEN, MIN_PROBABILITY, MIN_TOKENS = 2, 42, 15
@@ -28,7 +28,7 @@ def classify(docs: DataFrame, kind: str, signals: dict[str, list[str]], fallback
     """<kind>, <kind>_confidence and <kind>_matches (six at most): the label with the most terms, the first
     declared of equal ones. Labels are columns of one projection."""
     rows = docs if THERE in docs.columns else with_terms(docs, signals)
-    lists = {f"__m{i}": of_terms(t, F.col(THERE)) for i, t in enumerate(signals.values())}
+    lists = {f"__m{i}": own_terms(t) for i, t in enumerate(signals.values())}
     best = F.least(*[F.struct((-F.size(f"__m{i}")).alias("minus"), F.lit(i).alias("ord"), F.lit(v).alias("value"), F.col(f"__m{i}").alias("m")) for i, v in enumerate(signals)])
     rows = rows.withColumns(lists).withColumn("__b", best).drop(*lists)
     rows = rows if THERE in docs.columns else rows.drop(THERE)
