@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.sources import json_array as J
 from claimloom.sources import tables as A
 from claimloom.sources.json_array import read_json_array
 
@@ -48,6 +49,20 @@ def test_files_without_elements(spark, tmp_path):
     assert {(x.path[-6], x.element, x.json) for x in read_json_array(spark, str(tmp_path)).collect()} == {("e", 0, "7"), ("f", 0, "[1, 2]"), ("f", 1, '"x"')}
 
 
+def test_elements_leave_their_ranges_whole(spark, tmp_path, small_ranges, monkeypatch):
+    """Pieces between commas are never written or dealt out: a row for each element, and two more for each range. A mark
+    of byte order counts as such at the start of a file only; a file of an object has no elements in any range."""
+    tables, items = [], [{"a": [i, "x,\ufeffy", [1, 2, 3, 4, 5, 6, 7, 8, 9]], "b": "\\\\"} for i in range(300)]
+    keep = J.written
+    monkeypatch.setattr(J, "written", lambda df, name: tables.append(keep(df, name)) or tables[-1])
+    (tmp_path / "one.json").write_text(json.dumps(items, ensure_ascii=False))
+    (tmp_path / "two.json").write_text(json.dumps({"a": items}))
+    got = {x.element: json.loads(x.json) for x in J.read_json_array(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(items))
+    ranges = spark.read.option("lineSep", ",").text(str(tmp_path / "one.json")).rdd.getNumPartitions()
+    assert sum(t.count() for t in tables) <= len(items) + 2 * ranges < 3000
+
+
 def test_old_histories(spark, tmp_path, small_ranges):
     items = [{"id": "x", "createdAt": "2024-01-02T03:04:05Z", "request": {"text": "a, b", "contextType": "report"}, "result": {"risk": 3}, "llm": {"m": [1]}}, {"classification": {"context": {"selected": "ad"}, "sector": {"selected": "energy"}}}, 5, {"text": "t", "sector": "s", "verification": None}]
     (tmp_path / "old.json").write_text(json.dumps(items))
