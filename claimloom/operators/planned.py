@@ -78,6 +78,15 @@ def company_history_conflicts(claims: DataFrame, meta: DataFrame) -> DataFrame:
     return targets.unionByName(values)
 
 
+def review_candidates(docs: DataFrame, n: int = 100) -> DataFrame:
+    """The documents that may be among the first n of review_queue by their confidence alone: those up to the nth least
+    one, with all that are equal to it. docs are read twice, so they should be a table."""
+    first = docs.orderBy("confidence").limit(n).agg(F.count("*").alias("n"), F.max("confidence").alias("most")).first()
+    if first["n"] < n:
+        return docs
+    return docs.filter(F.col("confidence").isNull() if first["most"] is None else F.col("confidence").isNull() | (F.col("confidence") <= first["most"]))
+
+
 def review_queue(docs: DataFrame, n: int = 100) -> DataFrame:
     """Low confidence and high index first."""
     return docs.orderBy("confidence", F.desc("gri"), "doc_id").limit(n)

@@ -129,9 +129,21 @@ def signals(docs: DataFrame) -> DataFrame:
     return docs.withColumn("signals", F.when(F.col("is_claim"), listed).otherwise(F.slice("m_green", 1, 4)))
 
 
+def _trimmed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+\z", ""))
+
+
+def document_confidence(docs: DataFrame) -> DataFrame:
+    """The confidence of score_documents alone, which takes two lists of terms and the lengths: all other lists would
+    leave Python for nothing."""
+    rows = lexicon_counts(_trimmed(docs), {c: LEXICON[c] for c in ("green", "proof")})
+    rows = confidence(claim_gate(text_metrics(rows)))
+    return rows.withColumn("confidence", F.when(F.col("text") == "", 0).otherwise(F.col("confidence")))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """All of the above in one projection; blank texts have mode `empty` and zeros."""
-    rows = docs.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+\z", ""))
+    rows = _trimmed(docs)
     kinds = "context" not in docs.columns
     rows = with_terms(rows, LEXICON, *([CONTEXTS, SECTORS] if kinds else []))
     rows = classify_sector(classify_context(rows)) if kinds else rows
