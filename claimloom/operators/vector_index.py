@@ -24,6 +24,14 @@ PART, BLOCK = 8192, 1024
 #: Distances are compared with this slack, above the error of sums and of six decimals.
 SLACK = 1e-3
 ROUNDS = 10
+#: Scores that a task holds at a time, and rows of queries that leave it at a time.
+SCORES, ROWS = 1 << 19, 4096
+
+
+def slices(n: int, width: int):
+    """Slices of n rows, each of about SCORES values where a row has width of them."""
+    step = max(1, SCORES // max(1, width))
+    return (slice(i, i + step) for i in range(0, n, step))
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -66,8 +74,7 @@ class VectorIndex:
         def assign(frames):
             for f in frames:
                 x = unit(stacked(f["embedding"]))
-                score = x @ sent.value.T
-                own = score.argmax(1)
+                own = np.concatenate([(x[i] @ sent.value.T).argmax(1) for i in slices(len(x), len(sent.value))])
                 off = np.linalg.norm(x - sent.value[own], axis=1)
                 yield f.assign(cell=own.astype(np.int32), off=off)
 
@@ -85,10 +92,12 @@ class VectorIndex:
 
         def run(frames):
             for f in frames:
-                x = unit(stacked(f["embedding"])) if len(f) else np.zeros((0, sent.value.shape[1]))
-                away = np.sqrt(np.maximum(0, 2 - 2 * (x @ sent.value.T)))
-                row, cell = np.nonzero(pick(away, radius, f) & full)
-                yield f.iloc[row].assign(cell=cell.astype(np.int32))
+                for i in slices(len(f), len(sent.value)):
+                    some = f.iloc[i]
+                    away = np.sqrt(np.maximum(0, 2 - 2 * (unit(stacked(some["embedding"])) @ sent.value.T)))
+                    row, cell = np.nonzero(pick(away, radius, some) & full)
+                    for j in range(0, len(row), ROWS):  # a query may look into every cell
+                        yield some.iloc[row[j : j + ROWS]].assign(cell=cell[j : j + ROWS].astype(np.int32))
 
         return queries.select(*names).mapInPandas(run, queries.schema.add("cell", "integer"))
 
@@ -100,11 +109,17 @@ class VectorIndex:
             if not len(some) or not len(others):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
             ids, own = some["query_id"].to_numpy(), others["vec_id"].to_numpy()
-            score = np.round(unit(stacked(some["embedding"])) @ unit(stacked(others["embedding"])).T, 6)
-            score[ids[:, None] == own[None, :]] = -2
-            own = np.broadcast_to(own, score.shape)
-            top = np.lexsort((own, -score))[:, :k]
-            return pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "vec_id": np.take_along_axis(own, top, 1).ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
+            order = np.argsort(own, kind="stable")  # the smaller id wins a tie
+            own, q, x = own[order], unit(stacked(some["embedding"])), unit(stacked(others["embedding"]))[order].T
+            best, best_ids = [], []
+            for i in slices(len(q), len(own)):
+                score = np.round(q[i] @ x, 6)
+                score[ids[i, None] == own[None, :]] = -2
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best.append(np.take_along_axis(score, top, 1))
+                best_ids.append(own[top])
+            best, best_ids = np.concatenate(best), np.concatenate(best_ids)
+            return pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": best_ids.ravel(), "score": best.ravel()})
 
         own = self.rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))  # at most CELLS rows
         left = asked.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

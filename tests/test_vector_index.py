@@ -48,3 +48,24 @@ def test_recall_of_the_approximate_mode(spark):
     assert index.rows.count() == v.filter("embedding IS NOT NULL").count()
     want, got = ({(r.query_id, r.vec_id) for r in df.collect()} for df in (O.retrieve_vectors(v, queries_of(v)), index.search(queries_of(v), probes=max(8, len(index.cells) * 3 // 4), exact=False)))
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_tasks_hold_few_scores(spark, monkeypatch):
+    """A query that looks into every cell, and a full part, leave the task in small frames; results don't depend on them."""
+    x = np.random.default_rng(3).normal(size=(500, 4))
+    v = table(spark, np.vstack([x, x[:100]]))
+    index = V.VectorIndex(v, cells=20)
+    want = found(O.retrieve_vectors(v, queries_of(v)))
+    monkeypatch.setattr(V, "SCORES", 64)
+    monkeypatch.setattr(V, "ROWS", 7)
+    assert found(index.search(queries_of(v), probes=2)) == want
+    asked = index._asked(v.select(F.col("vec_id").alias("query_id"), "embedding"), lambda away, radius, f: away < 9)
+    assert asked.count() == 600 * len(index.cells)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000000")
+    try:
+        sizes = []
+        monkeypatch.setattr(type(v), "mapInPandas", lambda self, run, schema: sizes.extend(len(f) for f in run([self.toPandas()])) or self)
+        index._asked(v.select(F.col("vec_id").alias("query_id"), "embedding"), lambda away, radius, f: away < 9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(sizes) == 600 * len(index.cells) and max(sizes) <= 7
