@@ -98,9 +98,10 @@ def write_feedback(rows: DataFrame, path: str, per_file: int = 10_000) -> None:
     rows.write.option("maxRecordsPerFile", per_file).options(ignoreNullFields=False, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
-def write_reports(reports: DataFrame, path: str, per_file: int = 1000) -> None:
-    """Reports (a column of JSON text), one a line; with per_file = 1 each report is a file of its own."""
-    reports.select("report").write.option("maxRecordsPerFile", per_file).text(path)
+def write_reports(reports: DataFrame, path: str, per_file: int = 1000, compression: str = "none") -> None:
+    """Reports (a column of JSON text), one a line; with per_file = 1 each report is a file of its own. Reports repeat
+    their names and terms, so gzip makes them some sixteen times smaller; read_reports reads either."""
+    reports.select("report").write.option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
